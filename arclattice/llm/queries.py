@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .quality import op10_quality
 from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op10_quality": op10_quality,
     }
 
 
