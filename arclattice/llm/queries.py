@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .neardup import op9_minhash
 from .quality import op10_quality
 from .toxicity import op2_toxicity
 
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity
 def queries() -> dict[str, Callable]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
     }
 

@@ -36,9 +36,10 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows one after another, and where each row starts, with the end last. Null is empty."""
-    column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    """Bytes of all rows (strings or binaries) one after another, and where each row starts, with the end last. Null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.fill_null(b"" if binary else "") if column.null_count else column
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
