@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .neardup import op9_minhash
+from .packing import op6_packing
 from .quality import op10_quality
 from .toxicity import op2_toxicity
 
@@ -12,6 +13,7 @@ from .toxicity import op2_toxicity
 def queries() -> dict[str, Callable]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op6_packing": op6_packing,
         "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
     }
