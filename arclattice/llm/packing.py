@@ -2,7 +2,8 @@
 
 Documents become ids of a public byte-level BPE (`path` names its tokenizers file) and an end id.
 Longer ones are cut into pieces of `length` ids, whose first may be shorter. A piece goes where the
-sum over residual gaps g of (open bins with gap g) squared becomes smallest, on ties the tightest.
+sum over residual gaps g of (open bins with gap g) squared becomes smallest, on ties the tightest;
+a bin is opened only where none fits, and the longest pieces come first.
 
 Pieces of equal length are exchangeable, so bins are planned on the histogram of lengths, at most
 `length` numbers, on the driver. Of a large corpus every `scale`-th piece of each length is planned
@@ -113,7 +114,7 @@ def sum_of_squares(counts: dict[int, int], capacity: int) -> list[tuple[int, lis
             change = np.where(n[size:] > 0, n[: rest + 1] - n[size:] + 1, np.inf)
             change[0] = 0.5 - n[size] if n[size] > 0 else np.inf
             g = int(change.argmin())
-            if change[g] <= (n[rest] if rest else 0) + 0.5:
+            if change[g] < np.inf:
                 b = at[g + size].pop()
                 n[g + size] -= 1
             else:

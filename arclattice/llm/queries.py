@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .mixing import OP5_SQL, op5_mixing
 from .neardup import op9_minhash
 from .packing import op6_packing
 from .quality import op10_quality
 from .toxicity import op2_toxicity
+from .urlfilter import op8_urls
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
+        "op8_urls": op8_urls,
         "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mixing": OP5_SQL,
+    }

@@ -96,3 +96,31 @@ def words(column: pa.Array, word: np.ndarray = NOT_SPACE, stem: int = 0) -> tupl
             hashes.append(mix(np.add.reduceat(value, s) * _INV[np.minimum(s, SLICE - 1)]))
             counts += np.searchsorted(s, np.clip(at - i, 0, len(part)))
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
+
+
+def word_counts(column: pa.Array, word: np.ndarray = NOT_SPACE) -> np.ndarray:
+    """Number of words of each row."""
+    data, at = raw(column)
+    total = np.zeros(len(at), np.int64)
+    for i in range(0, len(data), SLICE):
+        inside = word[data[max(0, i - 1) : i + SLICE]]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        first = at[np.searchsorted(at, i) : np.searchsorted(at, i + SLICE)] - max(0, i - 1)
+        first = first[first < len(inside)]
+        starts[first] = inside[first]
+        if i:
+            starts = starts[1:]
+        sums = np.concatenate([[0], np.cumsum(starts)])
+        total += sums[np.clip(at - i, 0, len(starts))]
+    return np.diff(total)
+
+
+def head(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = NOT_SPACE[data]
+    ends = np.flatnonzero(inside & ~np.append(inside[1:], False))
+    if n >= len(ends):
+        return text
+    return data[: ends[n - 1] + 1].tobytes().decode("utf-8", "surrogatepass") if n > 0 else ""
