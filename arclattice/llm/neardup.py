@@ -9,8 +9,9 @@ concentrate as if elements were drawn without replacement. Bands of ROWS coordin
 Equal sets are one class, whose smallest doc_id stands for it. A bucket is never expanded into all
 pairs: first its members meet the bucket's smallest id only; then, with the components known, pairs
 of one bucket that lie in different components are tested, every one, so that no link is lost that
-a bucket shows. All tested pairs first need enough equal coordinates (six standard deviations below
-the threshold), then the exact inequality on full sets.
+a bucket shows. In buckets of over SMALL members, tasks compare blocks of at most about BLOCK by
+BLOCK of them and emit only links. All tested pairs first need enough equal coordinates (six
+standard deviations below the threshold), then the exact inequality on full sets.
 
 Null or wordless texts have no shingles and link with nothing. Rows that repeat a doc_id count as
 one document. Rows without doc_id link with nothing: their component_id is null, and they are kept.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from . import textscan
-from .common import Stage, components, key_join, table
+from .common import Stage, components, key_join, maybe_in, table
 from .toxicity import blocks
 
 N = 5
@@ -33,6 +34,10 @@ COORDS, ROWS = 96, 4
 THRESHOLD = 75  # of 100
 #: Equal coordinates that a pair needs: COORDS * 0.75, less six standard deviations.
 LEAST_EQUAL = 47
+#: A bucket of so many members has at most 3.5 pairs for each.
+SMALL = 8
+#: Members of a larger bucket that are compared with as many others at once.
+BLOCK = 768
 _EMPTY = np.uint64(2**64 - 1)
 _FACTOR = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -125,6 +130,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 i += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = maybe_in(rows, "id", ids).filter("_maybe").drop("_maybe")
     return rows.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
@@ -143,7 +149,7 @@ def confirmed(pairs: DataFrame, low: DataFrame, docs: DataFrame, stage: Stage) -
     near = near.filter(equal_coordinates("low_a", "low_b") >= LEAST_EQUAL).select("a", "b")
     near = stage.put(near, "near")
     stage.drop(half)
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = stage.put(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = stage.put(sets_of(docs, ids), "sets")
     of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
     half = stage.put(near.join(of("a"), "a"), "with-a")
@@ -155,6 +161,89 @@ def confirmed(pairs: DataFrame, low: DataFrame, docs: DataFrame, stage: Stage) -
     return links
 
 
+def tested(low: np.ndarray, bands: np.ndarray, band: int, component: np.ndarray, block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in different components, between the blocks i and j, that meet in no earlier band and may be links."""
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = [], []
+    for k in range(0, len(left), 64):
+        rows = left[k : k + 64]
+        able = component[rows][:, None] != component[right][None]
+        if i == j:
+            able &= rows[:, None] < right[None]
+        for e in range(band):
+            able &= bands[rows, e][:, None] != bands[right, e][None]
+        x, y = np.nonzero(able)
+        near = (low[rows[x]] == low[right[y]]).sum(1) >= LEAST_EQUAL
+        a.append(rows[x[near]])
+        b.append(right[y[near]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
+
+
+def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs of sets, by products over parts of the shared elements."""
+    used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    every = np.concatenate([sets[u] for u in used])
+    _, number, count = np.unique(every, return_inverse=True, return_counts=True)
+    keep = count[number] > 1
+    order = np.argsort(number[keep], kind="stable")
+    number, at = number[keep][order], at[keep][order]
+    number = np.cumsum(np.r_[0, number[1:] != number[:-1]]) if len(number) else number
+    out, x, y = np.zeros(len(a)), where[: len(a)], where[len(a) :]
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+        lo, hi = np.searchsorted(number, [k, k + 2048])
+        m = np.zeros((len(used), 2048), np.float32)
+        m[at[lo:hi], number[lo:hi] - k] = 1
+        out += (m @ m.T)[x, y]
+    return out.astype(np.int64)
+
+
+def between_blocks(members: DataFrame, reps: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
+    """Links (a, b) between different components of one bucket. members: (key, id, component, size, ...)."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")
+    cells = members.select("key", "id", "component", own.alias("block"), parts.alias("parts"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = stage.put(cells.join(reps.select("id", "n", "bands", "low"), "id"), "cells")
+
+    def read(t: pa.Table):
+        low = textscan.raw(t.column("low").combine_chunks())[0].reshape(len(t), COORDS)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        component, block = t.column("component").to_numpy(), t.column("block").to_numpy()
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        return tested(low, bands, band, component, block, i, j)
+
+    def may(t: pa.Table) -> pa.Table:
+        a, b = read(t)
+        some = np.unique(np.concatenate([a, b]))
+        return t.select(["key", "i", "j", "id"]).take(pa.array(some))
+
+    def links(t: pa.Table) -> pa.Table:
+        a, b = read(t)
+        ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
+        if len(a):
+            sets = [x.to_numpy() if not isinstance(x, np.ndarray) else x for x in (v.values for v in t.column("shingles"))]
+            common = common_counts(sets, a, b)
+            good = common * 100 >= THRESHOLD * (n[a] + n[b] - common)
+            a, b = a[good], b[good]
+        # one link for each pair of components says as much as all
+        c = t.column("component").to_numpy()
+        _, first = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b])]), axis=1, return_index=True)
+        a, b = ids[a[first]], ids[b[first]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    cell = ["key", "i", "j"]
+    chosen = stage.put(cells.groupBy(*cell).applyInArrow(may, "key long, i int, j int, id long"), "chosen")
+    sets = stage.put(sets_of(docs, chosen.select("id").distinct()), "block-sets")
+    full = cells.join(chosen, [*cell, "id"]).join(sets, "id")
+    found = stage.put(full.groupBy(*cell).applyInArrow(links, "a long, b long").distinct(), "block-links")
+    for x in (cells, chosen, sets):
+        stage.drop(x)
+    return found
+
+
 def groups(docs: DataFrame, stage: Stage) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text)."""
     found = stage.put(sketch(docs), "sketches")
@@ -176,18 +265,19 @@ def groups(docs: DataFrame, stage: Stage) -> DataFrame:
     # members of one bucket that are still in different components
     members = stage.put(members.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
     by = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    mixed = stage.put(mixed.filter("parts > 1").select("key", F.col("top.component").alias("major")), "mixed")
-    there = stage.put(members.join(mixed, "key").select("key", "id", "component", (F.col("component") == F.col("major")).alias("in_major")), "in-mixed")
-    x = there.filter(~F.col("in_major")).select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    y = there.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), "in_major")
+    mixed = by.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"))
+    mixed = stage.put(mixed.filter("parts > 1").select("key", F.col("top.component").alias("major"), "size"), "mixed")
+    there = stage.put(members.join(mixed, "key").select("key", "id", "component", "size", (F.col("component") == F.col("major")).alias("in_major")), "in-mixed")
+    few = there.filter(F.col("size") <= SMALL)
+    x = few.filter(~F.col("in_major")).select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    y = few.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), "in_major")
     rest = x.join(y, "key").filter("cx <> cy and (in_major or x < y)")
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = stage.put(rest, "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, low, docs, stage)
-        if not more.isEmpty():
-            linked = components(links.unionByName(more), stage)
+    more = confirmed(stage.put(rest, "rest"), low, docs, stage)
+    more = more.unionByName(between_blocks(there.filter(F.col("size") > SMALL), reps, docs, stage))
+    more = stage.put(more, "more")
+    if not more.isEmpty():
+        linked = components(links.unionByName(more), stage)
     named = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = stage.put(named, "named")
     slim = found.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
