@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .fingerprints import op3_fingerprints
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op9_minhash
 from .packing import op6_packing
@@ -15,6 +16,7 @@ from .urlfilter import op8_urls
 def queries() -> dict[str, Callable]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_fingerprints": op3_fingerprints,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op8_urls": op8_urls,
@@ -25,5 +27,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_fingerprints": op3_fingerprints,
         "op5_mixing": OP5_SQL,
     }
