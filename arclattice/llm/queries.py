@@ -11,12 +11,14 @@ from .packing import op6_packing
 from .quality import op10_quality
 from .toxicity import op2_toxicity
 from .urlfilter import op8_urls
+from .vectors import op4_vectors
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_fingerprints": op3_fingerprints,
+        "op4_vectors": op4_vectors,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op8_urls": op8_urls,
@@ -28,5 +30,6 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_fingerprints": op3_fingerprints,
+        "op4_vectors": op4_vectors,
         "op5_mixing": OP5_SQL,
     }
