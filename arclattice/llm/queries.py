@@ -9,6 +9,7 @@ from .mixing import OP5_SQL, op5_mixing
 from .neardup import op9_minhash
 from .packing import op6_packing
 from .quality import op10_quality
+from .sharding import op1_sharding
 from .toxicity import op2_toxicity
 from .urlfilter import op8_urls
 from .vectors import op4_vectors
@@ -16,6 +17,7 @@ from .vectors import op4_vectors
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
         "op3_fingerprints": op3_fingerprints,
         "op4_vectors": op4_vectors,
