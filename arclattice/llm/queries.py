@@ -13,6 +13,7 @@ from .sharding import op1_sharding
 from .toxicity import op2_toxicity
 from .urlfilter import op8_urls
 from .vectors import op4_vectors
+from .warc import op7_warc
 
 
 def queries() -> dict[str, Callable]:
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable]:
         "op4_vectors": op4_vectors,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
+        "op7_warc": op7_warc,
         "op8_urls": op8_urls,
         "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
