@@ -37,7 +37,7 @@ def word_count(text: pa.Array) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def head(text: pa.Array, n: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else textscan.head(t, k) for t, k in zip(text.to_pylist(), n.to_pylist(), strict=True)], pa.string())
+    return pa.array([t if t is None or k is None else textscan.head(t, k) for t, k in zip(text.to_pylist(), n.to_pylist(), strict=True)], pa.string())
 
 
 def source_key(source: str = "source") -> Column:
@@ -103,17 +103,17 @@ def taken(docs: DataFrame, stage: Stage, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, stage: Stage, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, the fractional copy cut after its words."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    rows = taken(docs, stage, **how).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "whole", "part")
-    # rows that repeat a doc_id take what the first of them takes
-    rows = rows.groupBy("_id", "size").agg(F.min(F.struct("whole", "part")).alias("_n")).select("_id", "size", "_n.*")
-    keyed = keyed.withColumn("_size", word_count("text"))
-    both = keyed.join(rows, keyed.doc_id.eqNullSafe(rows._id) & (F.col("_size") == F.col("size")))
-    times = F.flatten(F.array(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))))
-    out = both.withColumn("_words", F.explode(times))
-    text = F.when(F.col("_words") < F.col("_size"), head("text", "_words")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    """The mix itself: every document as often as it is taken, the fractional copy cut after its words.
+
+    Rows that repeat a doc_id are taken as often as the first of them.
+    """
+    rows = taken(docs, stage, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("whole", "part")).alias("_n"))
+    rows = stage.put(rows.select("_id", "_n.*").filter("whole > 0 or part > 0"), "taken")
+    both = docs.join(rows.select("_id", F.struct("whole", "part").alias("_n")), docs.doc_id.eqNullSafe(F.col("_id")))
+    whole = F.array_repeat(F.lit(None).cast("long"), F.col("_n.whole").cast("int"))
+    part = F.when(F.col("_n.part") > 0, F.array("_n.part")).otherwise(F.array().cast("array<bigint>"))
+    out = both.withColumn("_words", F.explode(F.concat(whole, part)))
+    return out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(head("text", "_words"))).select(docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

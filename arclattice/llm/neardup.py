@@ -287,10 +287,17 @@ def groups(docs: DataFrame, stage: Stage) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, stage: Stage) -> DataFrame:
-    """One document of each group, with all columns; of rows that repeat a doc_id, one."""
-    keep = groups(docs, stage).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(keep, docs.doc_id == keep._kept).drop("_kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One document of each group, with all columns; of rows that repeat a doc_id, one.
+
+    Only rows whose doc_id may be among those removed or repeated are shuffled.
+    """
+    found = stage.put(groups(docs.select("doc_id", "text"), stage), "groups")
+    named = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    named = stage.put(named.filter("not kept or n > 1").select(F.col("doc_id").alias("id"), "kept"), "removed")
+    flagged = maybe_in(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id", named)
+    removed = named.filter("not kept").select(F.col("id").alias("_id"))
+    doubtful = flagged.filter("_maybe").join(removed, "_id", "left_anti").dropDuplicates(["_id"])
+    return flagged.filter("not _maybe").select(docs.columns).unionByName(doubtful.select(docs.columns))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

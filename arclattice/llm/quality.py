@@ -202,10 +202,10 @@ def score_column(model: dict | None, text: str | Column = "text") -> Column:
     return score(text)
 
 
-def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs with the column score; learned from `labels` (doc_id, quality), held-out rows left out."""
+def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), name: str = "score") -> DataFrame:
+    """docs with the column `name`, which replaces one of that name; learned from `labels` (doc_id, quality), held-out rows left out."""
     model = fit(docs, known(labels, "quality").filter(~held_out(3, 1)), p)
-    return docs.withColumn("score", score_column(model))
+    return docs.withColumn(name, score_column(model))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,10 +187,10 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs with the column score; learned from `labels` (doc_id, toxic), held-out rows left out."""
+def score(docs: DataFrame, labels: DataFrame, p: Params = Params(), name: str = "score") -> DataFrame:
+    """docs with the column `name`, which replaces one of that name; learned from `labels` (doc_id, toxic), held-out rows left out."""
     model = fit(docs, known(labels, "toxic").filter(~held_out(4, 2)), p)
-    return docs.withColumn("score", score_column(model))
+    return docs.withColumn(name, score_column(model))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
