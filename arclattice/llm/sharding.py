@@ -42,8 +42,8 @@ def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> Da
         name = F.xxhash64("hub", F.lit(turn))
         best = F.greatest(*[F.struct(F.col(f"v{s}").alias("v"), F.pmod(name + s, F.lit(k)).alias("tie"), F.lit(s).alias("to")) for s in range(k)])
         whim = F.when(F.col("bytes") > LARGE * capacity, F.xxhash64("row", F.lit(turn))).otherwise(name)
-        wish = votes.select("row", best["to"].alias("to"), (F.pmod(whim, F.lit(1 << 20)) / (1 << 20)).alias("whim"))
-        rows = stage.put(rows.join(wish, "row", "left"), "wishes")
+        wish = votes.select("row", best["to"].alias("to"), (F.pmod(whim, F.lit(1 << 20)) / (1 << 20)).alias("whim"), (F.col("bytes") > LARGE * capacity).alias("big"))
+        rows = stage.put(rows.drop("big").join(wish, "row", "left"), "wishes")
         asked = np.zeros((k, k))
         for r in rows.filter("to is not null").groupBy("shard", "to").agg(F.sum("size").alias("s")).collect():
             asked[r["shard"], r["to"]] = r["s"]
@@ -58,19 +58,19 @@ def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> Da
         moves = F.col("to").isNotNull() & (F.col("whim") < allowed)
         old = rows
         rows = rows.withColumn("shard", F.when(moves, F.col("to")).otherwise(F.col("shard"))).withColumn("linked", F.col("to").isNotNull()).drop("to", "whim")
-        rows = stage.put(rows.select("row", "size", "hubs", "shard", "linked"), "moved")
+        rows = stage.put(rows.select("row", "size", "hubs", "shard", "linked", F.coalesce("big", F.lit(False)).alias("big")), "moved")
         for x in (old, member, hubs):
             stage.drop(x)
     return rows
 
 
 def levelled(rows: DataFrame, k: int, stage: Stage) -> DataFrame:
-    """rows (row, size, hubs, shard, linked) with every shard's size near the mean."""
+    """rows (row, size, hubs, shard, linked, big) with every shard's size near the mean."""
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     mean, runs = total / k, max(64, n // RUN)
-    # linked rows, a hub's next to each other, come before the others, of which the smallest are last
-    grade = F.when(F.col("linked"), 0).otherwise(64 - F.floor(F.log2(F.col("size").cast("double")))).cast("long")
-    name = F.when(F.col("linked"), F.xxhash64(F.col("hubs")[0])).otherwise(F.xxhash64("row"))
+    # linked rows, a hub's next to each other, come first, then those of large hubs, then the others, of which the smallest are last
+    grade = F.when(F.col("big"), 1).when(F.col("linked"), 0).otherwise(64 - F.floor(F.log2(F.col("size").cast("double")))).cast("long")
+    name = F.when(F.col("linked") & ~F.col("big"), F.xxhash64(F.col("hubs")[0])).otherwise(F.xxhash64("row"))
     rows = rows.withColumn("name", name).withColumn("run", grade * runs + F.pmod(name, F.lit(runs)))
     placed = running_total(rows, ["shard"], "run", ["name", "row"], "size", "before", stage)
     placed = stage.put(placed.withColumn("stays", F.col("before") + F.col("size") <= mean), "stays")
@@ -92,7 +92,7 @@ def sharded(docs: DataFrame, hubs, k: int, stage: Stage, rounds: int = ROUNDS) -
     base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), hubs.alias("hubs"))
     base = stage.put(base.withColumn("row", F.monotonically_increasing_id()), "rows")
     first = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(k)).cast("int")
-    rows = base.select("row", "size", "hubs", first.alias("shard"), F.lit(False).alias("linked"))
+    rows = base.select("row", "size", "hubs", first.alias("shard"), F.lit(False).alias("linked"), F.lit(False).alias("big"))
     rows = stage.put(levelled(propagate(rows, k, stage, rounds), k, stage), "levelled")
     runs = max(64, base.count() // RUN)
     both = base.drop("hubs").join(rows, "row")
