@@ -1,0 +1,17 @@
+"""Schemas of the tables that operators exchange."""
+
+POINTS = "seq_id string, frame_id int, point_id long, x double, y double, z double, intensity double, class_id int"
+FRAMES = "seq_id string, frame_id int, timestamp_s double, speed_mps double, steering_angle_rad double, scenario_name string, description string"
+CELLS = (
+    "seq_id string, frame_id int, tier_idx int, ring_idx long, angle_idx long, elevation_ground double, elevation_obstacle_bottom double, "
+    "elevation_obstacle_top double, semantic_class int, point_count long, confidence double, last_updated_frame int, resolution_tier double"
+)
+DETECTIONS = "seq_id string, frame_id int, x double, y double, class_id int"
+TRACKS = (
+    "seq_id string, frame_id int, track_id long, class_id int, x double, y double, vx double, vy double, pred_x double, pred_y double, "
+    "frames_since_seen int, state string, hits int, bbox_l double, bbox_w double, p_pos double, p_cross double, p_vel double"
+)
+FOOTPRINTS = "seq_id string, frame_id int, track_id long, tier_idx int, ring_idx long, angle_idx long"
+POSES = "seq_id string, frame_id int, pose array<double>"
+#: A track as a struct inside an array column.
+TRACK_STRUCT = "struct<class_id: int, x: double, y: double, vx: double, vy: double, bbox_l: double, bbox_w: double>"
