@@ -96,11 +96,12 @@ def polyline_angles(n: int = 120) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: -F.pi() + i * (2.0 * F.pi() / (n - 1)))
 
 
-def polyline(speed="speed_mps", steering="steering_angle_rad", tracks: Column | None = None, p: Fovea = FOVEA, n: int = 120) -> Column:
-    """array of [x, y], 3 decimals."""
+def polyline(speed="speed_mps", steering="steering_angle_rad", tracks: Column | None = None, p: Fovea = FOVEA, n: int = 120, digits: int | None = 3) -> Column:
+    """array of [x, y]; digits None leaves them unrounded."""
+    cut = (lambda v: v) if digits is None else (lambda v: F.bround(v, digits))
 
     def point(theta):
         r = fine_radius(theta, speed, steering, tracks, p, p.drawn_shear)
-        return F.array(F.bround(r * F.cos(theta), 3), F.bround(r * F.sin(theta), 3))
+        return F.array(cut(r * F.cos(theta)), cut(r * F.sin(theta)))
 
     return F.transform(polyline_angles(n), point)

@@ -38,9 +38,11 @@ def with_foveated_key(points: DataFrame, frames: DataFrame, tracks: DataFrame |
     return with_key(rows.drop("speed_mps", "steering_angle_rad", "tracks"), F.col("fine"), roof)
 
 
-def z_split(points: DataFrame, key: list[str] = CELL, gap: float = OVERHANG_GAP) -> DataFrame:
+def z_split(points: DataFrame, key: list[str] = CELL, gap: float = OVERHANG_GAP, more: tuple = ()) -> DataFrame:
     """One row a cell: elevation_ground, and elevation_obstacle_bottom and _top where heights part in two layers.
 
+    `more` aggregates are computed beside, in the same grouping.
+
     Two means per cell by at most ROUNDS assignments, all as windows over one sort of the cells. A
     tie goes to the upper cluster; a cell stops when a cluster is empty or both means settle.
     """
@@ -60,14 +62,15 @@ def z_split(points: DataFrame, key: list[str] = CELL, gap: float = OVERHANG_GAP)
     cells = rows.groupBy(*key).agg(
         F.min("lo").alias("lo"), F.min("hi").alias("hi"),
         of(F.min, first).alias("lo1"), of(F.max, first).alias("hi1"), of(F.avg, first).alias("a1"),
-        of(F.min, ~first).alias("lo2"), of(F.max, ~first).alias("hi2"), of(F.avg, ~first).alias("a2"),
+        of(F.min, ~first).alias("lo2"), of(F.max, ~first).alias("hi2"), of(F.avg, ~first).alias("a2"), *more,
     )
     swap = F.col("a1") > F.col("a2")
     pick = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))
     cells = cells.withColumns({"low_min": pick("lo2", "lo1"), "low_max": pick("hi2", "hi1"), "up_min": pick("lo1", "lo2"), "up_max": pick("hi1", "hi2")})
     split = F.coalesce((F.col("hi") - F.col("lo") >= gap) & (F.col("up_min") - F.col("low_max") > gap), F.lit(False))
+    own = [c for c in cells.columns[len(key) + 8 :] if c not in ("low_min", "low_max", "up_min", "up_max")]
     return cells.select(
-        *key, F.when(split, F.col("low_min")).otherwise(F.col("lo")).alias("elevation_ground"),
+        *key, *own, F.when(split, F.col("low_min")).otherwise(F.col("lo")).alias("elevation_ground"),
         F.when(split, F.col("up_min")).alias("elevation_obstacle_bottom"), F.when(split, F.col("up_max")).alias("elevation_obstacle_top"),
     )
 
@@ -81,11 +84,9 @@ def majority_class(points: DataFrame, key: list[str] = CELL) -> DataFrame:
 
 def grid_cells(keyed: DataFrame) -> DataFrame:
     """The cells of keyed points. One shuffle on the cell serves the windows and all aggregates."""
-    split = z_split(keyed)
-    votes = keyed.groupBy(*CELL).agg(
-        F.mode("class_id", True).cast("int").alias("semantic_class"), F.count(F.lit(1)).alias("point_count"), F.avg("r").alias("mean_r"), F.first("resolution_tier").alias("resolution_tier")
-    )
-    cells = split.join(votes, CELL)
+    cells = z_split(keyed, more=(
+        F.mode("class_id", True).cast("int").alias("semantic_class"), F.count(F.lit(1)).alias("point_count"), F.avg("r").alias("mean_r"), F.first("resolution_tier").alias("resolution_tier"),
+    ))
     return cells.select(
         *CELL, "elevation_ground", "elevation_obstacle_bottom", "elevation_obstacle_top", "semantic_class", "point_count",
         polar.confidence(F.col("point_count"), F.col("mean_r")).alias("confidence"), F.col("frame_id").alias("last_updated_frame"), "resolution_tier",
