@@ -30,11 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session's Arrow batches to a few MB, so that Python workers and their buffers stay small beside long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 class Stage:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = bounded_batches(spark)
         self.dir = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         self.n = 0
 

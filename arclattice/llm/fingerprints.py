@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from . import textscan
-from .common import partitions, table
+from .common import bounded_batches, partitions, table
 
 LEAST, NORMAL, MOST = 12, 32, 128
 #: One position in 64, then one in 8, ends a chunk.
@@ -151,7 +151,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they and the next one's are."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     n = partitions(spark)
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
     probes = [i / n for i in range(1, n)]

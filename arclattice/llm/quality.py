@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import table
+from .common import bounded_batches, table
 from .toxicity import held_out, known, labelled_sample
 
 WIDTH, STRIDE, FILTERS, EMBED = 6, 2, 16, 8
@@ -171,6 +171,7 @@ def predict(column: pa.Array, w: dict, t: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict[str, np.ndarray] | None:
     """labels: (doc_id, label). Learns in one task from the bounded sample; None without both labels."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, p.sample, p.longest).repartition(1)
 
     def learn(batches):

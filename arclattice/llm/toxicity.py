@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import table
+from .common import bounded_batches, table
 
 BITS = 20
 #: Word pairs and skip-grams count less than words, as most of them are rare.
@@ -45,7 +45,7 @@ class Params:
     l1: float = 4.0
     l2: float = 0.1
     epochs: int = 4
-    sample: int = 16384
+    sample: int = 8192
     longest: int = 1 << 20
     seed: int = 7
 
@@ -78,20 +78,19 @@ def values(family: int) -> float:
     return 1.0 if family < 2 else PAIR_VALUE
 
 
-def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct coordinates of each row and their values."""
+def features(column: pa.Array) -> list[tuple[np.ndarray, int]]:
+    """Distinct coordinates of each row, and how many of them, which come first, are words or stems."""
     parts: list[list] = [[] for _ in range(len(column))]
     for k, (row, x) in enumerate(coordinates(column)):
         key = np.unique((row.astype(np.int64) << BITS) | x)
         cut = np.searchsorted(key, np.arange(len(column) + 1, dtype=np.int64) << BITS)
         own = (key & ((1 << BITS) - 1)).astype(np.int32)
         for i in range(len(column)):
-            x_i = own[cut[i] : cut[i + 1]]
-            parts[i].append((x_i, np.full(len(x_i), values(k), np.float32)))
-    return [(np.concatenate([x for x, _ in p]), np.concatenate([v for _, v in p])) for p in parts]
+            parts[i].append(own[cut[i] : cut[i + 1]])
+    return [(np.concatenate(p), len(p[0]) + len(p[1])) for p in parts]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Params) -> Model:
+def train(rows: list[tuple[np.ndarray, int]], labels: np.ndarray, p: Params) -> Model:
     """FTRL-proximal over the rows in seeded order, once an epoch."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     z_bias = n_bias = 0.0
@@ -105,7 +104,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
 
     for _ in range(p.epochs):
         for i in rng.permutation(len(rows)):
-            x, v = rows[i]
+            x, full = rows[i]
+            v = np.full(len(x), PAIR_VALUE)
+            v[:full] = 1.0
             z_x, n_x, b = z[x], n[x], bias()
             w = weight(z_x, n_x)
             g = 1 / (1 + np.exp(-np.clip((w * v).sum() + b, -30, 30))) - labels[i]
@@ -144,6 +145,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, longest: int)
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """labels: (doc_id, label). Learns in one task from the bounded sample."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, p.sample, p.longest).repartition(1)
 
     def learn(batches):
