@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import grid, perception
+from .plans import grid, perception, tracking
 
-_ALL = grid.QUERIES | perception.QUERIES
+_ALL = grid.QUERIES | perception.QUERIES | tracking.QUERIES
 
 
 def queries() -> dict[str, Callable]:
