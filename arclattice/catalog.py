@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import grid, perception, tracking
+from .plans import grid, perception, services, tracking
 
-_ALL = grid.QUERIES | perception.QUERIES | tracking.QUERIES
+_ALL = grid.QUERIES | perception.QUERIES | tracking.QUERIES | services.QUERIES
 
 
 def queries() -> dict[str, Callable]:
