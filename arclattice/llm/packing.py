@@ -49,9 +49,8 @@ def encoder(path: str):
     """
     if path not in _encoders:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(path)
+        slow = []
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = [x["content"] for x in spec["added_tokens"]]
@@ -67,7 +66,11 @@ def encoder(path: str):
                 except BaseException as e:  # its regular expressions give up on huge runs of white space
                     if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                         raise
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
         _encoders[path] = encode
     return _encoders[path]
