@@ -252,7 +252,7 @@ def fovea_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POLYLINE_SQL = oracle("frames_v", "tracks_v") + f""", a AS (SELECT f.*, k.k, k.k * (2*pi() / 119) - pi() AS theta FROM frames_v f, (SELECT CAST(unnest(range(120)) AS INT) AS k) k),
 threats AS ({THREAT_SQL}), l AS ({LOBES_SQL.format(points="a")})
-SELECT seq_id, frame_id, k, round(r * cos(theta), 6) AS x, round(r * sin(theta), 6) AS y FROM (SELECT *, greatest(ellipse, attention) AS r FROM ({ELLIPSE_SQL.format(points="l", shear=FOVEA.drawn_shear)}))"""
+SELECT seq_id, frame_id, k, round(r * cos(theta), 6) + 0 AS x, round(r * sin(theta), 6) + 0 AS y FROM (SELECT *, greatest(ellipse, attention) AS r FROM ({ELLIPSE_SQL.format(points="l", shear=FOVEA.drawn_shear)}))"""
 
 
 def foveated_cells(spark, sf_dir, tracks: bool = True) -> DataFrame:

@@ -86,7 +86,7 @@ POSE_SQL = """WITH p AS (SELECT c_nationkey AS seq_id, c_custkey AS frame_id, CA
   atan2(sin((c_custkey * 0.7::DOUBLE) % 5 - 2.5), cos((c_custkey * 0.7::DOUBLE) % 5 - 2.5)) AS yaw FROM customer),
 l AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, yaw - lag(yaw) OVER w AS t FROM p WINDOW w AS (PARTITION BY seq_id ORDER BY frame_id))
 SELECT seq_id, frame_id, round(coalesce(sqrt(dx*dx + dy*dy) / 0.1::DOUBLE, 10), 6) AS speed_mps,
-  round(coalesce(least(greatest((t + pi()) - 2*pi() * floor((t + pi()) / (2*pi())) - pi(), -0.8::DOUBLE), 0.8::DOUBLE), 0), 6) AS steering_angle_rad FROM l"""
+  round(CASE WHEN t IS NULL THEN 0 ELSE least(greatest((t + pi()) - 2*pi() * floor((t + pi()) / (2*pi())) - pi(), -0.8::DOUBLE), 0.8::DOUBLE) END, 6) + 0 AS steering_angle_rad FROM l"""
 
 
 def missing_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,4 +204,4 @@ def kinematics(poses: DataFrame, dt: float = DT) -> DataFrame:
     dx, dy = F.col("x") - before("x"), F.col("y") - before("y")
     turn = F.pmod(F.col("yaw") - before("yaw") + F.pi(), F.lit(2.0) * F.pi()) - F.pi()
     speed = F.sqrt(dx * dx + dy * dy) / max(dt, 1e-3)
-    return rows.select("seq_id", "frame_id", F.coalesce(speed, F.lit(10.0)).alias("speed_mps"), F.coalesce(F.least(F.greatest(turn, F.lit(-0.8)), F.lit(0.8)), F.lit(0.0)).alias("steering_angle_rad"))
+    return rows.select("seq_id", "frame_id", F.coalesce(speed, F.lit(10.0)).alias("speed_mps"), F.when(turn.isNull(), 0.0).otherwise(F.least(F.greatest(turn, F.lit(-0.8)), F.lit(0.8))).alias("steering_angle_rad"))
