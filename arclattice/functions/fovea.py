@@ -46,34 +46,53 @@ def threat(x="x", y="y", vx="vx", vy="vy", p: Fovea = FOVEA) -> Column:
     )
 
 
-def lobe(theta: Column, t: Column, p: Fovea = FOVEA) -> Column:
-    """Height of one track's lobe at theta. t: struct of class_id, x, y, vx, vy, bbox_l, bbox_w."""
+def lobe(t: Column, p: Fovea = FOVEA) -> Column:
+    """A track's lobe: struct<height, at, sigma, factor, cap>, null without one. It does not depend on an angle.
+
+    t: struct of class_id, x, y, vx, vy, bbox_l, bbox_w.
+    """
     r, width = radius(t["x"], t["y"]), F.greatest(t["bbox_l"], t["bbox_w"])
     speed = radius(F.coalesce(t["vx"], F.lit(0.0)), F.coalesce(t["vy"], F.lit(0.0)))
-    fast = (speed >= p.moving_speed) & F.lit(p.boost > 1.0)
+    fast, far = (speed >= p.moving_speed) & F.lit(p.boost > 1.0), F.lit(p.farthest_threat)
 
-    def bump(height: Column, at: Column, sigma: Column) -> Column:
-        d = wrap(theta - at) / sigma
-        return height * F.exp(-0.5 * d * d)
+    def made(height: Column, at: Column, sigma: Column, boosts: Column) -> Column:
+        factor = F.when(boosts, F.lit(p.boost)).otherwise(1.0)
+        return F.struct(height.alias("height"), at.alias("at"), sigma.alias("sigma"), factor.alias("factor"), F.when(boosts, far).otherwise(height).alias("cap"))
 
-    boosted = lambda spike: F.when(fast, F.least(spike * p.boost, F.lit(p.farthest_threat))).otherwise(spike)
     if p.collision_only:
-        sigma = F.greatest(F.lit(0.35), width / F.greatest(r, F.lit(1.0)))
         found = threat(t["x"], t["y"], t["vx"], t["vy"], p)
-        height = F.when(found["is_threat"], boosted(bump(found["reach"], found["bearing"], sigma))).otherwise(0.0)
+        sigma = F.greatest(F.lit(0.35), width / F.greatest(r, F.lit(1.0)))
+        out = F.when(found["is_threat"], made(found["reach"], found["bearing"], sigma, fast))
     else:
         sigma = F.greatest(width / F.greatest(r, F.lit(1.0)), F.lit(0.2))
         moves = (F.abs(t["vx"]) > 1e-3) | (F.abs(t["vy"]) > 1e-3)
         px, py = t["x"] + t["vx"] * p.lead_time, t["y"] + t["vy"] * p.lead_time
-        reach = F.least(F.greatest(r, radius(px, py)) + p.buffer, F.lit(p.farthest_threat))
-        still = bump(F.least(r + 5.0, F.lit(p.farthest_threat)), bearing(t["x"], t["y"]), sigma)
-        height = F.when(moves, boosted(bump(reach, bearing(px, py), sigma))).otherwise(still)
-    return F.when(t["class_id"] == 3, height).otherwise(0.0)
+        reach = F.least(F.greatest(r, radius(px, py)) + p.buffer, far)
+        still = made(F.least(r + 5.0, far), bearing(t["x"], t["y"]), sigma, F.lit(False))
+        out = F.when(moves, made(reach, bearing(px, py), sigma, fast)).otherwise(still)
+    return F.when(t["class_id"] == 3, out)
+
+
+def lobes(tracks: Column, p: Fovea = FOVEA) -> Column:
+    """The lobes of an array of tracks."""
+    return F.filter(F.transform(tracks, lambda t: lobe(t, p)), lambda x: x.isNotNull())
+
+
+def height_at(theta: Column, x: Column) -> Column:
+    return F.least(x["height"] * F.exp(-0.5 * F.pow(wrap(theta - x["at"]) / x["sigma"], F.lit(2.0))) * x["factor"], x["cap"])
+
+
+def attention(theta: Column, lobes: Column) -> Column:
+    """Height of the highest of an array of lobes at theta; 0 without any."""
+    return F.coalesce(F.aggregate(lobes, F.lit(0.0), lambda top, x: F.greatest(top, height_at(theta, x))), F.lit(0.0))
 
 
-def attention(theta: Column, tracks: Column, p: Fovea = FOVEA) -> Column:
-    """Highest lobe of an array of tracks; 0 without any."""
-    return F.coalesce(F.aggregate(tracks, F.lit(0.0), lambda top, t: F.greatest(top, lobe(theta, t, p))), F.lit(0.0))
+def in_fine_zone(r: Column, theta: Column, speed: Column, steering: Column, lobes: Column | None = None, p: Fovea = FOVEA) -> Column:
+    """r < fine_radius(theta), where lobes are looked at only for points between the ellipse and the farthest lobe."""
+    inside = r < ellipse_radius(theta, speed, steering, p)
+    if lobes is None or not p.enabled:
+        return inside
+    return F.when(inside, True).when(r >= p.farthest_threat, False).otherwise(F.coalesce(F.exists(lobes, lambda x: r < height_at(theta, x)), F.lit(False)))
 
 
 def ellipse_radius(theta: Column, speed: Column, steering: Column, p: Fovea = FOVEA, shear: float | None = None) -> Column:
@@ -86,9 +105,9 @@ def ellipse_radius(theta: Column, speed: Column, steering: Column, p: Fovea = FO
     return F.when(F.abs(d) < F.pi() / 2, a * b / size).otherwise(b)
 
 
-def fine_radius(theta, speed="speed_mps", steering="steering_angle_rad", tracks: Column | None = None, p: Fovea = FOVEA, shear: float | None = None) -> Column:
+def fine_radius(theta, speed="speed_mps", steering="steering_angle_rad", lobes: Column | None = None, p: Fovea = FOVEA, shear: float | None = None) -> Column:
     out = ellipse_radius(col(theta), col(speed), col(steering), p, shear)
-    return F.greatest(out, attention(col(theta), tracks, p)) if tracks is not None and p.enabled else out
+    return F.greatest(out, attention(col(theta), lobes)) if lobes is not None and p.enabled else out
 
 
 def polyline_angles(n: int = 120) -> Column:
@@ -96,12 +115,12 @@ def polyline_angles(n: int = 120) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: -F.pi() + i * (2.0 * F.pi() / (n - 1)))
 
 
-def polyline(speed="speed_mps", steering="steering_angle_rad", tracks: Column | None = None, p: Fovea = FOVEA, n: int = 120, digits: int | None = 3) -> Column:
+def polyline(speed="speed_mps", steering="steering_angle_rad", lobes: Column | None = None, p: Fovea = FOVEA, n: int = 120, digits: int | None = 3) -> Column:
     """array of [x, y]; digits None leaves them unrounded."""
     cut = (lambda v: v) if digits is None else (lambda v: F.bround(v, digits))
 
     def point(theta):
-        r = fine_radius(theta, speed, steering, tracks, p, p.drawn_shear)
+        r = fine_radius(theta, speed, steering, lobes, p, p.drawn_shear)
         return F.array(cut(r * F.cos(theta)), cut(r * F.sin(theta)))
 
     return F.transform(polyline_angles(n), point)

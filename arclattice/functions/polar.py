@@ -28,9 +28,9 @@ def wrap(angle: Column) -> Column:
     return F.pmod(angle + F.pi(), F.lit(2.0) * F.pi()) - F.pi()
 
 
-def resolution(r: Column, fine: Column | None = None) -> Column:
-    """Cell size in metres. With `fine`, the finest tier ends there and not at its static range."""
-    first = r < (F.lit(TIERS[0][0]) if fine is None else fine)
+def resolution(r: Column, finest: Column | None = None) -> Column:
+    """Cell size in metres. `finest` tells whether the finest tier holds, in place of its static range."""
+    first = r < TIERS[0][0] if finest is None else finest
     out = F.when(first, _RESOLUTIONS[0])
     for far, size in TIERS[1:-1]:
         out = out.when(r < far, size)

@@ -48,11 +48,11 @@ def held_radii(points: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def cells_of(points: DataFrame, frames: DataFrame, tracks: DataFrame, held: DataFrame, p: Fovea, roof) -> tuple[DataFrame, DataFrame]:
-    state = project.with_tracks(frames, tracks).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "tracks", "roof")
+    state = project.with_lobes(frames, tracks, p).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "lobes", "roof")
     rows = points.join(state, ["seq_id", "frame_id"]).filter("z <= roof").withColumn("theta", polar.bearing())
-    rows = rows.withColumn("fine", fine_radius("theta", tracks=F.col("tracks"), p=p)).drop("tracks", "speed_mps", "steering_angle_rad")
+    rows = rows.withColumn("fine", fine_radius("theta", lobes=F.col("lobes"), p=p)).drop("lobes", "speed_mps", "steering_angle_rad")
     rows, held = held_radii(rows, held)
-    return kept(project.grid_cells(project.with_key(rows, F.col("fine"), F.col("roof")))), held
+    return kept(project.grid_cells(project.with_key(rows, F.col("r") < F.col("fine"), F.col("roof")))), held
 
 
 def next_tracks(tracks: DataFrame, cells: DataFrame, frame_id: int, seq_kind: str) -> DataFrame:

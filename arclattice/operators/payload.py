@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import FOVEA, Fovea
 from ..functions.fovea import polyline
 from .metrics import memory
-from .project import with_center, with_tracks
+from .project import with_center, with_lobes
 from .track import moving_objects
 
 FRAME = ["seq_id", "frame_id"]
@@ -33,7 +33,7 @@ def frame_payload(frames: DataFrame, cells: DataFrame, tracks: DataFrame, ghosts
     )
     all_tracks = tracks.groupBy(*FRAME).agg(F.array_sort(F.collect_list(one)).alias("track_list"))
     moving = moving_objects(tracks).groupBy(*FRAME).agg(F.count_if("is_moving").alias("moving"))
-    rows = with_tracks(frames, tracks)
+    rows = with_lobes(frames, tracks, p)
     for other in (all_cells, all_tracks, moving, memory(cells, FRAME), ghosts.select(*FRAME, "ghosts")):
         rows = rows.join(other, FRAME, "left")
     count = lambda c: F.coalesce(c, F.lit(0))
@@ -50,7 +50,7 @@ def frame_payload(frames: DataFrame, cells: DataFrame, tracks: DataFrame, ghosts
     return rows.select(
         "seq_id", "frame_id", F.col("timestamp_s").alias("timestamp"), "scenario_name", "description",
         F.struct(cut(F.col("speed_mps"), 2).alias("speed_mps"), cut(F.col("steering_angle_rad"), 4).alias("steering_angle_rad")).alias("vehicle_state"),
-        F.struct(*[F.lit(v).alias(k) for k, v in params.items()]).alias("foveation_params"), polyline(tracks=F.col("tracks"), p=p).alias("fovea_polyline"),
+        F.struct(*[F.lit(v).alias(k) for k, v in params.items()]).alias("foveation_params"), polyline(lobes=F.col("lobes"), p=p).alias("fovea_polyline"),
         F.coalesce("cells", F.array()).alias("cells"), F.coalesce("track_list", F.array()).alias("tracks"), metrics.alias("metrics"),
     )
 

@@ -8,34 +8,35 @@ from pyspark.sql.window import Window
 
 from ..config import FOVEA, LEAST_RANGE, OVERHANG_GAP, ROOF, TIERS, Fovea
 from ..functions import polar
-from ..functions.fovea import fine_radius
+from ..functions.fovea import in_fine_zone, lobe
 
 CELL = ["seq_id", "frame_id", "tier_idx", "ring_idx", "angle_idx"]
 ROUNDS, SETTLED = 5, 1e-4
 
 
-def with_key(points: DataFrame, fine: F.Column | None = None, roof: float | F.Column = ROOF) -> DataFrame:
-    """Points at or below the roof with r, theta, resolution_tier and the cell key. fine: the fine radius, or none for static tiers."""
+def with_key(points: DataFrame, finest: F.Column | None = None, roof: float | F.Column = ROOF) -> DataFrame:
+    """Points at or below the roof with r, theta, resolution_tier and the cell key. finest: whether r and theta lie in the fine zone, or none for static tiers."""
     rows = points.filter(F.col("z") <= roof).withColumn("r", polar.radius()).withColumn("theta", polar.bearing())
-    rows = rows.withColumn("resolution_tier", polar.resolution(F.col("r"), fine))
+    rows = rows.withColumn("resolution_tier", polar.resolution(F.col("r"), finest))
     size, r = F.col("resolution_tier"), F.col("r")
     return rows.withColumns({"tier_idx": polar.tier_index(size), "ring_idx": polar.ring(r, size), "angle_idx": polar.angle_cell(F.col("theta"), size, r)})
 
 
-def with_tracks(frames: DataFrame, tracks: DataFrame | None) -> DataFrame:
-    """frames with their tracks as one array column, so that lobes are a fold over it and no join with points."""
+def with_lobes(frames: DataFrame, tracks: DataFrame | None, p: Fovea = FOVEA) -> DataFrame:
+    """frames with the lobes of their tracks as one array column, so that the fine zone is a fold over it and no join with points."""
     if tracks is None:
-        return frames.withColumn("tracks", F.array().cast("array<struct<class_id:int,x:double,y:double,vx:double,vy:double,bbox_l:double,bbox_w:double>>"))
-    one = F.struct(F.col("class_id").cast("int").alias("class_id"), "x", "y", "vx", "vy", "bbox_l", "bbox_w")
-    return frames.join(tracks.groupBy("seq_id", "frame_id").agg(F.collect_list(one).alias("tracks")), ["seq_id", "frame_id"], "left")
+        return frames.withColumn("lobes", F.array().cast("array<struct<height:double,at:double,sigma:double,factor:double,cap:double>>"))
+    one = lobe(F.struct(F.col("class_id").cast("int").alias("class_id"), "x", "y", "vx", "vy", "bbox_l", "bbox_w"), p)
+    made = tracks.select("seq_id", "frame_id", one.alias("lobe")).filter("lobe is not null").groupBy("seq_id", "frame_id").agg(F.collect_list("lobe").alias("lobes"))
+    return frames.join(made, ["seq_id", "frame_id"], "left")
 
 
 def with_foveated_key(points: DataFrame, frames: DataFrame, tracks: DataFrame | None = None, roof=ROOF, p: Fovea = FOVEA) -> DataFrame:
     """with_key, the fine radius from the frame's speed, steering and tracks."""
-    state = with_tracks(frames, tracks).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "tracks")
+    state = with_lobes(frames, tracks, p).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "lobes")
     rows = points.filter(F.col("z") <= roof).join(state, ["seq_id", "frame_id"])
-    rows = rows.withColumn("theta", polar.bearing()).withColumn("fine", fine_radius("theta", tracks=F.col("tracks"), p=p))
-    return with_key(rows.drop("speed_mps", "steering_angle_rad", "tracks"), F.col("fine"), roof)
+    finest = in_fine_zone(F.col("r"), F.col("theta"), F.col("speed_mps"), F.col("steering_angle_rad"), None if tracks is None else F.col("lobes"), p)
+    return with_key(rows, finest, roof).drop("speed_mps", "steering_angle_rad", "lobes")
 
 
 def z_split(points: DataFrame, key: list[str] = CELL, gap: float = OVERHANG_GAP, more: tuple = ()) -> DataFrame:

@@ -177,8 +177,8 @@ LOBES_SQL = f"""SELECT a.*, coalesce((SELECT max(CASE WHEN speed >= 0.8 THEN lea
 ANGLES = 24
 
 
-def _angles(spark, sf_dir, n: int = ANGLES) -> DataFrame:
-    frames = project.with_tracks(view(spark, sf_dir, "frames_v"), view(spark, sf_dir, "tracks_v"))
+def _angles(spark, sf_dir, p: fovea.Fovea = FOVEA, n: int = ANGLES) -> DataFrame:
+    frames = project.with_lobes(view(spark, sf_dir, "frames_v"), view(spark, sf_dir, "tracks_v"), p)
     step = 2.0 / n
     return frames.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("theta", (F.col("k") + 0.37) * step * F.pi() - F.pi())
 
@@ -188,7 +188,7 @@ _ANGLES_SQL = f"a AS (SELECT f.*, k.k, (k.k + 0.37::DOUBLE) * {2.0 / ANGLES!r}::
 
 def fine_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _angles(spark, sf_dir)
-    return rows.select("seq_id", "frame_id", "k", F.round(fovea.fine_radius("theta"), 6).alias("ellipse"), F.round(fovea.fine_radius("theta", tracks=F.col("tracks")), 6).alias("fine"))
+    return rows.select("seq_id", "frame_id", "k", F.round(fovea.fine_radius("theta"), 6).alias("ellipse"), F.round(fovea.fine_radius("theta", lobes=F.col("lobes")), 6).alias("fine"))
 
 
 FINE_SQL = oracle("frames_v", "tracks_v") + f""", {_ANGLES_SQL}, threats AS ({THREAT_SQL}), l AS ({LOBES_SQL.format(points="a")})
@@ -196,7 +196,7 @@ SELECT seq_id, frame_id, k, round(ellipse, 6) AS ellipse, round(greatest(ellipse
 
 
 def attention_lobe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _angles(spark, sf_dir).select("seq_id", "frame_id", "k", F.round(fovea.attention(F.col("theta"), F.col("tracks")), 6).alias("attention"))
+    return _angles(spark, sf_dir).select("seq_id", "frame_id", "k", F.round(fovea.attention(F.col("theta"), F.col("lobes")), 6).alias("attention"))
 
 
 LOBE_SQL = FINE_SQL.split("\nSELECT seq_id")[0] + " SELECT seq_id, frame_id, k, round(attention, 6) AS attention FROM l"
@@ -205,7 +205,7 @@ LOBE_SQL = FINE_SQL.split("\nSELECT seq_id")[0] + " SELECT seq_id, frame_id, k,
 def lookahead_lobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lobes that point to where tracks will be, without regard to threats."""
     p = fovea.Fovea(collision_only=False)
-    return _angles(spark, sf_dir).select("seq_id", "frame_id", "k", F.round(fovea.attention(F.col("theta"), F.col("tracks"), p), 6).alias("attention"))
+    return _angles(spark, sf_dir, p).select("seq_id", "frame_id", "k", F.round(fovea.attention(F.col("theta"), F.col("lobes")), 6).alias("attention"))
 
 
 LOOKAHEAD_SQL = oracle("frames_v", "tracks_v") + f""", {_ANGLES_SQL}, m AS (SELECT *, abs(vx) > 1e-3 OR abs(vy) > 1e-3 AS moves, sqrt(x*x + y*y) AS r, sqrt(vx*vx + vy*vy) AS speed,
@@ -245,8 +245,8 @@ MOVING_SQL = oracle("tracks_v") + f""" SELECT track_id, round(speed, 6) AS speed
 
 
 def fovea_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = project.with_tracks(view(spark, sf_dir, "frames_v"), view(spark, sf_dir, "tracks_v"))
-    line = frames.select("seq_id", "frame_id", F.posexplode(fovea.polyline(tracks=F.col("tracks"), digits=None)).alias("k", "p"))
+    frames = project.with_lobes(view(spark, sf_dir, "frames_v"), view(spark, sf_dir, "tracks_v"))
+    line = frames.select("seq_id", "frame_id", F.posexplode(fovea.polyline(lobes=F.col("lobes"), digits=None)).alias("k", "p"))
     return line.select("seq_id", "frame_id", "k", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
 
 

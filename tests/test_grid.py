@@ -16,7 +16,7 @@ def one(spark, *columns):
 def cells(spark, points, roof=2.5):
     """points: (x, y, z, class) of a vehicle at rest."""
     df = spark.createDataFrame([("s", 0, *map(float, p[:3]), p[3]) for p in points], "seq_id string, frame_id int, x double, y double, z double, class_id int")
-    return project.grid_cells(project.with_key(df, F.lit(10.0), roof)).collect()
+    return project.grid_cells(project.with_key(df, F.col("r") < 10.0, roof)).collect()
 
 
 @pytest.mark.parametrize(("r", "size", "tier"), [(5, 0.05, 0), (15, 0.15, 1), (60, 0.50, 2), (500, 0.50, 2), (10, 0.15, 1), (30, 0.5, 2)])
@@ -72,7 +72,7 @@ def test_two_layers(spark):
 
 def radius(spark, theta, v, steer=0.0, tracks=(), shear=None, p=fovea.FOVEA):
     t = F.array(*[F.struct(F.lit(3).alias("class_id"), *[F.lit(float(x)).alias(n) for n, x in zip(("x", "y", "vx", "vy", "bbox_l", "bbox_w"), (*k, 4, 2), strict=True)]) for k in tracks]) if tracks else None
-    return one(spark, fovea.fine_radius(F.lit(float(theta)), F.lit(float(v)), F.lit(float(steer)), t, p, shear))[0]
+    return one(spark, fovea.fine_radius(F.lit(float(theta)), F.lit(float(v)), F.lit(float(steer)), None if t is None else fovea.lobes(t, p), p, shear))[0]
 
 
 def test_ellipse(spark):
