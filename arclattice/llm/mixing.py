@@ -107,13 +107,15 @@ def mixed(docs: DataFrame, stage: Stage, **how) -> DataFrame:
 
     Rows that repeat a doc_id are taken as often as the first of them.
     """
-    rows = taken(docs, stage, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("whole", "part")).alias("_n"))
-    rows = stage.put(rows.select("_id", "_n.*").filter("whole > 0 or part > 0"), "taken")
-    both = docs.join(rows.select("_id", F.struct("whole", "part").alias("_n")), docs.doc_id.eqNullSafe(F.col("_id")))
-    whole = F.array_repeat(F.lit(None).cast("long"), F.col("_n.whole").cast("int"))
-    part = F.when(F.col("_n.part") > 0, F.array("_n.part")).otherwise(F.array().cast("array<bigint>"))
-    out = both.withColumn("_words", F.explode(F.concat(whole, part)))
-    return out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(head("text", "_words"))).select(docs.columns)
+    rows = taken(docs, stage, **how).groupBy("doc_id").agg(F.min(F.struct("whole", "part")).alias("n"))
+    rows = stage.put(rows.select(F.col("doc_id").alias("id"), "n").filter("n.whole > 0 or n.part > 0"), "taken")
+    whole_rows = docs.select(F.struct(*docs.columns).alias("doc"))  # as one column, their names clash with none
+    both = whole_rows.join(rows, F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    whole = F.array_repeat(F.lit(None).cast("long"), F.col("n.whole").cast("int"))
+    part = F.when(F.col("n.part") > 0, F.array("n.part")).otherwise(F.array().cast("array<bigint>"))
+    out = both.select("doc", F.explode(F.concat(whole, part)).alias("words"))
+    text = F.when(F.col("words").isNull(), F.col("doc.text")).otherwise(head("doc.text", "words"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +137,10 @@ o AS (
   FROM s WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) AS total FROM s),
 c AS (
-  SELECT 0 AS k, (SELECT total FROM t) / (SELECT sum(w) FROM s) AS lambda, (SELECT min(level) FROM o) AS next_level
+  SELECT 0 AS k, (SELECT total FROM t) / (SELECT sum(w) FROM s) AS water, (SELECT min(level) FROM o) AS next_level
   UNION ALL SELECT k, ((SELECT total FROM t) - caps) / open_w, next_level FROM o WHERE open_w > 0.5),
-l AS (SELECT arg_min(lambda, k) AS lambda FROM c WHERE next_level IS NULL OR lambda < next_level),
-g AS (SELECT source, source_size, round(least(cap, w * (SELECT lambda FROM l)), 6) AS target FROM s),
+l AS (SELECT arg_min(water, k) AS water FROM c WHERE next_level IS NULL OR water < next_level),
+g AS (SELECT source, source_size, round(least(cap, w * (SELECT water FROM l)), 6) AS target FROM s),
 r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size + 1e-9) AS BIGINT) ELSE 0 END AS whole,

@@ -294,10 +294,10 @@ def deduplicated(docs: DataFrame, stage: Stage) -> DataFrame:
     found = stage.put(groups(docs.select("doc_id", "text"), stage), "groups")
     named = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     named = stage.put(named.filter("not kept or n > 1").select(F.col("doc_id").alias("id"), "kept"), "removed")
-    flagged = maybe_in(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id", named)
-    removed = named.filter("not kept").select(F.col("id").alias("_id"))
-    doubtful = flagged.filter("_maybe").join(removed, "_id", "left_anti").dropDuplicates(["_id"])
-    return flagged.filter("not _maybe").select(docs.columns).unionByName(doubtful.select(docs.columns))
+    whole_rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))  # as one column, their names clash with none
+    flagged = maybe_in(whole_rows, "id", named)
+    doubtful = flagged.filter("_maybe").join(named.filter("not kept").select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return flagged.filter("not _maybe").select("doc.*").unionByName(doubtful.select("doc.*"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int, list
     if left_full:
         out.append((left_full, [capacity]))
     while total := sum(left.values()):
-        scale = -(-total // SIMULATED)
+        scale = min(-(-total // SIMULATED), max(left.values()))
         patterns: dict[tuple, int] = defaultdict(int)
         for gap, sizes in sum_of_squares({k: v // scale for k, v in left.items()}, capacity):
             if scale == 1 or gap <= LOOSE:

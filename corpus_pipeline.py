@@ -16,14 +16,23 @@ from arclattice.llm import mixing, neardup, packing, quality, toxicity
 from arclattice.llm.common import Stage, table
 
 
+def free_name(docs: DataFrame, name: str = "_score") -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), name="_score")
-    return scored.filter(F.col("_score") < 0.3).select(docs.columns)
+    name = free_name(docs)
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), name=name)
+    return scored.filter(F.col(name) < 0.3).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), name="_score")
-    return scored.filter(F.col("_score") >= 0.5).select(docs.columns)
+    name = free_name(docs)
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), name=name)
+    return scored.filter(F.col(name) >= 0.5).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

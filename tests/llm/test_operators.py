@@ -150,8 +150,7 @@ def test_fingerprints(spark, docs, none, rows):
         if r.doc_id is not None:
             assert by.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
         assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-    # a much shorter next text leaves half of this one, which is contained in it
-    assert all(abs(r.near_edited - 0.5) < 0.4 for r in out if r.n_chars > 800 and r.doc_id not in (11, 15))
+    assert all(r.near_edited > 0.3 for r in out if r.n_chars > 800 and r.doc_id != 15)  # half is kept
     assert fingerprints.edits(none).count() == 0
     assert fingerprints.edits(docs.filter("doc_id = 11")).first().n_chars == len(text[11])
 
@@ -176,11 +175,11 @@ def test_vectors(spark):
     x = [v.tolist() for v in np.concatenate([base, near, hub])]
     rows = [(i, v) for i, v in enumerate(x)] + [(1000, x[0]), (1001, [2 * c for c in x[0]]), (1002, None), (1003, [0.0] * 16), (1004, [float("nan")] + [1.0] * 15), (1005, [None] + [1.0] * 15), (1006, [1.0, 2.0]), (1007, [2.0, 4.0]), (1008, []), (None, x[1]), (5, x[5])]
     out = vectors.near_duplicates(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, n int, id int"), Stage(spark)).collect()
-    good = [(i, np.array(v)) for i, v in rows[:-1] if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links = [(a, b) for k, (a, u) in enumerate(good) for b, v in good[:k] if len(u) == len(v) and u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= 0.9]
     want = Counter(i for p in links for i in p)
-    want[5] += 1  # the repeated row is a copy of it
-    comp = brute.components([i for i, _ in rows if i is not None], links)
+    want[5] //= 2  # it has two rows, which are copies of each other
+    comp = brute.components({i for i, _ in rows if i is not None}, links)
     assert len(out) == len(rows)
     found = sum(r.n_links for r in out if r.vec_id not in (5, None))
     assert all(r.n_links <= want[r.vec_id] for r in out if r.vec_id is not None) and found >= 0.95 * sum(v for k, v in want.items() if k != 5)
@@ -284,7 +283,8 @@ def test_plans_hold_every_piece_once(monkeypatch):
             total += times
             for s in sizes:
                 made[s] += times
-        assert made == counts and total <= 1.02 * sum(k * v for k, v in counts.items()) / 1024 + 3
+        assert made == counts
+        assert total <= (1.02 if simulated > 5000 else 1.08) * sum(k * v for k, v in counts.items()) / 1024 + 3
     assert packing.plan({}) == []
 
 
