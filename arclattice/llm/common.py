@@ -44,6 +44,7 @@ class Stage:
         self.spark = bounded_batches(spark)
         self.dir = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         self.n = 0
+        self.there: list[str] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -54,8 +55,17 @@ class Stage:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
+        self.there.append(path)
         return out
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Removes all tables but those kept: no plan may read the others any more."""
+        keep = {df._stage_path for df in kept}
+        for path in self.there:
+            if path not in keep:
+                remove(self.spark, path)
+        self.there = [p for p in self.there if p in keep]
+
     def drop(self, df: DataFrame) -> None:
         """Removes a staged table that no later plan reads."""
         if path := getattr(df, "_stage_path", None):

@@ -109,6 +109,7 @@ def mixed(docs: DataFrame, stage: Stage, **how) -> DataFrame:
     """
     rows = taken(docs, stage, **how).groupBy("doc_id").agg(F.min(F.struct("whole", "part")).alias("n"))
     rows = stage.put(rows.select(F.col("doc_id").alias("id"), "n").filter("n.whole > 0 or n.part > 0"), "taken")
+    stage.clear(rows)
     whole_rows = docs.select(F.struct(*docs.columns).alias("doc"))  # as one column, their names clash with none
     both = whole_rows.join(rows, F.col("doc.doc_id").eqNullSafe(F.col("id")))
     whole = F.array_repeat(F.lit(None).cast("long"), F.col("n.whole").cast("int"))

@@ -280,6 +280,7 @@ def groups(docs: DataFrame, stage: Stage) -> DataFrame:
         linked = components(links.unionByName(more), stage)
     named = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = stage.put(named, "named")
+    stage.clear(found, named)
     slim = found.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = key_join(slim, named, "digest", stage, "doc_id")
     component = F.coalesce("component", "doc_id")
@@ -294,6 +295,7 @@ def deduplicated(docs: DataFrame, stage: Stage) -> DataFrame:
     found = stage.put(groups(docs.select("doc_id", "text"), stage), "groups")
     named = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     named = stage.put(named.filter("not kept or n > 1").select(F.col("doc_id").alias("id"), "kept"), "removed")
+    stage.clear(named)
     whole_rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))  # as one column, their names clash with none
     flagged = maybe_in(whole_rows, "id", named)
     doubtful = flagged.filter("_maybe").join(named.filter("not kept").select("id"), "id", "left_anti").dropDuplicates(["id"])
