@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
         return there
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="arclattice-"))
@@ -50,7 +50,7 @@ class Stage:
         self.n += 1
         return f"{self.dir}/{self.n}-{name}"
 
-    def put(self, df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    def put(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -104,16 +104,13 @@ def key_join(left: DataFrame, right: DataFrame, key: str, stage: Stage, spread:
     near = near.select(F.col(key).alias("_hot"), F.struct(*values).alias("_near"))
     far = right.select(F.col(key).alias("_key"), F.struct(*values).alias("_far"))
     out = left.join(F.broadcast(near), F.col(key) == F.col("_hot"), "left")
-    kind = dict(left.dtypes)[key]
     own = F.xxhash64(F.lit("own"), F.col(spread))
     cold = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key))
-    # a hot or null row's key is its own number: it meets no row, as far only has true keys beside a null
+    # a hot or null row gets a salt of its own and meets no row
     out = out.withColumn("_cold", cold).withColumn("_salt", F.when(cold.isNull(), own).otherwise(F.lit(0)))
     far = far.withColumn("_zero", F.lit(0).cast("long"))
     out = out.join(far, (F.col("_cold").eqNullSafe(F.col("_key"))) & (F.col("_salt") == F.col("_zero")), "left")
-    del kind
-    names = [c for c in left.columns]
-    return out.select(*names, *[F.coalesce(F.col(f"_near.{v}"), F.col(f"_far.{v}")).alias(v) for v in values])
+    return out.select(*left.columns, *[F.coalesce(F.col(f"_near.{v}"), F.col(f"_far.{v}")).alias(v) for v in values])
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str, stage: Stage) -> DataFrame:
