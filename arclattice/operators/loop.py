@@ -30,7 +30,7 @@ def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage at a checkpoint. Without spark.checkpoint.dir, only local masters get a folder of their own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+        if sc.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arclattice-loop-"))
     return df.checkpoint()
@@ -47,7 +47,7 @@ def held_radii(points: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame
     return points.drop("fine").join(new.withColumnRenamed("held", "fine"), ["seq_id", "sector"]), new
 
 
-def cells_of(points: DataFrame, frames: DataFrame, tracks: DataFrame, held: DataFrame, p: Fovea, roof) -> tuple[DataFrame, DataFrame]:
+def cells_of(points: DataFrame, frames: DataFrame, tracks: DataFrame, held: DataFrame, p: Fovea) -> tuple[DataFrame, DataFrame]:
     state = project.with_lobes(frames, tracks, p).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "lobes", "roof")
     rows = points.join(state, ["seq_id", "frame_id"]).filter("z <= roof").withColumn("theta", polar.bearing())
     rows = rows.withColumn("fine", fine_radius("theta", lobes=F.col("lobes"), p=p)).drop("lobes", "speed_mps", "steering_angle_rad")
@@ -82,10 +82,10 @@ def closed_loop(points: DataFrame, frames: DataFrame, p: Fovea = Fovea()) -> tup
     for i, f in enumerate(numbers):
         now, state = points.filter(F.col("frame_id") == f), frames.filter(F.col("frame_id") == f)
         seen = lambda t: t.withColumn("frame_id", F.lit(f))  # noqa: B023, E731
-        cells, held = cells_of(now, state, seen(tracks), held, p, None)
+        cells, held = cells_of(now, state, seen(tracks), held, p)
         tracks = next_tracks(tracks, cells, f, kind)
         if i == 0:
-            cells, held = cells_of(now, state, seen(tracks), held, p, None)
+            cells, held = cells_of(now, state, seen(tracks), held, p)
         all_cells.append(cells)
         all_tracks.append(tracks)
     cells, tracks = all_cells[0], all_tracks[0]
