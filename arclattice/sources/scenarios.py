@@ -2,7 +2,7 @@
 
 A scene is a list of parts: how many points, and how x, y, z and intensity are drawn. Draws are
 hashes of (seed, scenario, frame, part, point, coordinate), so any frame can be made alone, on any
-executor, again and alike. They follow the reference scenes in distribution, not number by number.
+executor, again and alike. They follow the original scenes in distribution, not number by number.
 """
 
 from __future__ import annotations
