@@ -189,6 +189,21 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), Stage(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("pivots", "n"), [(632, 1800), (2048, 2400)])
+def test_vectors_of_a_dense_group(spark, monkeypatch, pivots, n):
+    monkeypatch.setattr(vectors, "LEAST_PIVOTS", pivots)
+    rng = np.random.default_rng(9)
+    centre, x = rng.normal(size=64), rng.normal(size=(n, 64))
+    x[: n // 3] = centre + 0.23 * x[: n // 3]
+    out = vectors.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), Stage(spark)).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    got = np.zeros(n, int)
+    for r in out:
+        got[r.vec_id] = r.n_links
+    assert want.sum() > n * n / 10 and (got <= want).all() and got.sum() >= 0.98 * want.sum()
+
+
 def plain_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
     sizes = Counter()
     for r in rows:
