@@ -103,10 +103,10 @@ def nearest(reps: DataFrame, pivots: list[bytes]) -> DataFrame:
 
 
 def keys(p):
-    """Names of all pairs of the pivots; of a single one, itself."""
+    """Names of all pairs of the pivots, 0 or more; of a single one, and of a length without any, negative ones of their own."""
     s = F.array_sort(p)
     pairs = F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b > a), lambda b: a.cast("long") * MOST_PIVOTS + b)))
-    return F.when(F.size(s) > 1, pairs).otherwise(F.transform(s, lambda a: -1 - a.cast("long")))
+    return F.when(F.size(s) > 1, pairs).otherwise(F.transform(s, lambda a: F.when(a >= 0, -1 - a.cast("long")).otherwise(a.cast("long") - 1 - MOST_PIVOTS)))
 
 
 def linked_cells(t: pa.Table) -> pa.Table:
@@ -119,7 +119,7 @@ def linked_cells(t: pa.Table) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for p, q in zip(cuts[:-1], cuts[1:], strict=True):
         rows = order[p:q]
-        if q - p < 2 or len({len(raw[r]) for r in rows}) > 1:
+        if q - p < 2:  # all members of a list have one length
             continue
         x = unit([raw[r] for r in rows])
         left, right = np.flatnonzero(block[rows] == i[rows[0]]), np.flatnonzero(block[rows] == j[rows[0]])

@@ -204,6 +204,28 @@ def test_vectors_of_a_dense_group(spark, monkeypatch, pivots, n):
     assert want.sum() > n * n / 10 and (got <= want).all() and got.sum() >= 0.98 * want.sum()
 
 
+def test_vectors_of_a_rare_length(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(900, 16))
+    x = [*base, *(base[:450] + 0.01 * rng.normal(size=(450, 16))), *([1.0, 0.01 * i] for i in range(4))]
+    # ids of the rare length in reverse order of their hashes, so that no pivot has it
+    ids = [r.id for r in spark.range(20_000).orderBy(F.xxhash64("id")).collect()]
+    ids = ids[: len(x) - 4] + ids[-4:]
+    out = vectors.near_duplicates(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), Stage(spark)).collect()
+    found = {r.vec_id: r for r in out}
+    assert [(found[i].n_links, found[i].component_id) for i in ids[-4:]] == [(3, min(ids[-4:]))] * 4
+    u = np.array(x[:-4])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert sum(found[i].n_links for i in ids[:-4]) >= 0.99 * want.sum()
+
+
+def test_vector_lists_have_distinct_names(spark):
+    rows = [([0, 15],), ([-16],), ([15],), ([0],), ([-2048],), ([2047],)]
+    out = [r.k for r in spark.createDataFrame(rows, "p array<int>").select(F.explode(vectors.keys(F.col("p"))).alias("k")).collect()]
+    assert len(set(out)) == len(rows) and [k >= 0 for k in out] == [True] + [False] * 5
+
+
 def plain_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
     sizes = Counter()
     for r in rows:
