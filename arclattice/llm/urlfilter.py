@@ -2,8 +2,8 @@
 
 A rule (host, path) fits its host and all subdomains where the URL's path starts with the rule's;
 the longest that fits decides. Pages that no rule fits take the decision of their aliases: URLs are
-joined by the canonical link and the refresh redirect that their pages name, and the connected
-components of these edges are equivalent. An alias that a rule allows wins over one that a rule
+joined by all canonical links and refresh redirects that their pages name, relative ones resolved
+against the page's URL or its base tag, and the connected components of these edges are equivalent. An alias that a rule allows wins over one that a rule
 blocks; without either the page is allowed.
 
 Rules are configuration, a short list that becomes part of the plan. URLs are compared without
@@ -28,9 +28,13 @@ RULES = (
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_BASE = r"""(?is)<base\b[^>]*>"""
+#: An attribute's value: to its quote, else to a space.
+_VALUE = r"""(?is)(?<![\w-])%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: The URL of a refresh: to its own quote, else to the end of the content.
+_URL = r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+_BARE_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def after_scheme(url: Column) -> Column:
@@ -62,16 +66,55 @@ def node(rest: Column) -> Column:
     return F.when(host_of(rest) != "", F.concat(host_of(rest), path_of(rest), query))
 
 
+def first_of(text: Column, pattern: str) -> Column:
+    """The one of the pattern's three groups that fits first in the text, or an empty string."""
+    return F.concat(*[F.regexp_extract(text, pattern, g) for g in (1, 2, 3)])
+
+
+def decoded(text: Column) -> Column:
+    for entity, char in (("&quot;|&#0*34;|&#[xX]0*22;", '"'), ("&apos;|&#0*39;|&#[xX]0*27;", "'"), ("&amp;|&#0*38;|&#[xX]0*26;", "&")):
+        text = F.regexp_replace(text, entity, char)
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """The path, which starts with a slash, without its segments "." and ".."."""
+    parts = F.split(path, "/", -1)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    step = lambda got, p: F.when(p == ".", got).when(p == "..", F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0)))).otherwise(F.concat(got, F.array(p)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))).otherwise(path)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The URL `to` as named in a document at `base`, both after their scheme; empty for schemes without "://"."""
+    host, path = host_of(base), path_of(base)
+    own, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    out = F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), after_scheme(to)).when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "")
+    out = out.when(to.startswith("//"), F.substring(to, 3, 1 << 30)).when(to.startswith("/"), F.concat(host, without_dots(own), rest))
+    out = out.when(to.startswith("#") | (to == ""), base).when(to.startswith("?"), F.concat(host, path, to))
+    return out.otherwise(F.concat(host, without_dots(F.concat(folder, own)), rest))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(from_rest, to_rest): URLs after their scheme that pages call equivalent."""
     rest = after_scheme(F.col("url"))
-    named = pages.filter(F.col("html").rlike("(?i)canonical|refresh")).select("url", rest.alias("from_rest"), "html")
-    found = F.array(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _URL, 1))
-    to = F.regexp_replace(F.col("to"), "&amp;", "&")
-    host = host_of(F.col("from_rest"))
-    target = F.when(to.startswith("//"), F.substring(to, 3, 1 << 30)).when(to.startswith("/"), F.concat(host, to)).otherwise(after_scheme(to))
-    edges = named.select("from_rest", F.explode(F.filter(found, lambda x: x != "")).alias("to")).select("from_rest", target.alias("to_rest"))
-    return edges.filter(node(F.col("from_rest")).isNotNull() & node(F.col("to_rest")).isNotNull())
+    named = pages.filter(F.col("html").rlike("(?i)canonical|refresh")).select(rest.alias("from_rest"), "html").filter(node(F.col("from_rest")).isNotNull())
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    href = lambda tag: F.trim(decoded(first_of(tag, _VALUE % "href")))
+
+    def target(tag: Column) -> Column:
+        content = decoded(first_of(tag, _VALUE % "content"))
+        url = first_of(content, _URL)
+        return F.trim(F.when(url != "", url).otherwise(decoded(F.regexp_extract(tag, _BARE_URL, 1))))
+
+    bases = F.filter(F.transform(tags(_BASE), href), lambda x: x != "")
+    found = F.concat(F.transform(tags(_CANONICAL), href), F.transform(tags(_REFRESH), target))
+    named = named.select("from_rest", F.coalesce(F.try_element_at(bases, F.lit(1)), F.lit("")).alias("base"), F.explode(F.filter(found, lambda x: x != "")).alias("to"))
+    edges = named.select("from_rest", resolved(F.col("from_rest"), F.col("base")).alias("base"), "to")
+    edges = edges.select("from_rest", resolved(F.col("base"), F.col("to")).alias("to_rest"))
+    return edges.filter(node(F.col("to_rest")).isNotNull())
 
 
 def judged(pages: DataFrame, stage: Stage, rules=RULES) -> DataFrame:

@@ -367,6 +367,39 @@ def test_url_aliases(spark):
     assert urlfilter.judged(spark.createDataFrame([], "page_id long, url string, html string"), Stage(spark)).count() == 0
 
 
+def test_url_aliases_of_ordinary_markup(spark):
+    blocked = '<link rel="canonical" href="http://x.net/es/9">'
+    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    pages = [
+        # the verdict of 1 depends on the whole query
+        ("http://a.org/1", refresh("http://m.org/a?b=1&amp;c=2"), "block"),
+        ("http://m.org/a?b=1&c=2", blocked, "block"),
+        ("http://m.org/a?b=1", "", "allow"),
+        ("http://m.org/a?b=1&amp", "", "allow"),
+        ("http://a.org/2", refresh("'http://m.org/b;v=1?x=;y'"), "block"),
+        ("http://m.org/b;v=1?x=;y", blocked, "block"),
+        # relative targets
+        ("http://r.org/d/page1.html?q", "<link rel=canonical href='page2.html'>", "block"),
+        ("http://r.org/d/page2.html", blocked, "block"),
+        ("http://s.org/d/e?id=1", "<link rel=canonical href='?id=3'>", "block"),
+        ("http://s.org/d/e?id=3", blocked, "block"),
+        ("http://t.org", "<link rel=canonical href='./x/../u?r=http://v.org/'>", "block"),
+        ("http://t.org/u?r=http://v.org/", blocked, "block"),
+        ("http://w.org/a/b/c", "<base href='/k/l/'><link data-href='no' rel=canonical href=../m/.>", "block"),
+        ("http://w.org/k/m/", blocked, "block"),
+        ("http://y.org/1", "<link rel=canonical href='mailto:a@y.org'>", "allow"),
+        # not only the first link and redirect
+        ("http://z.org/1", '<link rel="canonical" href="http://z.org/5"><LINK rel="canonical" href="http://z.org/6">', "block"),
+        ("http://z.org/6", blocked, "block"),
+        ("http://z.org/2", refresh("http://z.org/7") + refresh("http://z.org/8"), "block"),
+        ("http://z.org/8", blocked, "block"),
+    ]
+    # components of their own, so that one cannot repair the other
+    rows = [(i, u, h.replace("/es/9", f"/es/{i}")) for i, (u, h, _) in enumerate(pages)]
+    out = {r.page_id: r.verdict for r in urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), Stage(spark)).collect()}
+    assert [(u, out[i]) for i, (u, _, _) in enumerate(pages)] == [(u, v) for u, _, v in pages]
+
+
 def plain_groups(rows):
     sets = {r[0]: brute.shingles(r[1]) for r in rows if r[0] is not None}
     links = brute.jaccard_links({i: s for i, s in sets.items() if s})
