@@ -33,7 +33,5 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_fingerprints": op3_fingerprints,
-        "op4_vectors": op4_vectors,
         "op5_mixing": OP5_SQL,
     }

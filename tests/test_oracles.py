@@ -9,6 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import __spark_entry__
 from arclattice import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,7 @@ def test_same_rows(spark, duck, name):
     ours, theirs = catalog.queries()[name](spark, SF).toPandas(), duck.execute(catalog.oracle_sql()[name]).fetchdf()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert plain(ours) == plain(theirs)
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
