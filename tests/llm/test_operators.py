@@ -220,10 +220,54 @@ def test_vectors_of_a_rare_length(spark):
     assert sum(found[i].n_links for i in ids[:-4]) >= 0.99 * want.sum()
 
 
-def test_vector_lists_have_distinct_names(spark):
-    rows = [([0, 15],), ([-16],), ([15],), ([0],), ([-2048],), ([2047],)]
-    out = [r.k for r in spark.createDataFrame(rows, "p array<int>").select(F.explode(vectors.keys(F.col("p"))).alias("k")).collect()]
-    assert len(set(out)) == len(rows) and [k >= 0 for k in out] == [True] + [False] * 5
+def recall(spark, x, **how):
+    """Links found of all links, none of them wrong."""
+    n = len(x)
+    out = vectors.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), Stage(spark)).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want, got = np.concatenate([(u[i : i + 500] @ u.T >= 0.9).sum(1) - 1 for i in range(0, n, 500)]), np.zeros(n, int)
+    for r in out:
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all()
+    return got.sum() / want.sum()
+
+
+def planted(rng, pairs, others, d):
+    """Random vectors with a neighbour each at a cosine of 0.90 to 0.93, and others without."""
+    a, o = rng.normal(size=(pairs, d)), rng.normal(size=(pairs, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.93, (pairs, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * o, rng.normal(size=(others, d))])
+
+
+@pytest.mark.parametrize("d", [24, 64])
+def test_recall_of_planted_pairs(spark, d):
+    assert recall(spark, planted(np.random.default_rng(d), 5000, 2000, d)) >= 0.98
+
+
+def test_recall_with_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAST_PIVOTS", 4096)  # as many as 4 million vectors have
+    assert recall(spark, planted(np.random.default_rng(7), 1500, 3000, 64)) >= 0.97
+
+
+def test_crowded_pivots_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CROWDED", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "STRIPE", 16)
+    monkeypatch.setattr(vectors, "ENTRIES", 500)
+    rng = np.random.default_rng(3)
+    x = planted(rng, 300, 300, 16)
+    x[-200:] = rng.normal(size=16) + 0.25 * rng.normal(size=(200, 16))
+    assert recall(spark, x) >= 0.98
+
+
+def test_vectors_of_a_length_without_pivot(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 16)))] + [(5000, [1.0, 2.0]), (5001, [2.0, 4.01]), (5002, [2.0, 4.02])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Stage(spark)).collect()}
+    assert [out[i] for i in (5000, 5001, 5002)] == [(2, 5000)] * 3
 
 
 def plain_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
