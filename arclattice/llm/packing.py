@@ -5,15 +5,13 @@ Longer ones are cut into pieces of `length` ids, whose first may be shorter. A p
 sum over residual gaps g of (open bins with gap g) squared becomes smallest, on ties the tightest;
 a bin is opened only where none fits, and the longest pieces come first.
 
-Pieces of equal length are exchangeable, so bins are planned on the histogram of lengths, at most
-`length` numbers, on the driver. Of a large corpus every `scale`-th piece of each length is planned
-and each full bin stands for `scale` bins; what such a division leaves over, and the pieces of bins
-that stayed open, are planned again with a smaller scale, at last piece by piece. Plans then hold
-at most SIMULATED pieces whatever the corpus, and pieces find their bins by their rank among the
-pieces of their length, which Spark counts.
-
-Null text counts as empty: one piece that holds the end id. Rows are packed one by one, repeated
-ones or ones without doc_id too.
+Pieces are dealt at random into groups of about GROUP, whatever the corpus, and tasks pack the groups
+side by side: their lengths are distributed alike, so that packing them together would only spare the
+few bins that each group leaves open at its end.
+
+Null text counts as empty: one piece that holds the end id. Texts may be of any length. Rows are packed
+one by one, repeated ones or ones without doc_id too; ties in length go in the order of their rows.
+Columns beside doc_id and text are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,17 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, running_total, table
+from .common import Stage, table
 from .toxicity import blocks
 
 LENGTH = 1024
 END = 2
-#: Pieces that one plan places at most.
-SIMULATED = 120_000
-#: A bin of a scaled plan may leave so many ids free; others are planned again.
-LOOSE = 2
-#: Rows that one task numbers, about.
-RUN = 50_000
+#: Pieces that one task packs, about. A group ends with a handful of bins that could take more.
+GROUP = 100_000
 
 _encoders: dict[str, tuple] = {}
 
@@ -104,92 +98,49 @@ def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def sum_of_squares(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Bins as (gap, lengths); the longest pieces come first."""
+def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bin and the offset of each piece; the longest pieces come first, ties in the order given."""
     n = np.zeros(capacity + 1)  # open bins by gap; a full bin is closed
     at: dict[int, list[int]] = defaultdict(list)
-    bins: list[list[int]] = []
-    gaps: list[int] = []
-    for size in sorted(counts, reverse=True):
-        for _ in range(counts[size]):
-            rest = capacity - size
-            # change of the sum of squares, halved, when a bin of gap size..capacity takes the piece
-            change = np.where(n[size:] > 0, n[: rest + 1] - n[size:] + 1, np.inf)
-            change[0] = 0.5 - n[size] if n[size] > 0 else np.inf
-            g = int(change.argmin())
-            if change[g] < np.inf:
-                b = at[g + size].pop()
-                n[g + size] -= 1
-            else:
-                b, g = len(bins), rest
-                bins.append([])
-                gaps.append(0)
-            bins[b].append(size)
-            gaps[b] = g
-            if g:
-                at[g].append(b)
-                n[g] += 1
-    return list(zip(gaps, bins, strict=True))
-
-
-def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int, list[int]]]:
-    """(times, lengths of one bin), for all pieces that counts has."""
-    left, out = dict(counts), []
-    left_full = left.pop(capacity, 0)
-    if left_full:
-        out.append((left_full, [capacity]))
-    while total := sum(left.values()):
-        scale = min(-(-total // SIMULATED), max(left.values()))
-        patterns: dict[tuple, int] = defaultdict(int)
-        for gap, sizes in sum_of_squares({k: v // scale for k, v in left.items()}, capacity):
-            if scale == 1 or gap <= LOOSE:
-                patterns[tuple(sizes)] += scale
-        if not patterns and scale > 1:  # nothing fills up: commit the plan as it is
-            for _, sizes in sum_of_squares({k: v // scale for k, v in left.items()}, capacity):
-                patterns[tuple(sizes)] += scale
-        for sizes, times in patterns.items():
-            out.append((times, list(sizes)))
-            for s in sizes:
-                left[s] -= times
-        left = {k: v for k, v in left.items() if v}
-    return out
+    bin_of, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    bins = 0
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[k])
+        rest = capacity - size
+        # change of the sum of squares, halved, when a bin of gap size..capacity takes the piece
+        change = np.where(n[size:] > 0, n[: rest + 1] - n[size:] + 1, np.inf)
+        change[0] = 0.5 - n[size] if n[size] > 0 else np.inf
+        g = int(change.argmin())
+        if change[g] < np.inf:
+            b = at[g + size].pop()
+            n[g + size] -= 1
+        else:
+            b, g = bins, rest
+            bins += 1
+        bin_of[k], offset[k] = b, capacity - g - size
+        if g:
+            at[g].append(b)
+            n[g] += 1
+    return bin_of, offset
 
 
 def packed(pieces: DataFrame, stage: Stage, length: int = LENGTH) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset. `pieces` is read twice."""
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `length` rows
-    slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by length: (times, first sequence, offset)
-    first = 0
-    for times, sizes in plan(counts, length):
-        offset = 0
-        for s in sizes:
-            slots[s].append((times, first, offset))
-            offset += s
-        first += times
-    lengths = np.repeat(np.array(sorted(slots), np.int64), [len(slots[s]) for s in sorted(slots)])
-    flat = np.array([x for s in sorted(slots) for x in slots[s]], np.int64).reshape(-1, 3)
-    # ranks of all lengths on one line: a length's ranks follow those of the shorter ones
-    base, ends = dict.fromkeys(counts, 0), np.cumsum(flat[:, 0])
-    total = 0
-    for s in sorted(counts):
-        base[s] = total
-        total += counts[s]
-    starts = ends - flat[:, 0]
-    base_of = np.zeros(length + 1, np.int64)
-    base_of[list(base)] = list(base.values())
-    assert len(lengths) == len(flat)
-
-    @F.arrow_udf("struct<sequence_id: long, offset: long>")
-    def place(size: pa.Array, rank: pa.Array) -> pa.Array:
-        x = base_of[size.to_numpy(zero_copy_only=False)] + rank.to_numpy(zero_copy_only=False)
-        k = np.searchsorted(ends, x, "right")
-        return pa.StructArray.from_arrays([pa.array(flat[k, 1] + x - starts[k]), pa.array(flat[k, 2])], ["sequence_id", "offset"])
-
-    runs = max(64, sum(counts.values()) // RUN)
-    rows = pieces.withColumn("_run", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(runs))).withColumn("_one", F.lit(1))
-    order = [c for c in ("doc_id", "piece", "start") if c in pieces.columns]
-    ranked = running_total(rows, ["length"], "_run", order, "_one", "_rank", stage)
-    return ranked.withColumn("_at", place("length", "_rank")).select(*pieces.columns, F.col("_at.sequence_id"), F.col("_at.offset"))
+    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset.
+
+    Rows are dealt at random into groups of about GROUP, each of which a task packs by itself.
+    """
+    rows = stage.put(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-rows.count() // GROUP))
+
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_row")
+        b, offset = sum_of_squares(t.column("length").to_numpy(), length)
+        group = t.column("_group").to_numpy()
+        return pa.table({"_row": t.column("_row"), "sequence_id": (group << 32) + b, "offset": offset})
+
+    dealt = rows.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(groups).cast("long")).alias("_group"))
+    places = stage.put(dealt.groupBy("_group").applyInArrow(place, "_row long, sequence_id long, offset long"), "places")
+    return rows.join(places, "_row").select(*pieces.columns, "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -202,7 +153,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
 def placements(docs: DataFrame, stage: Stage) -> DataFrame:
     """Every piece's place, its ids as their checksum."""
     pieces = tokenised(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packed(stage.put(pieces, "pieces"), stage)
+    return packed(pieces, stage)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
