@@ -13,8 +13,11 @@ from pyspark.sql.window import Window
 
 #: A key is hot if it has more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 500
+#: Rows that one task orders, about.
+RUN = 50_000
 
 _own: list[str] = []
+_stages: list[Stage] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,13 +41,19 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
 
 
 class Stage:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    Results are read lazily, so an operator leaves the tables behind that its result reads. They go
+    at the end of the session, or earlier by release().
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = bounded_batches(spark)
         self.dir = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         self.n = 0
         self.there: list[str] = []
+        _stages.append(self)
+        remove_at_exit(spark, self.dir)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -72,6 +81,28 @@ class Stage:
             remove(self.spark, path)
 
 
+def stages() -> list[Stage]:
+    """The stages that still have tables, oldest first."""
+    return list(_stages)
+
+
+def release(old: list[Stage]) -> None:
+    """Removes these stages' folders: results that read them must have been written or used."""
+    for s in old:
+        remove(s.spark, s.dir)
+        s.there = []
+        if s in _stages:
+            _stages.remove(s)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Makes the folder and has it removed when the driver ends, however it does so in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -113,39 +144,47 @@ def key_join(left: DataFrame, right: DataFrame, key: str, stage: Stage, spread:
     return out.select(*left.columns, *[F.coalesce(F.col(f"_near.{v}"), F.col(f"_far.{v}")).alias(v) for v in values])
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list, value: str, out: str, stage: Stage) -> DataFrame:
-    """Exclusive running sum of `value` within `group`, rows ordered by (bucket, order).
+def running_total(df: DataFrame, group: list[str], order: list, value: str, out: str, stage: Stage, rows: int) -> DataFrame:
+    """Exclusive running sum of `value` within `group`, rows ordered by `order`.
 
-    `bucket` is a long that cuts each group into runs of bounded length, so that no task orders a
-    whole group: sums of buckets are added up first, rows within their bucket only.
+    All rows are sorted by group and order and cut into ranges of about RUN rows, whatever the group, so
+    that no task orders a whole group: sums of ranges are added up first, rows within their range
+    only. A unique last column of `order` lets ranges cut rows that are equal in the others. `rows`:
+    how many there are, about. df is read twice: it should be a staged table.
     """
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
-    w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = max(partitions(stage.spark), rows // RUN)
+    keys = [*group, *order]
+    # a constant or two would send all rows to one range only if their order were equal too
+    dealt = df.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = stage.put(dealt, "dealt")
+    sums = dealt.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    w = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
     before = stage.put(before, "before")
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, bucket]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = rows.alias("r").join(before.alias("b"), cond)
-    return joined.select("r.*", "b._before").withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before")
+    local = dealt.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    cond = F.lit(True)
+    for c in [*group, "_range"]:
+        cond = cond & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = local.alias("r").join(before.alias("b"), cond)
+    return joined.select("r.*", "b._before").withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_range")
 
 
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
-    """Connected components: (a long, b long) pairs to (id, component), component the smallest id.
+    """Connected components: pairs (a, b) of longs or of binary digests to (id, component), component the smallest id.
 
-    Vertices get the name xxhash64(id), one-to-one on longs and in random order, which keeps
-    chains short. Each round every vertex hooks to its smallest neighbour, parents are jumped
+    Longs get the name xxhash64(id), one-to-one and in random order, which keeps chains short;
+    digests are random and name themselves. Each round every vertex hooks to its smallest neighbour, parents are jumped
     once, and the edges are contracted to the parents' names until none is left. All joins are
     between staged tables, whose hot keys adaptive execution can split.
     """
-    raw = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null")
+    digests = edges.schema["a"].dataType.simpleString() == "binary"
+    kind, named = ("binary", F.col) if digests else ("long", F.xxhash64)
+    raw = edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).filter("a is not null and b is not null")
     raw = stage.put(raw.distinct(), "edges")
     both = raw.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    name = stage.put(both.select("id", F.xxhash64("id").alias("root")), "names")
-    edge = stage.put(raw.filter("a <> b").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "named")
+    name = stage.put(both.select("id", named("id").alias("root")), "names")
+    edge = stage.put(raw.filter("a <> b").select(named("a").alias("a"), named("b").alias("b")), "named")
     stage.drop(raw)
     while not edge.isEmpty():
         sides = edge.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))

@@ -9,7 +9,9 @@ part, so that a source's words equal its target rounded to whole words, less wha
 Sources may be as many as there are documents and one may hold most of them: their numbering, the
 water level and the running sums in seeded order are all computed by Spark, in runs of bounded length.
 
-Null text has size 0. Null is a source of its own. Rows that repeat a doc_id are taken one by one.
+Null text has size 0. Null is a source of its own. Rows that repeat a doc_id are taken one by one,
+the shorter first; of rows that are alike any may be the one taken in part. Texts may be of any
+length. Other columns are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1:"
-#: Rows that one task orders, about.
-RUN = 50_000
 
 
 @F.arrow_udf(LongType())
@@ -83,40 +83,45 @@ def targets(sized: DataFrame, stage: Stage, weights=WEIGHTS, share=SHARE, max_ep
     return ranked.select("key", "source_size", F.round(target, 6).alias("target"))
 
 
+def seeded() -> Column:
+    """The order in which documents fill the fractional part."""
+    return F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def taken(docs: DataFrame, stage: Stage, **how) -> DataFrame:
-    """docs (doc_id, source, text) to (doc_id, size, source_size, target, taken, whole, part)."""
-    slim = docs.select("doc_id", source_key().alias("key"), word_count("text").alias("size"))
-    slim = slim.withColumn("order", F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    slim = stage.put(slim, "sized")
+    """docs (doc_id, source, text) to (doc_id, key, size, source_size, target, taken, order, whole, part)."""
+    slim = docs.select("doc_id", source_key().alias("key"), word_count("text").alias("size"), seeded().alias("order"))
+    slim = stage.put(slim.withColumn("row", F.monotonically_increasing_id()), "sized")
     goals = stage.put(targets(slim, stage, **how), "targets")
-    runs = min(1 << 24, max(64, slim.count() // RUN))
-    place = F.conv(F.substring("order", 1, 6), 16, 10).cast("long")
-    slim = slim.withColumn("_run", F.floor(place * runs / (1 << 24)))
-    ahead = running_total(slim, ["key"], "_run", ["order", "doc_id", "size"], "size", "before", stage)
-    ahead = stage.put(ahead.drop("_run"), "ahead")
-    rows = key_join(ahead, goals, "key", stage, "order")
+    ahead = running_total(slim, ["key"], ["order", "doc_id", "size", "row"], "size", "before", stage, slim.count())
+    rows = key_join(stage.put(ahead, "ahead"), goals, "key", stage, "row")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0)
     rows = rows.withColumn("whole", whole.cast("long"))
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return rows.withColumn("part", part).withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
+    return rows.withColumn("part", part).withColumn("taken", F.col("whole") * F.col("size") + F.col("part")).drop("before", "row")
 
 
 def mixed(docs: DataFrame, stage: Stage, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, the fractional copy cut after its words.
 
-    Rows that repeat a doc_id are taken as often as the first of them.
+    In a source's seeded order the documents before one are taken once more, those behind it not, and
+    that one in part: so each row compares itself with this bound of its source, and no text moves.
+    Rows that repeat a doc_id have the same place in the order and are taken alike.
     """
-    rows = taken(docs, stage, **how).groupBy("doc_id").agg(F.min(F.struct("whole", "part")).alias("n"))
-    rows = stage.put(rows.select(F.col("doc_id").alias("id"), "n").filter("n.whole > 0 or n.part > 0"), "taken")
-    stage.clear(rows)
-    whole_rows = docs.select(F.struct(*docs.columns).alias("doc"))  # as one column, their names clash with none
-    both = whole_rows.join(rows, F.col("doc.doc_id").eqNullSafe(F.col("id")))
-    whole = F.array_repeat(F.lit(None).cast("long"), F.col("n.whole").cast("int"))
-    part = F.when(F.col("n.part") > 0, F.array("n.part")).otherwise(F.array().cast("array<bigint>"))
-    out = both.select("doc", F.explode(F.concat(whole, part)).alias("words"))
-    text = F.when(F.col("words").isNull(), F.col("doc.text")).otherwise(head("doc.text", "words"))
-    return out.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
+    rows = taken(docs, stage, **how)
+    at = F.struct("order", F.col("part").alias("words"))
+    bounds = rows.groupBy("key").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("part") > 0, at)).alias("bound"))
+    bounds = stage.put(bounds, "bounds")
+    stage.clear(bounds)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), source_key().alias("key"), seeded().alias("order"))  # as one column, their names clash with none
+    rows = key_join(rows, bounds, "key", stage, "order")
+    more = F.when(F.col("order") < F.col("bound.order"), F.lit(-1).cast("long")).when(F.col("order") == F.col("bound.order"), F.col("bound.words"))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.array_compact(F.array(more)))
+    out = rows.select("doc", F.explode(copies).alias("words"))
+    text = F.when(F.col("words") < 0, F.col("doc.text")).otherwise(head("doc.text", F.when(F.col("words") >= 0, F.col("words"))))
+    out = out.select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
+    return out
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

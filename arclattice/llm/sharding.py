@@ -9,7 +9,9 @@ rows back, unlinked small ones first, which fill the others. That keeps sizes
 within about one document of the mean and cuts a hub only if it is larger than a shard has room.
 
 The driver sees k numbers a round. Sizes are UTF-8 bytes plus 1, null text has 1. Null and empty
-texts are linked with nothing. Rows that repeat a doc_id are placed one by one.
+texts are linked with nothing. Rows that repeat a doc_id, or have none, are placed one by one, and so
+are ties, in the order of their rows. A text longer than a shard's share leaves that shard above the
+mean. Other columns are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ ROUNDS = 3
 SLACK = 0.02
 #: A hub above this share of a shard moves row by row.
 LARGE = 1 / 64
-#: Rows that one task orders, about.
-RUN = 50_000
 
 
 def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> DataFrame:
@@ -67,18 +67,20 @@ def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> Da
 def levelled(rows: DataFrame, k: int, stage: Stage) -> DataFrame:
     """rows (row, size, hubs, shard, linked, big) with every shard's size near the mean."""
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    mean, runs = total / k, max(64, n // RUN)
+    mean = total / k
     # linked rows, a hub's next to each other, come first, then those of large hubs, then the others, of which the smallest are last
     grade = F.when(F.col("big"), 1).when(F.col("linked"), 0).otherwise(64 - F.floor(F.log2(F.col("size").cast("double")))).cast("long")
     name = F.when(F.col("linked") & ~F.col("big"), F.xxhash64(F.col("hubs")[0])).otherwise(F.xxhash64("row"))
-    rows = rows.withColumn("name", name).withColumn("run", grade * runs + F.pmod(name, F.lit(runs)))
-    placed = running_total(rows, ["shard"], "run", ["name", "row"], "size", "before", stage)
+    rows = stage.put(rows.withColumn("name", name).withColumn("grade", grade).drop("hubs"), "graded")
+    order = ["grade", "name", "row"]
+    placed = running_total(rows, ["shard"], order, "size", "before", stage, n)
     placed = stage.put(placed.withColumn("stays", F.col("before") + F.col("size") <= mean), "stays")
     gaps = np.full(k, mean)
     for r in placed.filter("stays").groupBy("shard").agg(F.sum("size").alias("s")).collect():
         gaps[r["shard"]] -= r["s"]
     ends = np.cumsum(np.maximum(gaps, 0))
-    out = running_total(placed.filter(~F.col("stays")).drop("before").withColumn("one", F.lit(0)), ["one"], "run", ["name", "row"], "size", "before", stage)
+    moving = stage.put(placed.filter(~F.col("stays")).drop("before").withColumn("one", F.lit(0)), "moving")
+    out = running_total(moving, ["one"], order, "size", "before", stage, moving.count())
     middle = F.col("before") + F.col("size") / 2
     to = F.lit(k - 1)
     for s in reversed(range(k - 1)):
@@ -94,10 +96,8 @@ def sharded(docs: DataFrame, hubs, k: int, stage: Stage, rounds: int = ROUNDS) -
     first = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(k)).cast("int")
     rows = base.select("row", "size", "hubs", first.alias("shard"), F.lit(False).alias("linked"), F.lit(False).alias("big"))
     rows = stage.put(levelled(propagate(rows, k, stage, rounds), k, stage), "levelled")
-    runs = max(64, base.count() // RUN)
-    both = base.drop("hubs").join(rows, "row")
-    both = both.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs))).withColumn("one", F.lit(1))
-    return running_total(both, ["shard"], "run", ["doc_id", "row"], "one", "slot", stage).select("doc_id", "size", "text_crc32", "shard", "slot")
+    both = stage.put(base.drop("hubs").join(rows, "row").withColumn("one", F.lit(1)), "sharded")
+    return running_total(both, ["shard"], ["doc_id", "row"], "one", "slot", stage, both.count()).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_key_join_with_hot_and_null_keys(spark):
 
 def test_running_total_and_filter(spark):
     rows = [(g, i % 7, i, i % 5) for g in ("a", None) for i in range(100)]
-    out = running_total(spark.createDataFrame(rows, "g string, run long, o long, v long"), ["g"], "run", ["o"], "v", "t", Stage(spark)).collect()
+    out = running_total(spark.createDataFrame(rows, "g string, run long, o long, v long"), ["g"], ["run", "o"], "v", "t", Stage(spark), 200).collect()
     for g in ("a", None):
         total = 0
         for r in sorted((r for r in out if r.g == g), key=lambda r: (r.run, r.o)):
