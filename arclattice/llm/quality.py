@@ -7,12 +7,14 @@ also counts by how much a text falls short of a whole chunk. A logistic layer ma
 of them. Long texts are read in pieces that carry only the
 pooled blocks, so memory does not follow their length.
 
-Training reads at most `sample` labelled rows, those of lowest hash among texts of at most
-`longest` bytes, in one task; scoring reads every text whole.
+Training reads a bounded sample in one task: at most `sample` labelled ids, those of lowest hash, with
+one text each and `most_bytes` together; scoring reads every text whole, however long.
 
 Null text counts as empty; an empty text is one chunk of padding. Rows without doc_id are scored,
 never learned from; repeated rows are scored alike; of repeated labels the largest holds, null
-labels are left out. Without both labels the score is 0.5 everywhere.
+labels are left out. Without both labels the score is 0.5 everywhere. Ties in hash go by doc_id;
+of equal responses the first counts. Other columns stay as they are, but for one named like the
+score, which is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ PIECE = 1 << 17
 @dataclass(frozen=True)
 class Params:
     sample: int = 6000
-    longest: int = 1 << 18
+    most_bytes: int = 64 << 20
     steps: int = 2000
     batch: int = 24
     rate: float = 0.01
@@ -172,7 +174,7 @@ def predict(column: pa.Array, w: dict, t: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict[str, np.ndarray] | None:
     """labels: (doc_id, label). Learns in one task from the bounded sample; None without both labels."""
     bounded_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, p.sample, p.longest).repartition(1)
+    sample = labelled_sample(docs, labels, p.sample, p.most_bytes)
 
     def learn(batches):
         texts, keys = [], []

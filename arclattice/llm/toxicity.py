@@ -5,12 +5,14 @@ are its distinct words, word stems (the first bytes), word pairs and skip-grams
 word between), hashed into 2**BITS coordinates. FTRL-proximal keeps a rate of its own for each
 coordinate, and its L1 term leaves few weights: they go to the executors as two short arrays.
 
-Training reads at most `sample` labelled rows, those of lowest hash among texts of at most
-`longest` bytes, in one task; scoring reads every text whole.
+Training reads a bounded sample in one task: at most `sample` labelled ids, those of lowest hash, with
+one text each and `most_bytes` together; scoring reads every text whole, however long.
 
 Null text counts as empty. An empty text has no features: its score is the bias alone. Rows
 without doc_id are scored, never learned from; repeated rows are scored alike; of repeated labels
-the largest holds, null labels are left out. Without both labels the score is 0.5 everywhere.
+the largest holds, null labels are left out. Without both labels the score is 0.5 everywhere. Ties
+in hash go by doc_id. Other columns stay as they are, but for one named like the score, which is
+replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ class Params:
     l2: float = 0.1
     epochs: int = 4
     sample: int = 8192
-    longest: int = 1 << 20
+    most_bytes: int = 64 << 20
     seed: int = 7
 
 
@@ -135,18 +137,32 @@ def known(labels: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, longest: int) -> DataFrame:
-    """(doc_id, label, text) of at most `rows` labelled ids, those of lowest hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> DataFrame:
+    """(doc_id, label, text) of at most `rows` labelled ids and `most_bytes` of text, in one partition.
+
+    Ids come in the order of their hash, each with one text (of several the one of least hash), and
+    are taken while it fits into what is left of the bytes.
+    """
     ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows`: may be broadcast
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    found = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).select("doc_id", text)
-    return found.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    there = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
+    one = F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    found = there.groupBy("doc_id").agg(F.min(one).alias("one"), F.xxhash64("doc_id").alias("place")).select("doc_id", "one.*", "place").collect()  # at most `rows`
+    left, chosen = most_bytes, []
+    for r in sorted(found, key=lambda r: (r["place"], r["doc_id"])):
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            chosen.append((r["doc_id"], r["hash"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, _hash long")
+    whole = there.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "_hash"])
+    return whole.groupBy("doc_id").agg(F.first("label").alias("label"), F.first("text").alias("text")).repartition(1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """labels: (doc_id, label). Learns in one task from the bounded sample."""
     bounded_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, p.sample, p.longest).repartition(1)
+    sample = labelled_sample(docs, labels, p.sample, p.most_bytes)
 
     def learn(batches):
         ids, ys, rows = [], [], []
