@@ -9,8 +9,11 @@ an empty and another one are not (0).
 
 `edits` pairs every text with the next one in ascending doc_id. Rows are dealt into ranges of
 doc_id; the first row of each range is also sent to the range before, so that each range finds all
-of its successors, and the first range's to the last. Null text counts as empty. Rows without
-doc_id come first; rows with equal doc_id follow each other in the order of their text.
+of its successors, and the first range's to the last. Null text counts as empty; texts may be of any
+length. Rows without doc_id come first; rows with equal doc_id follow each other in the order of their
+texts' hashes, and where there are many of them they take several ranges. Only rows that are equal in
+both stay in one range, which reads them one after the other. Other columns are not read, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -156,22 +159,33 @@ def edits(docs: DataFrame) -> DataFrame:
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
     probes = [i / n for i in range(1, n)]
     cuts = docs.select(F.percentile_approx(rank, probes, 20 * n)).first()[0] if probes else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    # an id that takes several ranges is cut by the hashes of its texts
+    value, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    cut_rank = np.repeat(value, times)
+    cut_hash = np.array([_NONE + (i << 64) // t for t in times.tolist() for i in range(t)], np.int64)
 
     @F.arrow_udf(IntegerType())
-    def range_of(x: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, x.to_numpy(zero_copy_only=False), "right").astype(np.int32))
-
-    ranked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"))
+    def range_of(x: pa.Array, h: pa.Array) -> pa.Array:
+        x, h = x.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        out = np.searchsorted(cut_rank, x, "right")
+        for v in value[times > 1]:
+            at = np.flatnonzero(x == v)
+            first = np.searchsorted(cut_rank, v)
+            out[at] = first + np.searchsorted(cut_hash[cut_rank == v], h[at], "right")
+        return pa.array(out.astype(np.int32))
+
+    text = F.coalesce("text", F.lit(""))
+    ranked = docs.select("doc_id", text.alias("text"), rank.alias("rank"), F.xxhash64(text).alias("hash"))
     # a row for each range, at most n
-    first = {r["range"]: r["least"] for r in docs.select(rank.alias("rank")).groupBy(range_of("rank").alias("range")).agg(F.min("rank").alias("least")).collect()}
+    least = ranked.select("rank", "hash").groupBy(range_of("rank", "hash").alias("range")).agg(F.min(F.struct("rank", "hash")).alias("least"))
+    first = {r["range"]: r["name"] for r in least.select("range", F.xxhash64("least.rank", "least.hash").alias("name")).collect()}
     full = sorted(first)
     before = {b: full[i - 1] for i, b in enumerate(full)}
     to = F.create_map(*[F.lit(x) for b in full for x in (first[b], before[b])]) if full else F.create_map(F.lit(0), F.lit(0))
-    guest = F.try_element_at(to.cast("map<bigint,int>"), F.col("rank"))
-    copies = F.array_compact(F.array(F.struct(range_of("rank").alias("range"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("range"), F.lit(True).alias("guest")))))
-    dealt = ranked.withColumn("_to", F.explode(copies)).select("doc_id", "text", "rank", "_to.*")
-    dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", "rank", "text")
+    guest = F.try_element_at(to.cast("map<bigint,int>"), F.xxhash64("rank", "hash"))
+    copies = F.array_compact(F.array(F.struct(range_of("rank", "hash").alias("range"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("range"), F.lit(True).alias("guest")))))
+    dealt = ranked.withColumn("_to", F.explode(copies)).select("doc_id", "text", "rank", "hash", "_to.*")
+    dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", "rank", "hash", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
