@@ -7,8 +7,10 @@ against the page's URL or its base tag, and the connected components of these ed
 blocks; without either the page is allowed.
 
 Rules are configuration, a short list that becomes part of the plan. URLs are compared without
-scheme and fragment. Null URLs, or ones without "://", have an empty host and path, meet no rule and
-have no aliases. Null html names no alias. Repeated rows are judged alike.
+scheme and fragment, an empty path is "/". Null URLs, or ones without "://", have an empty host and
+path, meet no rule and have no aliases. Null html names no alias; html and URLs may be of any length.
+Repeated rows are judged alike; of equally long rules an allowing one wins. Other columns are not
+read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ RULES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:["'][^"'>]*)?\bcanonical\b[^>]*>"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _BASE = r"""(?is)<base\b[^>]*>"""
 #: An attribute's value: to its quote, else to a space.
@@ -61,9 +63,10 @@ def ruling(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def node(rest: Column) -> Column:
-    """A URL's name: its host, path and query; null without a host."""
+    """A URL's name: its host, path ("/" if empty) and query; null without a host."""
     query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(rest) != "", F.concat(host_of(rest), path_of(rest), query))
+    path = F.when(path_of(rest) == "", "/").otherwise(path_of(rest))
+    return F.when(host_of(rest) != "", F.concat(host_of(rest), path, query))
 
 
 def first_of(text: Column, pattern: str) -> Column:
@@ -72,8 +75,15 @@ def first_of(text: Column, pattern: str) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    for entity, char in (("&quot;|&#0*34;|&#[xX]0*22;", '"'), ("&apos;|&#0*39;|&#[xX]0*27;", "'"), ("&amp;|&#0*38;|&#[xX]0*26;", "&")):
-        text = F.regexp_replace(text, entity, char)
+    """The text with its references to ASCII characters, by number or by the names of quotes, ampersand, slash, colon and others that URLs hold, replaced."""
+    names = {"quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "equals": "=", "num": "#", "period": ".", "lowbar": "_", "percnt": "%", "amp": "&"}
+    seen = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#0*\d{1,3};|&#[xX]0*[0-9a-fA-F]{1,2};"), F.lit(0)))
+    code = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, r"(\d+);", 1)).cast("int")
+    # the ampersand last, so that what it makes is not read as a reference again
+    plain = F.filter(seen, lambda e: (code(e) < 128) & (code(e) > 0) & (code(e) != 38))
+    text = F.aggregate(plain, text, lambda t, e: F.replace(t, e, F.char(code(e))))
+    for name, char in names.items():
+        text = F.regexp_replace(text, f"&{name};" if name != "amp" else "&amp;|&#0*38;|&#[xX]0*26;", char)
     return text
 
 
@@ -120,7 +130,7 @@ def links(pages: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, stage: Stage, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each row of pages (page_id, url, html)."""
     edges = stage.put(links(pages), "links")
-    key = lambda c: F.xxhash64(node(F.col(c)))
+    key = lambda c: F.unhex(F.md5(node(F.col(c))))  # noqa: E731  # 128 bits, so that no two URLs share a name
     joined = components(edges.select(key("from_rest").alias("a"), key("to_rest").alias("b")), stage)
     # what rules say of the URLs that have aliases, pages or not
     urls = edges.select(F.explode(F.array("from_rest", "to_rest")).alias("rest")).distinct()
