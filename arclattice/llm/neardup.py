@@ -9,12 +9,15 @@ concentrate as if elements were drawn without replacement. Bands of ROWS coordin
 Equal sets are one class, whose smallest doc_id stands for it. A bucket is never expanded into all
 pairs: first its members meet the bucket's smallest id only; then, with the components known, pairs
 of one bucket that lie in different components are tested, every one, so that no link is lost that
-a bucket shows. In buckets of over SMALL members, tasks compare blocks of at most about BLOCK by
-BLOCK of them and emit only links. All tested pairs first need enough equal coordinates (six
+a bucket shows. In buckets of over SMALL members, tasks compare blocks of at most about BLOCK members
+outside the largest component with blocks of all members, and emit only links. All tested pairs first need enough equal coordinates (six
 standard deviations below the threshold), then the exact inequality on full sets.
 
-Null or wordless texts have no shingles and link with nothing. Rows that repeat a doc_id count as
-one document. Rows without doc_id link with nothing: their component_id is null, and they are kept.
+Null or wordless texts have no shingles and link with nothing; texts may be of any length. Rows that
+repeat a doc_id count as one document; if their texts differ, which of them it stands for is that of
+least digest. Rows without doc_id link with nothing: their component_id is null, and they are kept. Of
+a group the smallest doc_id is kept. Other columns are not read, whatever their names, and stay in
+`deduplicated`; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ THRESHOLD = 75  # of 100
 LEAST_EQUAL = 47
 #: A bucket of so many members has at most 3.5 pairs for each.
 SMALL = 8
-#: Members of a larger bucket that are compared with as many others at once.
-BLOCK = 768
+#: Strays of a larger bucket, and members, that are compared at once.
+BLOCK = 512
 _EMPTY = np.uint64(2**64 - 1)
 _FACTOR = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -161,15 +164,12 @@ def confirmed(pairs: DataFrame, low: DataFrame, docs: DataFrame, stage: Stage) -
     return links
 
 
-def tested(low: np.ndarray, bands: np.ndarray, band: int, component: np.ndarray, block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in different components, between the blocks i and j, that meet in no earlier band and may be links."""
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+def tested(low: np.ndarray, bands: np.ndarray, band: int, component: np.ndarray, ids: np.ndarray, stray: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right row in different components that meet in no earlier band and may be links; of two strays once."""
     a, b = [], []
     for k in range(0, len(left), 64):
         rows = left[k : k + 64]
-        able = component[rows][:, None] != component[right][None]
-        if i == j:
-            able &= rows[:, None] < right[None]
+        able = (component[rows][:, None] != component[right][None]) & (~stray[right][None] | (ids[rows][:, None] < ids[right][None]))
         for e in range(band):
             able &= bands[rows, e][:, None] != bands[right, e][None]
         x, y = np.nonzero(able)
@@ -199,26 +199,32 @@ def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
 
 
 def between_blocks(members: DataFrame, reps: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
-    """Links (a, b) between different components of one bucket. members: (key, id, component, size, ...)."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")
-    cells = members.select("key", "id", "component", own.alias("block"), parts.alias("parts"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    cells = stage.put(cells.join(reps.select("id", "n", "bands", "low"), "id"), "cells")
+    """Links (a, b) between different components of one bucket. members: (key, id, component, in_major, strays, size).
+
+    Strays, the members outside a bucket's largest component, meet all members: each cell holds a
+    block of strays and a block of members, so a bucket of few strays is copied about once.
+    """
+    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts).cast("long")).cast("int")
+    at = members.withColumns({"rows": blocks_of("strays"), "columns": blocks_of("size")})
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["key", "id", "component", "in_major"]
+    left = at.filter("not in_major").select(*names, own("rows").alias("i"), all_of("columns").alias("j"), F.lit(True).alias("left"))
+    right = at.select(*names, own("columns").alias("j"), all_of("rows").alias("i"), F.lit(False).alias("left"))
+    cells = stage.put(left.unionByName(right).join(reps.select("id", "n", "bands", "low"), "id"), "cells")
 
     def read(t: pa.Table):
         low = textscan.raw(t.column("low").combine_chunks())[0].reshape(len(t), COORDS)
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        component, block = t.column("component").to_numpy(), t.column("block").to_numpy()
-        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        return tested(low, bands, band, component, block, i, j)
+        component, ids = t.column("component").to_numpy(), t.column("id").to_numpy()
+        major, left = (t.column(c).to_numpy(zero_copy_only=False) for c in ("in_major", "left"))
+        band = int(np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0])
+        return tested(low, bands, band, component, ids, ~major, np.flatnonzero(left), np.flatnonzero(~left))
 
     def may(t: pa.Table) -> pa.Table:
         a, b = read(t)
         some = np.unique(np.concatenate([a, b]))
-        return t.select(["key", "i", "j", "id"]).take(pa.array(some))
+        return t.select(["key", "i", "j", "id", "left"]).take(pa.array(some))
 
     def links(t: pa.Table) -> pa.Table:
         a, b = read(t)
@@ -235,9 +241,9 @@ def between_blocks(members: DataFrame, reps: DataFrame, docs: DataFrame, stage:
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     cell = ["key", "i", "j"]
-    chosen = stage.put(cells.groupBy(*cell).applyInArrow(may, "key long, i int, j int, id long"), "chosen")
+    chosen = stage.put(cells.groupBy(*cell).applyInArrow(may, "key long, i int, j int, id long, left boolean"), "chosen")
     sets = stage.put(sets_of(docs, chosen.select("id").distinct()), "block-sets")
-    full = cells.join(chosen, [*cell, "id"]).join(sets, "id")
+    full = cells.join(chosen, [*cell, "id", "left"]).join(sets, "id")
     found = stage.put(full.groupBy(*cell).applyInArrow(links, "a long, b long").distinct(), "block-links")
     for x in (cells, chosen, sets):
         stage.drop(x)
@@ -250,7 +256,8 @@ def groups(docs: DataFrame, stage: Stage) -> DataFrame:
     classes = found.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = stage.put(classes, "classes")
     reps = found.join(classes.select(F.col("id").alias("doc_id"), F.col("digest")), ["doc_id", "digest"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "low")
+    reps = reps.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "bands", "low")).alias("one"))
+    reps = reps.select(F.col("doc_id").alias("id"), F.col("one.n_shingles").alias("n"), "one.bands", "one.low")
     reps = stage.put(reps, "representatives")
     low = reps.select("id", "low", "n")
     banded = stage.put(reps.select("id", F.explode("bands").alias("key")), "banded")
@@ -266,8 +273,8 @@ def groups(docs: DataFrame, stage: Stage) -> DataFrame:
     members = stage.put(members.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
     by = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = by.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"))
-    mixed = stage.put(mixed.filter("parts > 1").select("key", F.col("top.component").alias("major"), "size"), "mixed")
-    there = stage.put(members.join(mixed, "key").select("key", "id", "component", "size", (F.col("component") == F.col("major")).alias("in_major")), "in-mixed")
+    mixed = stage.put(mixed.filter("parts > 1").select("key", F.col("top.component").alias("major"), "size", (F.col("size") - F.col("top.n")).alias("strays")), "mixed")
+    there = stage.put(members.join(mixed, "key").select("key", "id", "component", "size", "strays", (F.col("component") == F.col("major")).alias("in_major")), "in-mixed")
     few = there.filter(F.col("size") <= SMALL)
     x = few.filter(~F.col("in_major")).select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
     y = few.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), "in_major")
@@ -288,7 +295,7 @@ def groups(docs: DataFrame, stage: Stage) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, stage: Stage) -> DataFrame:
-    """One document of each group, with all columns; of rows that repeat a doc_id, one.
+    """One document of each group, with all columns; of rows that repeat a doc_id, the one whose text has the least hash.
 
     Only rows whose doc_id may be among those removed or repeated are shuffled.
     """
@@ -298,7 +305,9 @@ def deduplicated(docs: DataFrame, stage: Stage) -> DataFrame:
     stage.clear(named)
     whole_rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))  # as one column, their names clash with none
     flagged = maybe_in(whole_rows, "id", named)
-    doubtful = flagged.filter("_maybe").join(named.filter("not kept").select("id"), "id", "left_anti").dropDuplicates(["id"])
+    doubtful = flagged.filter("_maybe").join(named.filter("not kept").select("id"), "id", "left_anti")
+    # of rows that repeat an id, the one whose text has the least hash
+    doubtful = doubtful.groupBy("id").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc"))
     return flagged.filter("not _maybe").select("doc.*").unionByName(doubtful.select("doc.*"))
 
 
