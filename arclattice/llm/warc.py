@@ -7,16 +7,21 @@ revisits that name it and hold no payload. Spark's text writer writes the record
 
 Reading: the text reader cuts each file at every "WARC/1.0" line, also where a payload holds one.
 Each such place is a candidate; its Content-Length says where its successor must start. From the
-start of each file, pointer jumping (the jumps double in each round) finds the candidates that the
-chain reaches; the others are payload bytes and go back into their record. A chain that does not
-end where its file ends raises an error.
-
-Null html is an empty payload. A null page_id is kept; it never names a response, so equal payloads
-that all lack a page_id are responses. Of rows that repeat the smallest page_id one is the response.
+start of each file, pointer jumping finds the candidates that the chain reaches: the jumps double
+within each span of a file, in its task, and from span to span in rounds of joins. The other
+candidates are payload bytes and go back into their record. A chain that does not end where its file
+ends raises an error.
+
+Null html is an empty payload; html may be of any length and hold magic lines. A null page_id is kept;
+it never names a response, so equal payloads that all lack a page_id are responses. Of rows that repeat
+the smallest page_id one is the response. Other columns are not read, whatever their names; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +34,8 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 LEAST = 100
 RECORDS = 1024
+#: Bytes of a file whose candidates one task chains.
+SPAN = 64 << 20
 
 
 def typed(pages: DataFrame, stage: Stage) -> DataFrame:
@@ -86,7 +93,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def placed(rows: DataFrame, stage: Stage) -> DataFrame:
     """rows (file, block, seq, n, ...) with `at`, the byte of the file where their text starts."""
-    return running_total(rows.withColumn("step", F.col("n") + len(MAGIC)), ["file"], "block", ["seq"], "step", "at", stage).drop("step")
+    rows = stage.put(rows.withColumn("step", F.col("n") + len(MAGIC)), "lines")
+    return running_total(rows, ["file"], ["block", "seq"], "step", "at", stage, rows.count()).drop("step")
 
 
 def fragments(spark: SparkSession, path: str, payload: bool, stage: Stage) -> DataFrame:
@@ -110,31 +118,75 @@ def payload_of(raw: Column, to_http: Column, h: Column, content: Column) -> Colu
     return F.substring(raw, to_http + len(END) + 1, (content - (to_http - h)).cast("int"))
 
 
-def reached(candidates: DataFrame, stage: Stage) -> DataFrame:
-    """(file, at) of the candidates (file, at, next) on the chain from each file's first; by doubled jumps."""
-    jump = stage.put(candidates.select("file", "at", "next"), "jumps")
-    seen = stage.put(jump.filter(F.col("at") == 0).select("file", "at"), "seen")
+def jumps(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each of the ascending places the index of its successor among them, or its own."""
+    k = np.minimum(np.searchsorted(at, after), len(at) - 1)
+    return np.where(at[k] == after, k, np.arange(len(at)))
+
+
+def exits(t: pa.Table) -> pa.Table:
+    """Where the chain from each candidate of a span leaves it; by doubled jumps."""
+    t = t.sort_by("at")
+    after = t.column("next").to_numpy()
+    jump = jumps(t.column("at").to_numpy(), after)
+    for _ in range(len(jump).bit_length()):
+        jump = jump[jump]
+    return pa.table({"file": t.column("file"), "at": t.column("at"), "next": after[jump]})
+
+
+def on_chain(t: pa.Table) -> pa.Table:
+    """The candidates of a span that its entry reaches; by doubled jumps."""
+    t = t.sort_by("at")
+    jump, seen = jumps(t.column("at").to_numpy(), t.column("next").to_numpy()), t.column("entry").to_numpy(zero_copy_only=False).copy()
+    for _ in range(len(jump).bit_length()):
+        seen[jump[seen]] = True
+        jump = jump[jump]
+    return t.select(["file", "at"]).filter(pa.array(seen))
+
+
+def entries(candidates: DataFrame, stage: Stage) -> DataFrame:
+    """(file, at) of the candidates where each file's chain starts and where it enters a further span.
+
+    Only files of several spans take rounds, as many as the doubled jumps over their spans need.
+    """
+    first = candidates.filter("at = 0").select("file", "at")
+    long_files = candidates.filter(F.col("at") >= SPAN).select("file").distinct()
+    several = candidates.join(long_files, "file", "left_semi")
+    left = several.groupBy("file", "span").applyInArrow(exits, "file long, at long, next long")
+    # chains that leave a span at a candidate of another one
+    jump = left.join(candidates.select("file", F.col("at").alias("next")), ["file", "next"], "left_semi")
+    jump = stage.put(jump.select("file", "at", "next"), "jumps")
+    seen = stage.put(first, "seen")
     count = seen.count()
-    while True:
-        ahead = seen.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        ahead = ahead.join(candidates.select("file", "at"), ["file", "at"], "left_semi")
-        more = stage.put(seen.unionByName(ahead).distinct(), "seen")
-        n = more.count()
+    while not jump.isEmpty():
+        more = stage.put(seen.unionByName(seen.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))).distinct(), "seen")
         stage.drop(seen)
-        seen = more
+        seen, n = more, more.count()
         if n == count:
-            return seen
+            break
         count = n
         step = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         twice = stage.put(jump.join(step, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jumps")
         stage.drop(jump)
         jump = twice
+    return seen
+
+
+def reached(candidates: DataFrame, stage: Stage) -> DataFrame:
+    """(file, at) of the candidates (file, at, next) on the chain from each file's first.
+
+    Files are cut into spans of SPAN bytes; tasks jump within a span, rounds from span to span.
+    """
+    spans = candidates.withColumn("span", F.floor(F.col("at") / SPAN))
+    start = entries(spans, stage).withColumn("entry", F.lit(True))
+    marked = spans.join(start, ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    return stage.put(marked.groupBy("file", "span").applyInArrow(on_chain, "file long, at long"), "reached")
 
 
 def rejoined(spark: SparkSession, path: str, rows: DataFrame, payload: bool, stage: Stage) -> DataFrame:
     """Records that hold magic lines, put together again from all lines up to the next record."""
     own = rows.withColumn("one", F.when(F.coalesce("real", F.lit(False)), 1).otherwise(0))
-    own = running_total(own, ["file"], "block", ["seq"], "one", "record", stage).withColumn("record", F.col("record") + F.col("one"))
+    own = running_total(own, ["file"], ["block", "seq"], "one", "record", stage, rows.count()).withColumn("record", F.col("record") + F.col("one"))
     parted = stage.put(own.filter("real and not whole").select("file", "record", "head", "h", "content"), "parted")
     pieces = stage.put(own.select("file", "at", "record").join(parted.select("file", "record"), ["file", "record"], "left_semi"), "pieces")
     again = lines(spark, path).join(parted.select("file").distinct(), "file", "left_semi")
@@ -156,7 +208,7 @@ def read_archives(spark: SparkSession, path: str, stage: Stage, payload: bool =
     parts = fragments(spark, path, payload, stage)
     magic = F.col("at") - len(MAGIC)
     size = F.col("h") + F.col("content") + 2 * len(END)
-    able = parts.filter("at > 0 and content is not null").select("file", magic.alias("at"), (F.col("at") + size).alias("next"))
+    able = parts.filter("at > 0 and content >= 0").select("file", magic.alias("at"), (F.col("at") + size).alias("next"))
     able = stage.put(able, "candidates")
     real = reached(able, stage)
     ends = parts.groupBy("file").agg(F.max(F.col("at") + F.col("n")).alias("end"))

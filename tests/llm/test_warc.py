@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from arclattice.llm import warc
 from arclattice.llm.common import Stage
@@ -67,3 +68,20 @@ def test_a_broken_chain_raises(spark):
     spark.createDataFrame([(inner(30) + "cut",)], "value string").coalesce(1).write.text(path)
     with pytest.raises(ValueError):
         warc.read_archives(spark, path, stage)
+
+
+def test_chains_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN", 300)
+    rng, rows, want = random.Random(9), [], set()
+    for file in range(3):
+        at = 0
+        while at < 4000 * (file + 1):
+            size = rng.choice((40, 90, 700))
+            rows.append((file, at, at + size))
+            want.add((file, at))
+            # candidates inside the payload, some of which point at true records
+            for inside in range(at + 7, at + size, 31):
+                rows.append((file, inside, rng.choice((inside + 31, at + size, at + size + 5))))
+            at += size
+    out = [tuple(r) for r in warc.reached(spark.createDataFrame(rows, "file long, at long, next long"), Stage(spark)).collect()]
+    assert len(out) == len(set(out)) and set(out) == want
