@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arclattice.llm import mixing, neardup, packing, quality, toxicity
-from arclattice.llm.common import Stage, table
+from arclattice.llm.common import Stage, release, stages, table
 
 
 def free_name(docs: DataFrame, name: str = "_score") -> str:
@@ -24,26 +24,41 @@ def free_name(docs: DataFrame, name: str = "_score") -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose toxicity is below 0.3, as they are.
+
+    Null, empty and very long texts are scored like any other, repeated rows alike; rows without doc_id are
+    kept or dropped by their score. An empty table gives an empty one.
+    """
     name = free_name(docs)
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"), name=name)
     return scored.filter(F.col(name) < 0.3).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose quality is 0.5 or more, as they are; awkward rows as in drop_toxic."""
     name = free_name(docs)
     scored = quality.score(docs, table(spark, sf_dir, "labels"), name=name)
     return scored.filter(F.col(name) >= 0.5).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id.
+
+    Rows without words or without doc_id are in no group and stay; of rows that repeat a doc_id one stays.
+    """
     return neardup.deduplicated(docs, Stage(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, the last copy cut after its words.
+
+    Rows without words are not taken; a null source is one of its own; rows that repeat a doc_id are taken alike.
+    """
     return mixing.mixed(docs, Stage(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row's ids, with its place; a null text is one piece that holds the end id."""
     return packing.placements(docs, Stage(spark))
 
 
@@ -54,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir. What a stage wrote goes as soon as the next one is written."""
     stage = Stage(spark)
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage.put(docs, name)
-    return docs
+    docs, others = table(spark, sf_dir, "documents"), stages()
+    for name, step in STAGES[:-1]:
+        made = stage.put(step(spark, docs, sf_dir), name)
+        release([s for s in stages() if s not in others])
+        stage.drop(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
