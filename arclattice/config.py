@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 #: (outer range in m, cell size in m) of the resolution tiers; the last has no outer range in effect.
 TIERS = ((10.0, 0.05), (30.0, 0.15), (100.0, 0.50))
@@ -17,7 +17,6 @@ RAW_TO_CLASS = {
     0: -1, 1: -1, 10: 3, 11: 3, 13: 3, 15: 3, 16: 3, 18: 3, 20: 3, 30: 3, 31: 3, 32: 3, 40: 0, 44: 0, 48: 1, 49: 0, 50: 2, 51: 2,
     52: 2, 60: 0, 70: 1, 71: 2, 72: 1, 80: 2, 81: 2, 99: 1, 252: 3, 253: 3, 254: 3, 255: 3, 256: 3, 257: 3, 258: 3, 259: 3,
 }
-CLASS_NAMES = {0: "Drivable Terrain", 1: "Non-Drivable Terrain", 2: "Static Obstacle", 3: "Dynamic Object", -1: "Unknown"}
 
 
 @dataclass(frozen=True)
@@ -78,3 +77,31 @@ class Segmentation:
 
 
 FOVEA, TRACKING, HYSTERESIS, SEGMENTATION = Fovea(), Tracking(), Hysteresis(), Segmentation()
+
+
+def load(path: str) -> dict[str, Fovea | Tracking | Hysteresis | Segmentation]:
+    """Settings by section (fovea, tracking, hysteresis, segmentation) of a YAML file on the driver.
+
+    What the file lacks, or holds in another type, keeps its default; so does all of it where there is
+    no such file, or none that can be read.
+    """
+    defaults = {"fovea": FOVEA, "tracking": TRACKING, "hysteresis": HYSTERESIS, "segmentation": SEGMENTATION}
+    try:
+        import yaml
+    except ImportError:
+        return defaults
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = yaml.safe_load(f)
+    except (OSError, ValueError, yaml.YAMLError):
+        found = None
+    out = {}
+    for name, value in defaults.items():
+        given = found.get(name) if isinstance(found, dict) else None
+        changes = {}
+        for f in fields(value):
+            old, new = getattr(value, f.name), given.get(f.name) if isinstance(given, dict) else None
+            if isinstance(new, bool) == isinstance(old, bool) and isinstance(new, (int, float)):
+                changes[f.name] = type(old)(new)
+        out[name] = replace(value, **changes)
+    return out

@@ -29,6 +29,25 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable, sch
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
+def scanned(rows: DataFrame, keys: list[str], values: list[str], first: dict[str, Callable], after: dict[str, Callable]) -> DataFrame:
+    """(keys, frame_id, values, states): states follow from the row and the states of the row before, in expressions.
+
+    first: a state of a key's first row, from it; after: a state from (the states before, the row). A
+    key's rows are one array of a few numbers each; keys are independent.
+    """
+    one = F.struct("frame_id", *[F.col(v).cast("double").alias(v) for v in values])
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_rows"))
+    made = lambda row, states: F.struct(row["frame_id"].alias("frame_id"), *[row[v].alias(v) for v in values], *[c.cast("double").alias(n) for n, c in states.items()])
+    begin = F.array(made(F.col("_rows")[0], {n: f(F.col("_rows")[0]) for n, f in first.items()}))
+
+    def step(done, row):
+        was = F.element_at(done, -1)
+        return F.concat(done, F.array(made(row, {n: f(was, row) for n, f in after.items()})))
+
+    done = F.aggregate(F.slice("_rows", 2, F.size("_rows")), begin, step)
+    return rows.select(*keys, F.inline(done))
+
+
 def hold(previous: float | None, new: float, margin: float = HYSTERESIS.radius_margin) -> float:
     """The previous value while the new one is less than margin away."""
     return previous if previous is not None and abs(new - previous) < margin else new
@@ -43,13 +62,8 @@ def sector_means(points: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
 def radius_hold(sectors: DataFrame, keys: list[str] = ["seq_id", "sector"], p: Hysteresis = HYSTERESIS) -> DataFrame:  # noqa: B006
     """sectors (keys, frame_id, radius) with the held radius."""
 
-    def step(state, row):
-        held = hold(state, row.radius, p.radius_margin)
-        return held, [(*(getattr(row, k) for k in keys), row.frame_id, row.radius, held)]
-
-    kinds = dict(sectors.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", frame_id {kinds['frame_id']}, radius double, held double"
-    return fold(sectors.select(*keys, "frame_id", "radius"), keys, ["frame_id"], step, schema)
+    stay = lambda was, row: F.when(F.abs(row["radius"] - was["held"]) < p.radius_margin, was["held"]).otherwise(row["radius"])
+    return scanned(sectors, keys, ["radius"], {"held": lambda row: row["radius"]}, {"held": stay})
 
 
 def smoothed(points: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
@@ -104,15 +118,9 @@ def z_clip(rows: DataFrame, keys: list[str], roof: float = ROOF, p: Hysteresis =
 def ema(rows: DataFrame, keys: list[str], values: Iterable[str], alpha: float = 0.35) -> DataFrame:
     """rows (keys, frame_id, values) smoothed: alpha of the previous result and the rest of the new value."""
     values = list(values)
-
-    def step(state, row):
-        new = [getattr(row, v) for v in values]
-        state = new if state is None else [p * alpha + x * (1 - alpha) for p, x in zip(state, new, strict=True)]
-        return state, [(*(getattr(row, k) for k in keys), row.frame_id, *state)]
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "frame_id", *values])
-    return fold(rows.select(*keys, "frame_id", *values), keys, ["frame_id"], step, schema)
+    mixed = lambda v: lambda was, row: was[f"_{v}"] * alpha + row[v] * (1 - alpha)
+    out = scanned(rows, keys, values, {f"_{v}": (lambda v: lambda row: row[v])(v) for v in values}, {f"_{v}": mixed(v) for v in values})
+    return out.select(*keys, "frame_id", *[F.col(f"_{v}").alias(v) for v in values])
 
 
 def cumulative_ghosts(frames: DataFrame, keys: list[str] = ["seq_id"]) -> DataFrame:  # noqa: B006

@@ -81,6 +81,30 @@ def slabs(cells: DataFrame) -> DataFrame:
     })
 
 
+#: Marks of an evaluation: frames a second and percent of memory saved.
+LEAST_FPS, LEAST_SAVING = 5.0, 85.0
+
+
+def report(labels: DataFrame, cells: DataFrame, stages: dict[str, Callable[[], DataFrame]], frames: int, runs: int = 3) -> DataFrame:
+    """(part, name, value, passed): quality, times and memory of a run, passed null where there is no mark.
+
+    labels: x, y, gt, pred. Stages are run in full, their milliseconds divided among the frames.
+    """
+    value = lambda part, name, v, ok=None: F.struct(F.lit(part).alias("part"), name.alias("name"), v.cast("double").alias("value"), F.lit(ok).cast("boolean").alias("passed"))
+    spark = labels.sparkSession
+    quality = miou(labels).select(value("miou", F.when(F.col("class_id") < 0, "mean").otherwise(F.concat(F.lit("class "), "class_id")), F.col("iou")).alias("s")).select("s.*")
+    by = miou_by_distance(labels).filter("class_id = -1").select(value("miou by distance", F.col("bucket"), F.col("iou")).alias("s")).select("s.*")
+    took = {n: profile(s, runs)["mean"] / max(1, frames) for n, s in stages.items()}
+    total = sum(took.values())
+    fps = 1000 / max(total, 1e-3)
+    times = [("ms a frame", n, float(t), None) for n, t in took.items()] + [("ms a frame", "total", float(total), None), ("throughput", "frames a second", float(fps), fps >= LEAST_FPS)]
+    timed = spark.createDataFrame(times, "part string, name string, value double, passed boolean")
+    held = memory(cells, [])
+    names = ["active_cells", "memory_bytes_foveated", "memory_bytes_uniform_baseline", "memory_savings_pct"]
+    rows = F.array(*[F.struct(F.lit("memory").alias("part"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value"), (F.col(n) >= LEAST_SAVING if n.endswith("pct") else F.lit(None).cast("boolean")).alias("passed")) for n in names])
+    return quality.unionByName(by).unionByName(timed).unionByName(held.select(F.inline(rows)))
+
+
 def profile(stage: Callable[[], DataFrame], runs: int = 3) -> dict[str, float]:
     """mean, min and max milliseconds and runs a second of a stage that is run in full; a warm-up run if runs > 1."""
     if runs <= 0:

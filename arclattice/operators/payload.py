@@ -90,3 +90,39 @@ def with_stream_metrics(payload: DataFrame, latency_ms: float, stream_ms: float)
     for name, v in (("pipeline_latency_ms", latency_ms), ("pipeline_fps", 1000 / max(latency_ms, 1e-3)), ("stream_latency_ms", stream_ms), ("stream_fps", 1000 / max(stream_ms, 1e-3))):
         m = m.withField(name, F.lit(float(v)))
     return payload.withColumn("metrics", m)
+
+
+#: A benchmark export of more bytes is taken for another one and written again.
+MOST_BENCHMARK_BYTES = 100 << 20
+
+
+def written_bytes(spark, path: str) -> int:
+    """Bytes of the files below path, 0 where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
+        return found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    except AnalysisException:
+        return 0
+
+
+def export_benchmark(payload: DataFrame, path: str, frames: int = 30, again: bool = False) -> bool:
+    """Writes the first frames of the benchmark drive unless a file of credible size is there; whether it wrote."""
+    there = written_bytes(payload.sparkSession, path)
+    if 0 < there < MOST_BENCHMARK_BYTES and not again:
+        return False
+    payload.filter(F.col("frame_id") < frames).write.mode("overwrite").json(path)
+    return True
+
+
+def export_all(payloads: dict[str, DataFrame], folder: str, frames: int | None = None, again: bool = False) -> dict[str, bool]:
+    """Writes the payload of every sequence below folder, each under its name; which ones it wrote."""
+    wrote = {}
+    for name, payload in payloads.items():
+        path = f"{folder}/{name}"
+        wrote[name] = again or not written_bytes(payload.sparkSession, path)
+        if wrote[name]:
+            rows = payload if frames is None else payload.filter(F.col("frame_id") < frames)
+            rows.write.mode("overwrite").json(path)
+    return wrote

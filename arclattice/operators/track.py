@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import TRACKING, Tracking
 from ..functions import polar
@@ -194,7 +195,10 @@ def vacated(prints: DataFrame, frames: DataFrame, cells: DataFrame) -> DataFrame
     erased), kept (still dynamic and updated: not counted) or other (another class). erased: counted.
     """
     frame, cell = ["seq_id", "frame_id"], ["tier_idx", "ring_idx", "angle_idx"]
-    before = prints.withColumn("frame_id", F.col("frame_id") + 1).join(frames.select(*frame).distinct(), frame, "left_semi")
+    # the next frame that the sequence has, whatever its number
+    order = Window.partitionBy("seq_id").orderBy("frame_id")
+    following = frames.select(*frame).distinct().withColumn("_next", F.lead("frame_id").over(order)).filter("_next is not null")
+    before = prints.join(following, frame).drop("frame_id").withColumnRenamed("_next", "frame_id").select(prints.columns)
     left = before.join(prints, [*frame, "track_id", *cell], "left_anti")
     now = cells.select(*frame, *cell, "semantic_class", "last_updated_frame")
     rows = left.join(now, [*frame, *cell], "left")

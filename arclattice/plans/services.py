@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import serving
-from ..config import Fovea
+from ..config import FOVEA, Fovea
 from ..operators import loop, metrics, payload, project, segment
 from ..sources import scans, scenarios
 from ..views import oracle, table, view
-from .grid import foveated_cells, points
+from .grid import ELLIPSE_SQL, foveated_cells, points
 
 
 def sequence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,34 +138,37 @@ SELECT client, position, scenario, frame, playing, loop FROM w WHERE k > 0"""
 
 
 def contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.contour(spark, speed_mps=20.0, steering_angle_rad=0.3).withColumns({"x": F.round("x", 2), "y": F.round("y", 2)})
+    return serving.contour(spark, speed_mps=20.0, steering_angle_rad=0.3)
 
 
+CONTOUR_SQL = f"""WITH l AS (SELECT CAST(k AS INT) AS k, k * (2*pi() / 119) - pi() AS theta, 20.0::DOUBLE AS speed_mps, 0.3::DOUBLE AS steering_angle_rad FROM (SELECT unnest(range(120)) AS k))
+SELECT k, round_even(ellipse * cos(theta), 3) + 0 AS x, round_even(ellipse * sin(theta), 3) + 0 AS y FROM ({ELLIPSE_SQL.format(points="l", shear=FOVEA.drawn_shear)})"""
+
 # Rows that no SQL gives: drawn points, whole drives, nested payloads, files.
 
 
 def scenario_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.class_histogram(scenarios.points(spark, 4), ["seq_id", "frame_id"])
+    return metrics.class_histogram(scenarios.points(spark), ["seq_id", "frame_id"])
 
 
 def scenario_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the drives, the bridge under its higher roof."""
-    frames = scenarios.frames(spark, 4)
-    rows = scenarios.points(spark, 4).join(frames.select("seq_id", "frame_id", scenarios.roof_height().alias("roof")), ["seq_id", "frame_id"])
+    frames = scenarios.frames(spark)
+    rows = scenarios.points(spark).join(frames.select("seq_id", "frame_id", scenarios.roof_height().alias("roof")), ["seq_id", "frame_id"])
     cells = project.grid_cells(project.with_foveated_key(rows.filter("z <= roof"), frames, roof=F.col("roof")))
     return metrics.overhang_counts(cells, ["seq_id", "frame_id"])
 
 
 def scenario_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segmenter against the drives' classes."""
-    found = segment.heuristic_labels(scenarios.points(spark, 2), seed=1)
+    found = segment.heuristic_labels(scenarios.points(spark), seed=1)
     return metrics.miou(found.select(F.col("class_id").alias("gt"), F.col("label").alias("pred")))
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point and label files written and read again."""
     root = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='arclattice-scans-')}/{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
-    source = scenarios.points(spark, 2).withColumn("seq_id", F.lpad((F.abs(F.xxhash64("seq_id")) % 90).cast("string"), 2, "0"))
+    source = scenarios.points(spark).withColumn("seq_id", F.lpad((F.abs(F.xxhash64("seq_id")) % 90).cast("string"), 2, "0"))
     scans.write_scans(source, root).count()
     back = scans.read_scans(spark, root)
     return back.groupBy("seq_id", "frame_id", "class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("sum_x"))
@@ -175,7 +178,7 @@ def frame_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = view(spark, sf_dir, "frames_v").withColumns({"timestamp_s": F.col("frame_id") * 0.1, "scenario_name": F.lit("tables"), "description": F.lit("")})
     t = view(spark, sf_dir, "tracks_v").withColumns({"pred_x": F.col("x") + F.col("vx") * 0.1, "pred_y": F.col("y") + F.col("vy") * 0.1, "frames_since_seen": F.lit(0), "state": F.lit("CONFIRMED"), "hits": F.lit(3)})
     ghosts = frames.select("seq_id", "frame_id", F.lit(0).cast("long").alias("ghosts"))
-    return payload.frame_payload(frames, foveated_cells(spark, sf_dir), t, ghosts)
+    return payload.frame_payload(frames, loop.kept(foveated_cells(spark, sf_dir)), t, ghosts)
 
 
 def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +208,7 @@ QUERIES = {
     "pothole_points": (pothole_points, POTHOLE_SQL),
     "queue_newest": (queue_newest, QUEUE_SQL),
     "playback": (playback, PLAYBACK_SQL),
-    "contour": (contour, None),
+    "contour": (contour, CONTOUR_SQL),
     "scenario_points": (scenario_points, None),
     "scenario_cells": (scenario_cells, None),
     "scenario_miou": (scenario_miou, None),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, hysteresis, project, track
+from ..operators import cluster, hysteresis, loop, project, track
 from ..views import oracle, view
 from .grid import CENTER_SQL, KEYS, STATIC_CELLS, static_cells
 
@@ -156,9 +156,10 @@ MOVING_SQL = oracle("points_v", "frames_v", "tracks_v") + """, mt AS (SELECT tra
   FROM tracks_v, (SELECT CAST(unnest(range(3)) AS INT) AS k))""" + STATIC_CELLS.split(oracle("points_v"))[1] + f""", cc AS ({CENTER_SQL.format(cells="cells")}),
 fp AS (SELECT seq_id, frame_id, track_id, tier_idx, ring_idx, angle_idx FROM mt JOIN (SELECT * FROM cc WHERE semantic_class = 3) c USING (seq_id, frame_id)
   WHERE (c.cx - mt.x)*(c.cx - mt.x) + (c.cy - mt.y)*(c.cy - mt.y) <= greatest(bbox_l, bbox_w) * greatest(bbox_l, bbox_w)),
-vc AS (SELECT p.seq_id, p.frame_id + 1 AS frame_id, p.track_id, p.tier_idx, p.ring_idx, p.angle_idx FROM fp p
-  SEMI JOIN frames_v f ON f.seq_id = p.seq_id AND f.frame_id = p.frame_id + 1
-  ANTI JOIN fp q ON q.seq_id = p.seq_id AND q.frame_id = p.frame_id + 1 AND q.track_id = p.track_id AND q.tier_idx = p.tier_idx AND q.ring_idx = p.ring_idx AND q.angle_idx = p.angle_idx),
+nx AS (SELECT seq_id, frame_id, lead(frame_id) OVER (PARTITION BY seq_id ORDER BY frame_id) AS following FROM (SELECT DISTINCT seq_id, frame_id FROM frames_v)),
+vc AS (SELECT p.seq_id, f.following AS frame_id, p.track_id, p.tier_idx, p.ring_idx, p.angle_idx FROM fp p
+  JOIN nx f ON f.seq_id = p.seq_id AND f.frame_id = p.frame_id AND f.following IS NOT NULL
+  ANTI JOIN fp q ON q.seq_id = p.seq_id AND q.frame_id = f.following AND q.track_id = p.track_id AND q.tier_idx = p.tier_idx AND q.ring_idx = p.ring_idx AND q.angle_idx = p.angle_idx),
 vo AS (SELECT v.*, CASE WHEN c.semantic_class IS NULL THEN 'gone' WHEN c.semantic_class <> 3 THEN 'other' WHEN c.last_updated_frame < v.frame_id THEN 'stale' ELSE 'kept' END AS outcome
   FROM vc v LEFT JOIN cells c USING (seq_id, frame_id, tier_idx, ring_idx, angle_idx)),
 gc AS (SELECT f.seq_id, f.frame_id, coalesce(g.ghosts, 0) AS ghosts FROM frames_v f LEFT JOIN (SELECT seq_id, frame_id, count(*) FILTER (outcome <> 'kept') AS ghosts FROM vo GROUP BY ALL) g USING (seq_id, frame_id))"""
@@ -168,7 +169,7 @@ def _footprints(spark, sf_dir):
     k = F.explode(F.sequence(F.lit(0), F.lit(2)))
     t = view(spark, sf_dir, "tracks_v").withColumn("k", k)
     t = t.withColumns({"frame_id": F.col("frame_id") + F.col("k"), "x": F.col("x") + F.col("vx") * (F.col("k") * 0.1), "y": F.col("y") + F.col("vy") * (F.col("k") * 0.1)})
-    cells = static_cells(spark, sf_dir)
+    cells = loop.kept(static_cells(spark, sf_dir))  # read for the footprints and for what became of them
     centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
     return track.footprints(t, centred, 3.5), cells
 
@@ -182,6 +183,7 @@ FOOTPRINT_SQL = MOVING_SQL + " SELECT * FROM fp"
 
 def vacated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints, cells = _footprints(spark, sf_dir)
+    prints = loop.kept(prints)
     return track.vacated(prints, view(spark, sf_dir, "frames_v"), cells)
 
 

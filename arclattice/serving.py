@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,21 @@ def contour(spark: SparkSession, speed_mps: float = 10.0, steering_angle_rad: fl
     return line.select("k", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
+def frame(spark: SparkSession, written: DataFrame | None, name: str, frame_id: int, compute: Callable[[str, int], DataFrame]) -> DataFrame:
+    """The payload of one frame by the sequence's id or alias: the written one, or computed where there is none.
+
+    Written frames without an outline get it from their speed and steering. No row: there is no such frame.
+    """
+    seq_id = spark.range(1).select(resolve(F.lit(name))).first()[0]
+    if written is not None:
+        found = written.filter((F.col("seq_id") == seq_id) & (F.col("frame_id") == frame_id)).limit(1)
+        if not found.isEmpty():
+            state = F.col("vehicle_state")
+            drawn = polyline(state["speed_mps"], state["steering_angle_rad"])
+            return found.withColumn("fovea_polyline", F.when(F.size("fovea_polyline") > 0, F.col("fovea_polyline")).otherwise(drawn))
+    return compute(seq_id, frame_id)
+
+
 def sequences(frames: DataFrame, written: DataFrame) -> DataFrame:
     """(seq_id, scans, precomputed)."""
     there = written.select("seq_id").distinct().withColumn("_there", F.lit(True))

@@ -36,6 +36,32 @@ def sequences(listing: DataFrame) -> DataFrame:
     return listing.groupBy("seq_id").agg(F.countDistinct("frame_id").alias("scans"))
 
 
+#: Where a sequence's scans may lie below the root, the first that has any counts; SEQ is its name.
+LAYOUTS = ("dataset/sequences/SEQ/velodyne/", "sequences/SEQ/velodyne/", "SEQ/velodyne/", "velodyne/", "")
+
+
+def discovered(spark: SparkSession, root: str, seq_id: str) -> DataFrame:
+    """(path, length, frame_id) of one sequence below root, in the first of LAYOUTS that holds scans."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bin").load(root).select("path", "length")
+    base = re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/"
+    below = F.expr("regexp_replace(path, '^[a-z]+:/*', '/')").substr(F.lit(len(base) + 1), F.lit(1 << 20))
+    rank = F.lit(None).cast("int")
+    for i, layout in reversed(list(enumerate(LAYOUTS))):
+        here = below.rlike("^" + re.escape(layout.replace("SEQ", seq_id)) + "[^/]+$")
+        rank = F.when(here, i).otherwise(rank)
+    ranked = found.withColumn("_rank", rank).filter("_rank is not null")
+    first = ranked.agg(F.min("_rank").alias("_rank"))
+    return ranked.join(F.broadcast(first), "_rank").withColumn("frame_id", F.row_number().over(Window.orderBy("path")) - 1).drop("_rank")  # first: one row
+
+
+def scan_at(listing: DataFrame, index: int) -> DataFrame:
+    """The scan of that number; an IndexError where the listing has no such one."""
+    n = listing.count()
+    if not 0 <= index < n:
+        raise IndexError(f"scan {index} of {n}")
+    return listing.filter(F.col("frame_id") == index)
+
+
 def sequence_name(n: int | str) -> str:
     return str(n).zfill(2)
 
