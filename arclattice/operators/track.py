@@ -69,13 +69,40 @@ def gated_costs(tracks: list[Track], x: np.ndarray, y: np.ndarray, k: Tracking =
     return np.where((m2 < gate) & (np.sqrt(d2) <= k.farthest), m2, np.inf)
 
 
+def blocks(cost: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected part of the finite costs."""
+    rows, cols = np.nonzero(np.isfinite(cost))
+    part = np.arange(cost.shape[0])
+    while True:
+        of_col = np.full(cost.shape[1], cost.shape[0])
+        np.minimum.at(of_col, cols, part[rows])
+        least = part.copy()
+        np.minimum.at(least, rows, of_col[cols])
+        if (least == part).all():
+            break
+        part = least
+    order = np.argsort(part[rows], kind="stable")
+    cuts = np.flatnonzero(np.diff(part[rows][order])) + 1
+    return [(np.unique(rows[e]), np.unique(cols[e])) for e in np.split(order, cuts) if len(e)]
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows and columns: as many finite ones as possible, of these the least total cost.
 
+    Parts that share no finite cost are solved apart, so the work follows the largest crowd and not the frame.
+    """
+    out = []
+    for r, c in blocks(cost):
+        found = [(0, 0)] if len(r) == len(c) == 1 else assign_block(cost[np.ix_(r, c)])
+        out += [(int(r[i]), int(c[j])) for i, j in found]
+    return sorted(out)
+
+
+def assign_block(cost: np.ndarray) -> list[tuple[int, int]]:
+    """assign within one part.
+
     Successive shortest paths with potentials, a row at a time; infinite costs count as one large number.
     """
-    if not cost.size or not np.isfinite(cost).any():
-        return []
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
     finite = np.isfinite(c)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,7 +165,7 @@ def scenario_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point and label files written and read again."""
-    root = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='arclattice-scans-')}/{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    root = scans.shared_folder(spark)
     source = scenarios.points(spark).withColumn("seq_id", F.lpad((F.abs(F.xxhash64("seq_id")) % 90).cast("string"), 2, "0"))
     scans.write_scans(source, root).count()
     back = scans.read_scans(spark, root)

@@ -140,15 +140,20 @@ GATE_SQL = oracle("tracks_v", "detections_v") + """ SELECT track_id, det_id, rou
 WHERE d2 / (p + 0.1::DOUBLE) < CASE WHEN track_id % 2 = 0 THEN 13.82::DOUBLE ELSE 9.21::DOUBLE END AND sqrt(d2) <= 5"""
 
 
+def _sequences(spark, sf_dir):
+    """The detections dealt to eight sequences."""
+    return _detections(spark, sf_dir).withColumn("seq_id", F.lpad((F.col("det_id") % 8).cast("string"), 2, "0"))
+
+
 def tracked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tracks over the frames of the detections, one sequence."""
-    found = _detections(spark, sf_dir).withColumn("seq_id", F.lit("00"))
+    """All tracks over the frames of the detections."""
+    found = _sequences(spark, sf_dir)
     return track.track(found, found.select("seq_id", "frame_id"))
 
 
 def confirmed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _detections(spark, sf_dir).withColumn("seq_id", F.lit("00"))
-    return track.track(found, found.select("seq_id", "frame_id"), confirmed_only=True).groupBy("frame_id").agg(F.count(F.lit(1)).alias("confirmed"))
+    found = _sequences(spark, sf_dir)
+    return track.track(found, found.select("seq_id", "frame_id"), confirmed_only=True).groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("confirmed"))
 
 
 #: Tracks that go on for three frames.

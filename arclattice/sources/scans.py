@@ -9,10 +9,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
+import uuid
 import zipfile
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -93,23 +96,50 @@ def decode(points: bytes, labels: bytes | None, collapse: bool = False) -> dict[
 POINTS = "seq_id string, frame_id int, point_id long, x double, y double, z double, intensity double, class_id int"
 
 
+def storage(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, hdfs, s3, gs) and the path in it."""
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
+def read_file(path: str | None) -> bytes | None:
+    if path is None:
+        return None
+    system, inner = storage(path)
+    with system.open_input_stream(inner) as f:
+        return f.read()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; without it, only local masters get a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='arclattice-scans-')}/{uuid.uuid4().hex}"
+
+
 def read_scans(spark: SparkSession, root: str, seq_ids: list[str] | None = None, parts: int | None = None) -> DataFrame:
-    """Points of all scans below root, with the raw class of their label file or -1 without one."""
+    """Points of all scans below root, with the raw class of their label file or -1 without one.
+
+    Only listings are joined; a task reads a scan and its labels itself, one pair at a time. parts: tasks
+    that the scans are dealt to, four a core where it is not given.
+    """
 
     def chosen(glob):
         listing = files(spark, root, glob)
         listing = listing.filter(F.col("seq_id").isin(seq_ids)) if seq_ids else listing
-        content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
-        return listing.join(content, "path").withColumn("name", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
+        return listing.withColumn("name", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1))
 
-    scans = chosen("*.bin").select("seq_id", "frame_id", "name", "content")
-    labels = chosen("*.label").select("seq_id", "name", F.col("content").alias("labels"))
-    both = scans.join(labels, ["seq_id", "name"], "left").select("seq_id", "frame_id", "content", "labels")
+    scans = chosen("*.bin").select("seq_id", "frame_id", "name", "path")
+    labels = chosen("*.label").select("seq_id", "name", F.col("path").alias("labels"))
+    both = scans.join(labels, ["seq_id", "name"], "left").select("seq_id", "frame_id", "path", "labels")
+    both = both.repartition(parts or 4 * spark.sparkContext.defaultParallelism, "path")  # names only, else a few tasks would read all
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                t = decode(row["content"], row["labels"])
+                t = decode(read_file(row["path"]), read_file(row["labels"]))
                 n = len(t["x"])
                 yield pa.record_batch([pa.array([row["seq_id"]] * n, pa.string()), pa.array(np.full(n, row["frame_id"], np.int32)), *map(pa.array, t.values())], ["seq_id", "frame_id", *t])
 
@@ -119,7 +149,7 @@ def read_scans(spark: SparkSession, root: str, seq_ids: list[str] | None = None,
 def write_scans(points: DataFrame, root: str, with_labels: bool = True) -> DataFrame:
     """Writes root/sequences/SEQ/velodyne/FRAME.bin and labels; returns (path, points) of the files when it is run.
 
-    root must be a folder that all executors mount.
+    root: a folder that all executors reach, as a path or as a URI that storage knows.
     """
 
     def run(group):
@@ -130,10 +160,12 @@ def write_scans(points: DataFrame, root: str, with_labels: bool = True) -> DataF
         if with_labels:
             out.append((f"{base}/labels/{name}.label", group["class_id"].to_numpy().astype("<i8").astype("<u4")))
         for path, data in out:
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(f"{path}.{os.getpid()}.part", "wb") as f:
+            system, inner = storage(path)
+            system.create_dir(os.path.dirname(inner), recursive=True)
+            part = f"{inner}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as f:
                 f.write(np.ascontiguousarray(data).tobytes())
-            os.replace(f.name, path)  # a rerun of the task replaces whole files
+            system.move(part, inner)  # a rerun of the task replaces whole files
         import pandas as pd
 
         return pd.DataFrame([(p, len(group)) for p, _ in out], columns=["path", "points"])

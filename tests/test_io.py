@@ -31,6 +31,20 @@ def test_scan_round_trip(spark, folder):
     assert {r.seq_id for r in scans.read_scans(spark, folder, ["01"]).collect()} == {"01"}
 
 
+def test_no_bytes_are_shuffled(spark, folder):
+    plan = scans.read_scans(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "content" not in plan
+
+
+def test_scans_by_uri_and_without_labels(spark, tmp_path):
+    rows = [("00", 0, i, float(i), 0.5, -1.5, 0.25, 40) for i in range(5)]
+    root = f"file://{tmp_path}/a b"
+    for _ in range(2):  # the second run replaces the files of the first
+        assert scans.write_scans(spark.createDataFrame(rows, POINTS), root, with_labels=False).count() == 1
+    got = scans.read_scans(spark, root, parts=2).collect()
+    assert {(r.point_id, r.class_id) for r in got} == {(i, -1) for i in range(5)}
+
+
 def test_listing(spark, folder):
     listing = scans.files(spark, folder)
     assert {(r.seq_id, r.scans) for r in scans.sequences(listing).collect()} == {("00", 3), ("01", 3)}

@@ -87,6 +87,22 @@ def test_assignment_is_optimal(n, m, seed):
     assert len(pairs) == best[0] and sum(c[i, j] for i, j in pairs) == pytest.approx(-best[1])
 
 
+def test_parts_are_solved_apart():
+    rng = np.random.default_rng(7)
+    crowds = [rng.random((n, m)) for n, m in ((3, 2), (1, 1), (2, 4), (1, 3))]
+    cost = np.full((sum(len(c) for c in crowds) + 2, sum(c.shape[1] for c in crowds) + 1), np.inf)  # two rows and a column without any
+    i = j = 0
+    for c in crowds:
+        cost[i : i + c.shape[0], j : j + c.shape[1]] = c
+        i, j = i + c.shape[0], j + c.shape[1]
+    rows, cols = rng.permutation(cost.shape[0]), rng.permutation(cost.shape[1])
+    mixed = cost[np.ix_(rows, cols)]
+    assert sorted((len(r), len(c)) for r, c in track.blocks(mixed)) == sorted(c.shape for c in crowds)
+    whole, apart = track.assign_block(mixed), track.assign(mixed)
+    assert apart == whole and len(apart) == 2 + 1 + 2 + 1
+    assert track.assign(np.full((2, 2), np.inf)) == track.assign(np.zeros((0, 3))) == []
+
+
 DETECTIONS = "seq_id string, frame_id int, x double, y double, class_id int"
 
 
