@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import HYSTERESIS, TRACKING, Hysteresis, Tracking
+from ..config import HYSTERESIS, ROOF, TIERS, TRACKING, Hysteresis, Tracking
 from ..operators.hysteresis import hold
 from ..operators.track import Track, track_step
 
@@ -63,6 +63,78 @@ def radius_stream(sectors: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
     return stateful(sectors, ["seq_id", "sector"], step, "seq_id string, sector long, frame_id int, held double")
 
 
+def tier_stream(rows: DataFrame, boundary: float = TIERS[0][0], p: Hysteresis = HYSTERESIS) -> DataFrame:
+    """Tier sizes of a stream of seq_id, place, frame_id, range_m that change only beyond the margin."""
+    inner, outer = TIERS[0][1], TIERS[1][1]
+
+    def step(key, tier, frame, group):
+        r = float(group["range_m"].iloc[0])
+        if tier is None:
+            tier = inner if r < boundary else outer
+        elif abs(r - boundary) > p.radius_margin:
+            tier = outer if r > boundary else inner
+        return tier, [(key[0], int(key[1]), int(frame), tier)]
+
+    return stateful(rows, ["seq_id", "place"], step, "seq_id string, place long, frame_id int, tier double")
+
+
+def clip_stream(rows: DataFrame, roof: float = ROOF, p: Hysteresis = HYSTERESIS) -> DataFrame:
+    """Whether places of a stream of seq_id, place, frame_id, z_max are clipped: beyond the margin at once, within it from the second frame on."""
+
+    def step(key, above, frame, group):
+        z = float(group["z_max"].iloc[0])
+        above = (above or 0) + 1 if z > roof else 0
+        return above, [(key[0], int(key[1]), int(frame), above, z > roof + p.clip_margin or above >= p.clip_after)]
+
+    return stateful(rows, ["seq_id", "place"], step, "seq_id string, place long, frame_id int, above_frames long, clipped boolean")
+
+
+def degraded_stream(cells: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
+    """Cells of a stream of seq_id, ring_idx, angle_idx, tier_idx, frame_id, point_count, confidence, resolution_tier; long sparse places are marked down.
+
+    A place that does not appear keeps its count, so states stay: choose the RocksDB state store for large areas.
+    """
+
+    def step(key, low, frame, group):
+        out, low = [], low or 0
+        for c in group.sort_values("tier_idx").itertuples(index=False):
+            low = low + 1 if c.point_count < p.least_points else 0
+            bad = low >= p.degraded_after
+            made = (3, 0.3, TIERS[-1][1]) if bad else (int(c.point_count), c.confidence, c.resolution_tier)
+            out.append((key[0], int(key[1]), int(key[2]), int(c.tier_idx), int(frame), *made, bad))
+        return low, out
+
+    schema = "seq_id string, ring_idx long, angle_idx long, tier_idx int, frame_id int, point_count long, confidence double, resolution_tier double, degraded boolean"
+    return stateful(cells, ["seq_id", "ring_idx", "angle_idx"], step, schema)
+
+
+def vacated_stream(rows: DataFrame) -> DataFrame:
+    """What became of the cells that tracks left, as track.vacated has it.
+
+    rows: a stream of seq_id, frame_id, track_id, tier_idx, ring_idx, angle_idx, semantic_class,
+    last_updated_frame: a frame's cells with a null track_id, and a row for each cell of a track's
+    footprint. A sequence's state is the footprints of its last frame.
+    """
+    cell = ["tier_idx", "ring_idx", "angle_idx"]
+
+    def step(key, before, frame, group):
+        of_track = group["track_id"].notna()
+        places = group[of_track].astype({c: "int64" for c in ["track_id", *cell]})
+        now = set(places[["track_id", *cell]].itertuples(index=False, name=None))
+        left = sorted((before or set()) - now)
+        wanted = {c[1:] for c in left}
+        cells = group[~of_track][[*cell, "semantic_class", "last_updated_frame"]].itertuples(index=False, name=None)
+        there = {c[:3]: c[3:] for c in cells if c[:3] in wanted}
+        out = []
+        for track_id, *place in left:
+            kind, updated = there.get(tuple(place), (None, None))
+            outcome = "gone" if kind is None else "other" if kind != 3 else "stale" if updated < frame else "kept"
+            out.append((key[0], int(frame), track_id, *place, outcome, outcome != "kept"))
+        return now, out
+
+    return stateful(rows, ["seq_id"], step, "seq_id string, frame_id int, track_id long, tier_idx int, ring_idx long, angle_idx long, outcome string, erased boolean")
+
+
 def send(payload: DataFrame, put: Callable[[int, DataFrame], None], trigger: dict, checkpoint: str):
     """Starts a query that hands each batch of compressed frames to put(batch id, messages)."""
     from ..operators.payload import compressed

@@ -117,20 +117,73 @@ def detections(n=8):
     return rows
 
 
+def streamed(spark, folder, batches, build):
+    """Rows of the stream that build makes of the batches, one file each."""
+    for i, b in enumerate(batches):
+        b.coalesce(1).write.parquet(str(folder / "in" / f"b{i}"))
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder / "in"))
+    name = f"out_{build.__name__}"
+    q = build(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return spark.table(name)
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    for i, f in enumerate((range(3), range(3, 8))):
-        spark.createDataFrame([r for r in detections() if r[1] in f], DETECTIONS).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
-    stream = spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = processors.track_stream(stream).writeStream.format("memory").queryName("tracks_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    parts = [spark.createDataFrame([r for r in detections() if r[1] in f], DETECTIONS) for f in (range(3), range(3, 8))]
     batch = spark.createDataFrame(detections(), DETECTIONS)
     key = lambda r: (r.seq_id, r.frame_id, r.track_id)
     want = sorted(track.track(batch, batch).collect(), key=key)
-    got = sorted(spark.table("tracks_out").collect(), key=key)
+    got = sorted(streamed(spark, tmp_path, parts, processors.track_stream).collect(), key=key)
     assert len(want) == len(got) == 32
     assert [tuple(r) for r in want] == [tuple(r) for r in got]
 
 
+def footprint_rows(rng):
+    """Footprints and cells of frames 0, 1, 3, 4 as one table: null track_id for cells."""
+    rows = []
+    for f in (0, 1, 3, 4):
+        rows += [("a", f, t, 0, int(r), 7, None, None) for t in (1, 2) if (t, f) != (2, 3) for r in rng.choice(12, 5, replace=False)]
+        rows += [("a", f, None, 0, r, 7, int(rng.integers(2, 4)), int(rng.choice([f, f - 1]))) for r in range(0, 12, 2) if rng.random() < 0.8]
+    return rows
+
+
+def states(spark):
+    """name: (schema and rows, the stream, the same in batch)."""
+    rng = np.random.default_rng(8)
+    place = "seq_id string, place long, frame_id int, "
+    frames = [(s, k, f) for s in ("a", "b") for k in range(3) for f in range(12)]
+    cells = [("a", k, 5, t, f, int(rng.integers(1, 4)), 0.9, 0.05) for k in range(3) for f in range(12) for t in (0, 1) if rng.random() < 0.8]
+    by = ["seq_id", "place"]
+
+    def vacated(rows):
+        return track.vacated(rows.filter("track_id is not null").drop("semantic_class", "last_updated_frame"), rows, rows.filter("track_id is null").drop("track_id"))
+
+    return {
+        "radius": ("seq_id string, sector long, frame_id int, radius double", [(*k, float(rng.uniform(9, 11))) for k in frames], processors.radius_stream, lambda d: hysteresis.radius_hold(d)),
+        "tier": (place + "range_m double", [(*k, float(rng.uniform(8.8, 11.2))) for k in frames], processors.tier_stream, lambda d: hysteresis.schmitt_tier(d, by)),
+        "clip": (place + "z_max double", [(*k, float(rng.uniform(2.3, 2.7))) for k in frames], processors.clip_stream, lambda d: hysteresis.z_clip(d, by)),
+        "degraded": (
+            "seq_id string, ring_idx long, angle_idx long, tier_idx int, frame_id int, point_count long, confidence double, resolution_tier double",
+            cells, processors.degraded_stream, hysteresis.degraded,
+        ),
+        "vacated": (
+            "seq_id string, frame_id int, track_id long, tier_idx int, ring_idx long, angle_idx long, semantic_class int, last_updated_frame int",
+            footprint_rows(rng), processors.vacated_stream, vacated,
+        ),
+    }
+
+
+@pytest.mark.parametrize("name", ["radius", "tier", "clip", "degraded", "vacated"])
+def test_state_streams_equal_batch(spark, tmp_path, name):
+    schema, rows, build, batch = states(spark)[name]
+    whole = spark.createDataFrame(rows, schema)
+    got = streamed(spark, tmp_path, [whole.filter("frame_id < 3"), whole.filter("frame_id >= 3")], build)
+    want = batch(whole).select(got.columns).collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 5
+    last = {len(set(r[-1] for r in want))}
+    assert last != {1}, "the case must hold both outcomes"
+
+
 def test_clusters(spark):
     rows = [("s", i, 2.4 * i, 0.0, 3) for i in range(4)] + [("s", 10, 40.0, 0.0, 3)] + [("s", 20 + i, 100 + 2.0 * i, 0.0, 3) for i in range(9)]
     df = spark.createDataFrame(rows, "seq_id string, cell long, x double, y double, class_id int")
