@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import serving
 from ..config import FOVEA, Fovea
+from ..functions import labels
 from ..operators import loop, metrics, payload, project, segment
-from ..sources import scans, scenarios
+from ..sources import samples, scans, scenarios
 from ..views import oracle, table, view
 from .grid import ELLIPSE_SQL, foveated_cells, points
 
@@ -39,6 +40,31 @@ NEXT_SQL = oracle("frames_v") + """, s AS (SELECT DISTINCT seq_id FROM frames_v)
   coalesce(lead(seq_id) OVER (ORDER BY seq_id), (SELECT min(seq_id) FROM s)) AS next_id, coalesce(lag(seq_id) OVER (ORDER BY seq_id), (SELECT max(seq_id) FROM s)) AS prev_id FROM s"""
 
 
+def playlist_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each scope plays of the sequences and drives."""
+    real = sequence_scans(spark, sf_dir).select(F.col("seq_id").cast("string").alias("id"), F.lit("real").alias("kind"), "precomputed")
+    made = spark.createDataFrame([(s, "synthetic", True) for s in scenarios.SCENARIOS], "id string, kind string, precomputed boolean")
+    parts = [(rows, scope, name) for rows, name in ((real.unionByName(made), "both"), (made, "synthetic")) for scope in ("all", "real", "ready")]
+    return reduce(DataFrame.unionByName, [serving.scoped(rows, scope).select(F.lit(name).alias("playlist"), F.lit(scope).alias("scope"), "id") for rows, scope, name in parts])
+
+
+SCOPES_SQL = SEQUENCES_SQL.replace(" SELECT seq_id, count", ", s AS (SELECT seq_id, count", 1) + f"""), m AS (SELECT unnest([{", ".join(repr(s) for s in scenarios.SCENARIOS)}]) AS id),
+b AS (SELECT CAST(seq_id AS VARCHAR) AS id, true AS is_real, precomputed AS ready FROM s UNION ALL SELECT id, false, true FROM m)
+SELECT 'both' AS playlist, scope, id FROM b, (SELECT unnest(['all', 'real', 'ready']) AS scope) WHERE scope = 'all' OR (scope = 'real' AND is_real) OR (scope = 'ready' AND ready)
+UNION ALL SELECT 'synthetic', scope, id FROM m, (SELECT unnest(['all', 'real', 'ready']) AS scope)"""
+
+
+def sample_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the labelled drive by frame, raw class and instance, and those of the test scan."""
+    rows = samples.drive(spark).unionByName(samples.scan(spark))
+    rows = rows.select("seq_id", "frame_id", labels.raw_class("class_id").alias("raw"), labels.instance("class_id").alias("instance"))
+    return rows.groupBy("seq_id", "frame_id", "raw", "instance").agg(F.count(F.lit(1)).alias("n"))
+
+
+DRIVE_SQL = """SELECT '00' AS seq_id, CAST(f AS INT) AS frame_id, raw, instance, n FROM (VALUES (40, 0, 6000), (48, 0, 3000), (50, 0, 2500), (80, 0, 400), (10, 1, 400), (10, 2, 350), (30, 3, 120)) v(raw, instance, n), range(30) r(f)
+UNION ALL SELECT 'test', 0, raw, 0, n FROM (VALUES (40, 4280), (80, 50), (30, 100), (81, 80), (10, 300)) v(raw, n)"""
+
+
 def scenario_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(s,) for s in scenarios.SCENARIOS], "seq_id string")
     return serving.scenarios(view(spark, sf_dir, "frames_v").select("seq_id").distinct(), names)
@@ -198,6 +224,8 @@ QUERIES = {
     "sequence_scans": (sequence_scans, SEQUENCES_SQL),
     "scan_playlist": (scan_playlist, PLAYLIST_SQL),
     "playlist_next": (playlist_next, NEXT_SQL),
+    "playlist_scopes": (playlist_scopes, SCOPES_SQL),
+    "sample_drive": (sample_drive, DRIVE_SQL),
     "scenario_list": (scenario_list, SCENARIOS_SQL),
     "alias_dispatch": (alias_dispatch, ALIAS_SQL),
     "uniform_signature": (uniform_signature, SIGNATURE_SQL),

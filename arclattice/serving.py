@@ -60,6 +60,17 @@ def scenarios(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     return a.unionByName(synthetic.select(F.col("seq_id").cast("string").alias("id"), F.lit("synthetic").alias("kind")))
 
 
+def scoped(playlist: DataFrame, scope: str = "all") -> DataFrame:
+    """The part of a playlist (id, kind, precomputed) that a scope plays: all, real or ready (precomputed or synthetic).
+
+    A scope that holds nothing plays all. A playlist is short: one task looks at it.
+    """
+    holds = {"all": F.lit(True), "real": F.col("kind") == "real", "ready": F.col("precomputed") | (F.col("kind") == "synthetic")}[scope]
+    whole = Window.partitionBy(F.lit(0))
+    rows = playlist.withColumn("_in", F.coalesce(holds, F.lit(False)))
+    return rows.filter(F.col("_in")).unionByName(rows.withColumn("_any", F.bool_or("_in").over(whole)).filter("not _any").drop("_any")).drop("_in")
+
+
 def resolve(name="name") -> F.Column:
     """A sequence id from its alias, two digits; other names stay as they are."""
     n = F.col(name) if isinstance(name, str) else name

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from arclattice import serving
 from arclattice.operators import loop, payload
 from arclattice.plans import services
-from arclattice.sources import scans, scenarios
+from arclattice.sources import samples, scans, scenarios
 
 POINTS = "seq_id string, frame_id int, point_id long, x double, y double, z double, intensity double, class_id int"
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,31 @@ def test_scans_by_uri_and_without_labels(spark, tmp_path):
     assert {(r.point_id, r.class_id) for r in got} == {(i, -1) for i in range(5)}
 
 
+def test_samples(spark, tmp_path):
+    rows = samples.drive(spark, 2)
+    assert rows.count() == 2 * 12_770
+    scans.write_scans(rows, str(tmp_path)).count()
+    back = scans.read_scans(spark, str(tmp_path))
+    counts = lambda df, c: {tuple(r) for r in df.groupBy("frame_id", c.alias("raw")).count().collect()}
+    assert counts(back, F.col("class_id")) == counts(rows, F.col("class_id").bitwiseAND(0xFFFF))
+    car = back.filter("frame_id = 1 and class_id = 10 and y > 0").selectExpr("min(x) lo", "max(x) hi").first()
+    assert 13.8 <= car.lo < 14.0 and 17.6 < car.hi <= 17.8
+    road = rows.filter("class_id = 40").selectExpr("regr_slope(z, x) slope", "avg(z - 0.005 * x) z").first()
+    assert road.slope == pytest.approx(0.005, abs=2e-4) and road.z == pytest.approx(-1.5, abs=2e-3)
+    scan = samples.scan(spark).collect()
+    assert len(scan) == 4810 and [r.point_id for r in scan] != sorted(r.point_id for r in scan) and scan == samples.scan(spark).collect()
+    pole = sorted(r.z for r in scan if r.class_id == 80)
+    assert pole == pytest.approx([3 * j / 49 for j in range(50)], abs=1e-6)
+
+
+def test_scopes(spark):
+    rows = spark.createDataFrame([("01", "real", False), ("02", "real", True), ("a", "synthetic", None)], "id string, kind string, precomputed boolean")
+    plays = lambda df, scope: sorted(r.id for r in serving.scoped(df, scope).collect())
+    assert [plays(rows, s) for s in ("all", "real", "ready")] == [["01", "02", "a"], ["01", "02"], ["02", "a"]]
+    assert plays(rows.filter("id = 'a'"), "real") == ["a"] and plays(rows.filter("id = '01'"), "ready") == ["01"]
+    assert plays(rows.limit(0), "real") == []
+
+
 def test_listing(spark, folder):
     listing = scans.files(spark, folder)
     assert {(r.seq_id, r.scans) for r in scans.sequences(listing).collect()} == {("00", 3), ("01", 3)}
