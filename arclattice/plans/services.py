@@ -13,7 +13,7 @@ from ..functions import labels
 from ..operators import loop, metrics, payload, project, segment
 from ..sources import samples, scans, scenarios
 from ..views import oracle, table, view
-from .grid import ELLIPSE_SQL, foveated_cells, points
+from .grid import CENTER_SQL, ELLIPSE_SQL, FOVEATED, MEMORY_SQL, foveated_cells, points
 
 
 def sequence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +205,31 @@ def frame_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.frame_payload(frames, loop.kept(foveated_cells(spark, sf_dir)), t, ghosts)
 
 
+def payload_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the frames' payloads, a row each."""
+    rows = frame_payload(spark, sf_dir).select("seq_id", "frame_id", F.explode("cells").alias("c"))
+    names = ["ring_idx", "angle_idx", "semantic_class", "resolution_tier"]
+    return rows.select("seq_id", "frame_id", *[F.col(f"c.{n}").alias(n) for n in names], *[(F.col(f"c.{n}") + 0).alias(n) for n in ("r", "x", "y")])
+
+
+PAYLOAD_CELLS_SQL = FOVEATED + f""" SELECT seq_id, frame_id, ring_idx, angle_idx, semantic_class, resolution_tier, round_even(cr, 3) + 0 AS r, round_even(cx, 3) + 0 AS x, round_even(cy, 3) + 0 AS y
+FROM ({CENTER_SQL.format(cells="cells")})"""
+
+
+def payload_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the frames' payloads."""
+    names = ["active_cells_count", "memory_bytes_foveated", "memory_bytes_uniform_baseline", "memory_savings_pct", "moving_objects_count", "motion_foveation_active"]
+    return frame_payload(spark, sf_dir).select("seq_id", "frame_id", *[F.col(f"metrics.{n}").alias(n) for n in names], F.size("tracks").alias("tracks"), F.size("cells").alias("cells"))
+
+
+PAYLOAD_METRICS_SQL = FOVEATED + f""", m AS ({MEMORY_SQL[MEMORY_SQL.rindex("SELECT seq_id, frame_id, count(*) AS active_cells"):]}),
+t AS (SELECT seq_id, frame_id, count(*) AS tracks, count(*) FILTER (class_id = 3 AND sqrt(vx*vx + vy*vy) >= {FOVEA.moving_speed}::DOUBLE) AS moving FROM tracks_v GROUP BY ALL)
+SELECT f.seq_id, f.frame_id, coalesce(active_cells, 0) AS active_cells_count, coalesce(memory_bytes_foveated, 0) AS memory_bytes_foveated, coalesce(memory_bytes_uniform_baseline, 0) AS memory_bytes_uniform_baseline,
+  coalesce(memory_savings_pct, 0) AS memory_savings_pct, coalesce(moving, 0) AS moving_objects_count, coalesce(moving, 0) > 0 AS motion_foveation_active,
+  CAST(coalesce(tracks, 0) AS INT) AS tracks, CAST(coalesce(active_cells, 0) AS INT) AS cells
+FROM frames_v f LEFT JOIN m ON m.seq_id = f.seq_id AND m.frame_id = f.frame_id LEFT JOIN t ON t.seq_id = f.seq_id AND t.frame_id = f.frame_id"""
+
+
 def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = payload.compressed(payload.with_stream_metrics(frame_payload(spark, sf_dir), 25.0, 100.0))
     return out.select("seq_id", "frame_id", F.octet_length("message").alias("bytes"))
@@ -240,6 +265,8 @@ QUERIES = {
     "scenario_miou": (scenario_miou, None),
     "scan_files": (scan_files, None),
     "frame_payload": (frame_payload, None),
+    "payload_cells": (payload_cells, PAYLOAD_CELLS_SQL),
+    "payload_metrics": (payload_metrics, PAYLOAD_METRICS_SQL),
     "frame_messages": (frame_messages, None),
     "closed_loop": (closed_loop, None),
 }
