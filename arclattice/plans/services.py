@@ -61,8 +61,8 @@ def sample_drive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("seq_id", "frame_id", "raw", "instance").agg(F.count(F.lit(1)).alias("n"))
 
 
-DRIVE_SQL = """SELECT '00' AS seq_id, CAST(f AS INT) AS frame_id, raw, instance, n FROM (VALUES (40, 0, 6000), (48, 0, 3000), (50, 0, 2500), (80, 0, 400), (10, 1, 400), (10, 2, 350), (30, 3, 120)) v(raw, instance, n), range(30) r(f)
-UNION ALL SELECT 'test', 0, raw, 0, n FROM (VALUES (40, 4280), (80, 50), (30, 100), (81, 80), (10, 300)) v(raw, n)"""
+DRIVE_SQL = """SELECT '00' AS seq_id, CAST(f AS INT) AS frame_id, raw, instance, CAST(n AS BIGINT) AS n FROM (VALUES (40, 0, 6000), (48, 0, 3000), (50, 0, 2500), (80, 0, 400), (10, 1, 400), (10, 2, 350), (30, 3, 120)) v(raw, instance, n), range(30) r(f)
+UNION ALL SELECT 'test', 0, raw, 0, CAST(n AS BIGINT) FROM (VALUES (40, 4280), (80, 50), (30, 100), (81, 80), (10, 300)) v(raw, n)"""
 
 
 def scenario_list(spark: SparkSession, sf_dir: str) -> DataFrame:
