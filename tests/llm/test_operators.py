@@ -121,6 +121,23 @@ def test_scores_of_awkward_rows(spark, docs, none, labels, rows):
         assert {r.score for r in module.score(docs, labels.limit(0), p).collect()} == {0.5}
 
 
+def test_a_score_does_not_depend_on_its_batch():
+    import pyarrow as pa
+
+    rng, w = random.Random(7), quality.start(np.random.default_rng(3))
+    t, dense = quality.tables(w), np.random.default_rng(2).normal(size=1 << toxicity.BITS).astype(np.float32)
+    model = toxicity.Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.1)
+    for text in ("One ", "", prose(rng, 300)):
+        seen = {"quality": set(), "toxicity": set()}
+        for size in range(1, 41):
+            others = [prose(rng, rng.randint(1, 30)) for _ in range(size)]
+            for at in {0, size // 2, size - 1}:
+                batch = pa.array([*others[:at], text, *others[at + 1 :]])
+                seen["quality"].add(quality.predict(batch, w, t)[at])
+                seen["toxicity"].add(toxicity.predict(batch, model, dense)[at])
+        assert all(len(v) == 1 for v in seen.values())
+
+
 def test_training_sample_is_bounded(spark):
     rows = [(1, f"text {i % 7}") for i in range(100_000)] + [(2, "b" * 50), (3, "c" * 5000), (4, None), (5, "e" * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
