@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .fingerprints import op3_fingerprints
+from .harmonic import op13_harmonic
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op9_minhash
 from .packing import op6_packing
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable]:
         "op8_urls": op8_urls,
         "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
+        "op13_harmonic": op13_harmonic,
     }
 
 
