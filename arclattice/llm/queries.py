@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from .fingerprints import op3_fingerprints
 from .harmonic import op13_harmonic
+from .lexical import OP11_SQL, op11_lexical
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op9_minhash
 from .packing import op6_packing
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable]:
         "op8_urls": op8_urls,
         "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
+        "op11_lexical": op11_lexical,
         "op13_harmonic": op13_harmonic,
     }
 
@@ -36,4 +38,5 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": OP5_SQL,
+        "op11_lexical": OP11_SQL,
     }
