@@ -9,6 +9,7 @@ from .harmonic import op13_harmonic
 from .lexical import OP11_SQL, op11_lexical
 from .mixing import OP5_SQL, op5_mixing
 from .neardup import op9_minhash
+from .negatives import op12_negatives
 from .packing import op6_packing
 from .quality import op10_quality
 from .sharding import op1_sharding
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable]:
         "op9_minhash": op9_minhash,
         "op10_quality": op10_quality,
         "op11_lexical": op11_lexical,
+        "op12_negatives": op12_negatives,
         "op13_harmonic": op13_harmonic,
     }
 
