@@ -1,56 +1,20 @@
-"""Operators with memory from frame to frame, as windows where rules allow and as folds where not."""
+"""Operators with memory from frame to frame, as windows where rules allow and as scans where not."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import HYSTERESIS, ROOF, TIERS, Hysteresis
+from .scan import scan
 
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
-    """Runs step(state, row) -> (state, output rows) over each key's rows in order, beginning with None.
-
-    Keys are independent. The same step serves the streaming processors.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for row in group.sort_values(order).itertuples(index=False):
-            state, made = step(state, row)
-            out.extend(made)
-        return pd.DataFrame(out, columns=names)
-
-    names = [c.split()[0] for c in schema.split(",")]
-    return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
-def scanned(rows: DataFrame, keys: list[str], values: list[str], first: dict[str, Callable], after: dict[str, Callable]) -> DataFrame:
-    """(keys, frame_id, values, states): states follow from the row and the states of the row before, in expressions.
-
-    first: a state of a key's first row, from it; after: a state from (the states before, the row). A
-    key's rows are one array of a few numbers each; keys are independent.
-    """
-    one = F.struct("frame_id", *[F.col(v).cast("double").alias(v) for v in values])
-    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_rows"))
-    made = lambda row, states: F.struct(row["frame_id"].alias("frame_id"), *[row[v].alias(v) for v in values], *[c.cast("double").alias(n) for n, c in states.items()])
-    begin = F.array(made(F.col("_rows")[0], {n: f(F.col("_rows")[0]) for n, f in first.items()}))
-
-    def step(done, row):
-        was = F.element_at(done, -1)
-        return F.concat(done, F.array(made(row, {n: f(was, row) for n, f in after.items()})))
-
-    done = F.aggregate(F.slice("_rows", 2, F.size("_rows")), begin, step)
-    return rows.select(*keys, F.inline(done))
-
-
-def hold(previous: float | None, new: float, margin: float = HYSTERESIS.radius_margin) -> float:
-    """The previous value while the new one is less than margin away."""
-    return previous if previous is not None and abs(new - previous) < margin else new
+def hold(previous: float | None, new: float | None, margin: float = HYSTERESIS.radius_margin) -> float | None:
+    """The previous value while the new one is less than margin away, or null."""
+    return previous if previous is not None and (new is None or abs(new - previous) < margin) else new
 
 
 def sector_means(points: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
@@ -62,8 +26,11 @@ def sector_means(points: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
 def radius_hold(sectors: DataFrame, keys: list[str] = ["seq_id", "sector"], p: Hysteresis = HYSTERESIS) -> DataFrame:  # noqa: B006
     """sectors (keys, frame_id, radius) with the held radius."""
 
-    stay = lambda was, row: F.when(F.abs(row["radius"] - was["held"]) < p.radius_margin, was["held"]).otherwise(row["radius"])
-    return scanned(sectors, keys, ["radius"], {"held": lambda row: row["radius"]}, {"held": stay})
+    def step(held, radius):
+        held = hold(held, radius, p.radius_margin)
+        return held, (held,)
+
+    return scan(sectors, keys, ["frame_id"], ["radius"], step, "held double")
 
 
 def smoothed(points: DataFrame, p: Hysteresis = HYSTERESIS) -> DataFrame:
@@ -118,8 +85,12 @@ def z_clip(rows: DataFrame, keys: list[str], roof: float = ROOF, p: Hysteresis =
 def ema(rows: DataFrame, keys: list[str], values: Iterable[str], alpha: float = 0.35) -> DataFrame:
     """rows (keys, frame_id, values) smoothed: alpha of the previous result and the rest of the new value."""
     values = list(values)
-    mixed = lambda v: lambda was, row: was[f"_{v}"] * alpha + row[v] * (1 - alpha)
-    out = scanned(rows, keys, values, {f"_{v}": (lambda v: lambda row: row[v])(v) for v in values}, {f"_{v}": mixed(v) for v in values})
+
+    def step(was, *row):
+        now = row if was is None else tuple(a * alpha + b * (1 - alpha) for a, b in zip(was, row, strict=True))
+        return now, now
+
+    out = scan(rows, keys, ["frame_id"], values, step, ", ".join(f"_{v} double" for v in values))
     return out.select(*keys, "frame_id", *[F.col(f"_{v}").alias(v) for v in values])
 
 

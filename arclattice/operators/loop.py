@@ -7,8 +7,6 @@ for all frames at once (operators.project), which needs no rounds.
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +15,7 @@ from ..config import HYSTERESIS, Fovea
 from ..functions import polar
 from ..functions.fovea import fine_radius
 from . import cluster, project
+from .checkpoint import kept
 from .track import Track, ghost_counts, footprints, track_step, vacated
 
 FIELDS = list(Track.__dataclass_fields__)
@@ -26,16 +25,6 @@ TRACK = (
 )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at a checkpoint. Without spark.checkpoint.dir, only local masters get a folder of their own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if sc.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arclattice-loop-"))
-    return df.checkpoint()
-
-
 def held_radii(points: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """points with fine held by sector, and the new held radii (seq_id, sector, held); sectors without points keep theirs."""
     points = points.withColumn("sector", F.rint(F.col("theta") / HYSTERESIS.sector).cast("long"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import serving
 from ..config import FOVEA, Fovea
 from ..functions import labels
+from ..operators.checkpoint import kept
 from ..operators import loop, metrics, payload, project, segment
 from ..sources import samples, scans, scenarios
 from ..views import oracle, table, view
@@ -191,7 +192,7 @@ def scenario_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point and label files written and read again."""
-    root = scans.shared_folder(spark)
+    root = scans.new_folder(spark)
     source = scenarios.points(spark).withColumn("seq_id", F.lpad((F.abs(F.xxhash64("seq_id")) % 90).cast("string"), 2, "0"))
     scans.write_scans(source, root).count()
     back = scans.read_scans(spark, root)
@@ -202,7 +203,7 @@ def frame_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = view(spark, sf_dir, "frames_v").withColumns({"timestamp_s": F.col("frame_id") * 0.1, "scenario_name": F.lit("tables"), "description": F.lit("")})
     t = view(spark, sf_dir, "tracks_v").withColumns({"pred_x": F.col("x") + F.col("vx") * 0.1, "pred_y": F.col("y") + F.col("vy") * 0.1, "frames_since_seen": F.lit(0), "state": F.lit("CONFIRMED"), "hits": F.lit(3)})
     ghosts = frames.select("seq_id", "frame_id", F.lit(0).cast("long").alias("ghosts"))
-    return payload.frame_payload(frames, loop.kept(foveated_cells(spark, sf_dir)), t, ghosts)
+    return payload.frame_payload(frames, kept(foveated_cells(spark, sf_dir)), t, ghosts)
 
 
 def payload_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

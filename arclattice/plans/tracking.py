@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, hysteresis, loop, project, track
+from ..operators import cluster, hysteresis, project, track
+from ..operators.checkpoint import kept
+from ..operators.scan import scan
 from ..views import oracle, view
 from .grid import CENTER_SQL, KEYS, STATIC_CELLS, static_cells
 
@@ -108,12 +110,12 @@ GROUP BY frame_id, component HAVING count(*) <= 200 AND max(x) - min(x) <= 14 AN
 def kalman_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One track a sector, whose x is the radius and whose y stays 0: every measurement belongs to it."""
 
-    def step(state, row):
-        new = track.Track(1, 3, row.radius, 0.0) if state is None else track.corrected(track.predicted(state), row.radius, 0.0, 3)
-        return new, [(row.sector, row.frame_id, new.x, new.vx, new.p_pos, new.p_cross, new.p_vel)]
+    def step(state, radius):
+        new = track.Track(1, 3, radius, 0.0) if state is None else track.corrected(track.predicted(state), radius, 0.0, 3)
+        return new, (new.x, new.vx, new.p_pos, new.p_cross, new.p_vel)
 
-    schema = "sector long, frame_id long, x double, vx double, p double, c double, v double"
-    out = hysteresis.fold(_sectors(spark, sf_dir).select("sector", "frame_id", "radius"), ["sector"], ["frame_id"], step, schema)
+    out = scan(_sectors(spark, sf_dir).select("sector", "frame_id", "radius"), ["sector"], ["frame_id"], ["radius"], step, "x double, vx double, p double, c double, v double")
+    out = out.drop("radius")
     return out.withColumns({n: F.round(n, 6) for n in ("x", "vx", "p", "c", "v")})
 
 
@@ -174,7 +176,7 @@ def _footprints(spark, sf_dir):
     k = F.explode(F.sequence(F.lit(0), F.lit(2)))
     t = view(spark, sf_dir, "tracks_v").withColumn("k", k)
     t = t.withColumns({"frame_id": F.col("frame_id") + F.col("k"), "x": F.col("x") + F.col("vx") * (F.col("k") * 0.1), "y": F.col("y") + F.col("vy") * (F.col("k") * 0.1)})
-    cells = loop.kept(static_cells(spark, sf_dir))  # read for the footprints and for what became of them
+    cells = kept(static_cells(spark, sf_dir))  # read for the footprints and for what became of them
     centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
     return track.footprints(t, centred, 3.5), cells
 
@@ -188,7 +190,7 @@ FOOTPRINT_SQL = MOVING_SQL + " SELECT * FROM fp"
 
 def vacated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints, cells = _footprints(spark, sf_dir)
-    prints = loop.kept(prints)
+    prints = kept(prints)
     return track.vacated(prints, view(spark, sf_dir, "frames_v"), cells)
 
 

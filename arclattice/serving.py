@@ -119,12 +119,10 @@ def playback_step(state: tuple | None, command: str, value: int, frames: int, sc
 
 def playback(commands: DataFrame, keys: list[str], frames: int = 20, scenarios: int = 4) -> DataFrame:
     """commands (keys, position, command, value) with the state after each."""
-    from .operators.hysteresis import fold
+    from .operators.scan import scan
 
-    def step(state, row):
-        state = playback_step(state, row.command, int(row.value), frames, scenarios)
-        return state, [(*(getattr(row, k) for k in keys), row.position, *state)]
+    def step(state, command, value):
+        state = playback_step(state, command, int(value), frames, scenarios)
+        return state, state
 
-    kinds = dict(commands.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "position"]) + ", scenario int, frame int, playing boolean, loop boolean"
-    return fold(commands, keys, ["position"], step, schema)
+    return scan(commands, keys, ["position"], ["command", "value"], step, "scenario int, frame int, playing boolean, loop boolean").drop("command", "value")

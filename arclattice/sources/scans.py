@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import uuid
 import zipfile
 
@@ -22,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..config import DT
+from ..operators.checkpoint import shared_folder
 
 SEQUENCE = r"sequences/([^/]+)/"
 POINT_BYTES = 16
@@ -111,12 +111,9 @@ def read_file(path: str | None) -> bytes | None:
         return f.read()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; without it, only local masters get a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='arclattice-scans-')}/{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def read_scans(spark: SparkSession, root: str, seq_ids: list[str] | None = None, parts: int | None = None) -> DataFrame:
