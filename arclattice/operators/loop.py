@@ -1,85 +1,261 @@
-"""Sequences frame by frame, where each frame's fine zone depends on the tracks of the one before.
+"""Sequences whose fine zone follows their tracks: one stateful processor for tables and streams.
 
-One round handles the same frame of all sequences as distributed plans, so rounds are as many as the
-longest sequence has frames. Where no track is a threat the rounds give what the open plan gives
-for all frames at once (operators.project), which needs no rounds.
+A frame's fine zone depends on the tracks of the frame before, which come from the dynamic cells of its
+own fine zone. Only that circle runs in the processor, sequence by sequence and frame by frame: the mean
+fine radius of each angular sector, held against jitter, the dynamic cells under it, their clusters and the tracks.
+What it hands on, the held radii and the tracks, makes all cells, footprints and ghosts of all
+frames in one plan (closed_loop).
+
+State: the last frame (value), the held radius of each sector (map), the tracks in their order (list). A
+table is dealt by sequence and sorted by frame, so that a task holds one frame's points at a time. In a stream,
+a frame comes whole in one batch; a timer on the frames' event time forgets a sequence that is `idle` long over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import atan2, hypot, pi
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import HYSTERESIS, Fovea
+from ..config import HYSTERESIS, LEAST_RANGE, TIERS, Fovea
 from ..functions import polar
-from ..functions.fovea import fine_radius
 from . import cluster, project
 from .checkpoint import kept
-from .track import Track, ghost_counts, footprints, track_step, vacated
+from .track import Track, footprints, ghost_counts, track_step, vacated
 
 FIELDS = list(Track.__dataclass_fields__)
 TRACK = (
     "track_id long, class_id int, x double, y double, vx double, vy double, pred_x double, pred_y double, frames_since_seen int, state string, hits int, "
     "bbox_l double, bbox_w double, p_pos double, p_cross double, p_vel double"
 )
+#: What the processor reads of a point; a frame's row without a point has a null r.
+POINT = ["seq_id", "frame_id", "speed_mps", "steering_angle_rad", "r", "theta", "class_id"]
+SIZES = np.array([size for _, size in TIERS])
 
 
-def held_radii(points: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """points with fine held by sector, and the new held radii (seq_id, sector, held); sectors without points keep theirs."""
-    points = points.withColumn("sector", F.rint(F.col("theta") / HYSTERESIS.sector).cast("long"))
-    means = points.groupBy("seq_id", "sector").agg(F.avg("fine").alias("mean"))
-    both = means.join(held, ["seq_id", "sector"], "full")
-    stay = F.col("mean").isNull() | (F.abs(F.col("mean") - F.col("held")) < HYSTERESIS.radius_margin)
-    new = both.select("seq_id", "sector", F.when(stay & F.col("held").isNotNull(), F.col("held")).otherwise(F.col("mean")).alias("held"))
-    new = kept(new)
-    return points.drop("fine").join(new.withColumnRenamed("held", "fine"), ["seq_id", "sector"]), new
+def lobe_of(t: Track, p: Fovea) -> tuple[float, float, float, float, float] | None:
+    """functions.fovea.lobe of one track: height, bearing, width, factor and cap."""
+    if t.class_id != 3:
+        return None
+    r, side, width, far = hypot(t.x, t.y), abs(t.y), max(t.bbox_l, t.bbox_w), p.farthest_threat
+    boosts = hypot(t.vx, t.vy) >= p.moving_speed and p.boost > 1.0
+    if not p.collision_only:
+        sigma = max(width / max(r, 1.0), 0.2)
+        if abs(t.vx) <= 1e-3 and abs(t.vy) <= 1e-3:
+            height = min(r + 5.0, far)
+            return height, atan2(t.y, t.x), sigma, 1.0, height
+        px, py = t.x + t.vx * p.lead_time, t.y + t.vy * p.lead_time
+        height, at = min(max(r, hypot(px, py)) + p.buffer, far), atan2(py, px)
+    else:
+        if r > far or r < 0.5:
+            return None
+        closing, sigma, at = -(t.x * t.vx + t.y * t.vy) / max(r, 0.1), max(0.35, width / max(r, 1.0)), atan2(t.y, t.x)
+        if t.x > 0 and side <= 5.5 and (closing >= 0.5 or t.vx <= -0.5):
+            reach = r + 5.0
+        elif t.x > 0 and side <= p.corridor:
+            reach = r + 5.0 if r <= 25.0 and closing >= -0.5 and t.vx <= 0.5 else None
+        else:
+            reach = _crossing(t, p)
+        if reach is None:
+            return None
+        height = min(reach, far)
+    return height, at, sigma, p.boost if boosts else 1.0, far if boosts else height
 
 
-def cells_of(points: DataFrame, frames: DataFrame, tracks: DataFrame, held: DataFrame, p: Fovea) -> tuple[DataFrame, DataFrame]:
-    state = project.with_lobes(frames, tracks, p).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "lobes", "roof")
-    rows = points.join(state, ["seq_id", "frame_id"]).filter("z <= roof").withColumn("theta", polar.bearing())
-    rows = rows.withColumn("fine", fine_radius("theta", lobes=F.col("lobes"), p=p)).drop("lobes", "speed_mps", "steering_angle_rad")
-    rows, held = held_radii(rows, held)
-    return kept(project.grid_cells(project.with_key(rows, F.col("r") < F.col("fine"), F.col("roof")))), held
+def _crossing(t: Track, p: Fovea) -> float | None:
+    side = abs(t.y)
+    enter = (side - p.corridor) / max(abs(t.vy), 0.1)
+    meet = t.x + t.vx * enter
+    inward = (t.y > 0 and t.vy < -0.5) or (t.y < 0 and t.vy > 0.5)
+    if hypot(t.vx, t.vy) >= 0.8 and p.corridor < side <= 10.0 and inward and 0.0 <= meet <= 25.0 and enter <= 3.0:
+        return abs(meet) + 4.0
+    return None
 
 
-def next_tracks(tracks: DataFrame, cells: DataFrame, frame_id: int, seq_kind: str) -> DataFrame:
-    dynamic = project.with_center(cells.filter("semantic_class = 3")).select("seq_id", "x", "y", F.col("semantic_class").alias("class_id"), polar.cell_id(F.col("tier_idx"), F.col("ring_idx"), F.col("angle_idx")).alias("cell"))
-    found = cluster.clusters(dynamic, ["seq_id"], "cell")
+def _wrap(angle):
+    return np.mod(angle + pi, 2 * pi) - pi
 
-    def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        new = new.sort_values(["x", "y"])
-        state = track_step([Track(*r) for r in old[FIELDS].itertuples(index=False)], list(zip(new.x, new.y, new.class_id.astype(int), strict=True)))
-        return pd.DataFrame([(key[0], frame_id, *(getattr(t, f) for f in FIELDS)) for t in state], columns=["seq_id", "frame_id", *FIELDS])
 
-    joined = tracks.groupBy("seq_id").cogroup(found.groupBy("seq_id"))
-    return kept(joined.applyInPandas(run, f"seq_id {seq_kind}, frame_id int, {TRACK}"))
+def fine_of(theta: np.ndarray, speed: float, steering: float, tracks: list[Track], p: Fovea) -> np.ndarray:
+    """functions.fovea.fine_radius of one frame's angles."""
+    b = p.base_radius
+    a = b * (p.max_stretch if p.reference_speed == 0 else 1.0 + (p.max_stretch - 1.0) * min(max(speed / p.reference_speed, 0.0), 1.0))
+    d = _wrap(theta - steering * p.shear)
+    size = np.sqrt((b * np.cos(d)) ** 2 + (a * np.sin(d)) ** 2)
+    out = np.where(np.abs(d) < pi / 2, a * b / np.where(size == 0, 1e-6, size), b)
+    for height, at, sigma, factor, cap in filter(None, (lobe_of(t, p) for t in tracks)) if p.enabled else ():
+        out = np.maximum(out, np.minimum(height * np.exp(-0.5 * (_wrap(theta - at) / sigma) ** 2) * factor, cap))
+    return out
 
 
-def closed_loop(points: DataFrame, frames: DataFrame, p: Fovea = Fovea()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, tracks, ghosts) of all frames. frames: seq_id, frame_id, speed_mps, steering_angle_rad and roof.
+class Frame:
+    """One frame's points at or below the roof."""
+
+    def __init__(self, points: pd.DataFrame, p: Fovea):
+        self.speed, self.steering, self.p = float(points["speed_mps"].iloc[0]), float(points["steering_angle_rad"].iloc[0]), p
+        points = points[points["r"].notna()]
+        self.r, self.theta, self.classes = points["r"].to_numpy(float), points["theta"].to_numpy(float), points["class_id"].to_numpy(np.int64)
+        self.sector = np.rint(self.theta / HYSTERESIS.sector).astype(np.int64)
+
+    def hold(self, tracks: list[Track], held: dict[int, float]) -> dict[int, float]:
+        """The held radius of every sector that has points; held is brought up to date."""
+        names, place = np.unique(self.sector, return_inverse=True)
+        means = np.bincount(place, fine_of(self.theta, self.speed, self.steering, tracks, self.p), len(names)) / np.bincount(place, minlength=len(names))
+        for s, mean in zip(names.tolist(), means.tolist(), strict=True):
+            if s not in held or abs(mean - held[s]) >= HYSTERESIS.radius_margin:
+                held[s] = mean
+        return {s: held[s] for s in names.tolist()}
+
+    def detections(self, fine: dict[int, float]) -> list[tuple[float, float, int]]:
+        """Centroids of the clusters of dynamic cells."""
+        if not len(self.r):
+            return []
+        names, place = np.unique(self.sector, return_inverse=True)
+        inside = self.r < np.array([fine[s] for s in names.tolist()])[place]
+        tier = np.where(inside, 0, np.where(self.r < TIERS[1][0], 1, 2))
+        size = SIZES[tier]
+        ring = np.trunc(self.r / size).astype(np.int64)
+        angle = np.trunc(self.theta / (size / np.maximum(self.r, LEAST_RANGE))).astype(np.int64)
+        pairs, count = np.unique(np.stack([tier, ring, angle, self.classes]), axis=1, return_counts=True)
+        order = np.lexsort((pairs[3], -count, pairs[2], pairs[1], pairs[0]))  # of a cell's classes the most frequent first, then the lowest
+        pairs = pairs[:, order]
+        first = np.r_[True, (np.diff(pairs[:3]) != 0).any(0)]
+        tier, ring, angle, _ = pairs[:, first & (pairs[3] == 3)]
+        if not len(tier):
+            return []
+        r = (ring + 0.5) * SIZES[tier]
+        theta = (angle + 0.5) * (SIZES[tier] / np.maximum(r, LEAST_RANGE))
+        x, y = r * np.cos(theta), r * np.sin(theta)
+        _, part = np.unique(cluster.grid_components(x, y), return_inverse=True)
+        n = np.bincount(part)
+        span = lambda v: np.array([np.ptp(v[part == k]) for k in range(len(n))])
+        good = (n <= cluster.MOST_CELLS) & (span(x) <= cluster.WIDEST) & (span(y) <= cluster.WIDEST)
+        return sorted((a, b, 3) for a, b in zip((np.bincount(part, x) / n)[good].tolist(), (np.bincount(part, y) / n)[good].tolist(), strict=True))
+
+
+def step(frame: Frame, tracks: list[Track], held: dict[int, float], first: bool) -> tuple[dict[int, float], list[Track]]:
+    """(held radii of the frame's sectors, tracks) after a frame. The first one is looked at again once its tracks are known."""
+    fine = frame.hold(tracks, held)
+    tracks = track_step(tracks, frame.detections(fine))
+    return (frame.hold(tracks, held) if first else fine), tracks
 
-    The first frame is projected again once its tracks are known, and its sectors are held twice.
+
+class Loop(StatefulProcessor):
+    """Rows (POINT and, with idle, event_time) of a sequence to its held radii (kind sector) and tracks (kind track).
+
+    Frames up to the last one seen are left out, so that a replay changes nothing. ordered: rows come sorted by frame.
     """
+
+    def __init__(self, p: Fovea, ordered: bool, idle: int | None = None):
+        self.p, self.ordered, self.idle = p, ordered, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "frame_id int")
+        self.held = handle.getMapState("held", "sector long", "radius double")
+        self.tracks = handle.getListState("tracks", TRACK)
+
+    def frames(self, parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+        """Whole frames in their order; of sorted rows, one at a time."""
+        if not self.ordered:
+            parts = iter([pd.concat(list(parts)).sort_values("frame_id", kind="stable")])
+        waiting: list[pd.DataFrame] = []
+        for part in parts:
+            for number, rows in part.groupby("frame_id", sort=False):
+                if waiting and waiting[0]["frame_id"].iloc[0] != number:
+                    if number < waiting[0]["frame_id"].iloc[0]:
+                        raise ValueError("rows of a sequence must come sorted by frame")
+                    yield int(waiting[0]["frame_id"].iloc[0]), pd.concat(waiting)
+                    waiting = []
+                waiting.append(rows)
+        if waiting:
+            yield int(waiting[0]["frame_id"].iloc[0]), pd.concat(waiting)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        held = {s[0]: r[0] for s, r in self.held.iterator()} if self.held.exists() else {}
+        tracks = [Track(*t) for t in self.tracks.get()] if self.tracks.exists() else []
+        was, latest = dict(held), None
+        for number, points in self.frames(rows):
+            if self.idle is not None:
+                latest = max(filter(None, (latest, points["event_time"].max())))
+            if last is not None and number <= last:
+                continue
+            fine, tracks = step(Frame(points, self.p), tracks, held, last is None)
+            last = number
+            yield pd.concat([
+                pd.DataFrame({"seq_id": key[0], "frame_id": number, "kind": "sector", "sector": list(fine), "held": list(fine.values())}, columns=COLUMNS, dtype=object),
+                pd.DataFrame([(key[0], number, "track", None, None, *(getattr(t, f) for f in FIELDS)) for t in tracks], columns=COLUMNS, dtype=object),
+            ])
+        if last is not None:
+            self.last.update((last,))
+        for s, r in held.items():
+            if was.get(s) != r:
+                self.held.updateValue((s,), (r,))
+        self.tracks.clear()
+        if tracks:
+            self.tracks.put([tuple(getattr(t, f) for f in FIELDS) for t in tracks])
+        if latest is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.last, self.held, self.tracks):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+COLUMNS = ["seq_id", "frame_id", "kind", "sector", "held", *FIELDS]
+
+
+def schema_of(seq_kind: str) -> str:
+    return f"seq_id {seq_kind}, frame_id int, kind string, sector long, held double, {TRACK}"
+
+
+def loop_rows(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """POINT of the points at or below their frame's roof, and a row without a point for every frame."""
+    rows = points.join(frames, ["seq_id", "frame_id"]).filter("z <= roof").withColumn("r", polar.radius()).withColumn("theta", polar.bearing())
+    return rows.select(POINT).unionByName(frames.select(*POINT[:4]), allowMissingColumns=True)
+
+
+def loop_states(points: DataFrame, frames: DataFrame, p: Fovea = Fovea()) -> DataFrame:
+    """Held radii and tracks of a table's frames (seq_id, frame_id, speed_mps, steering_angle_rad, roof)."""
     spark = points.sparkSession
-    kind = dict(frames.dtypes)["seq_id"]
-    tracks = spark.createDataFrame([], f"seq_id {kind}, frame_id int, {TRACK}")
-    held = spark.createDataFrame([], f"seq_id {kind}, sector long, held double")
-    numbers = [r[0] for r in frames.select("frame_id").distinct().orderBy("frame_id").collect()]
-    all_cells, all_tracks = [], []
-    for i, f in enumerate(numbers):
-        now, state = points.filter(F.col("frame_id") == f), frames.filter(F.col("frame_id") == f)
-        seen = lambda t: t.withColumn("frame_id", F.lit(f))  # noqa: B023, E731
-        cells, held = cells_of(now, state, seen(tracks), held, p)
-        tracks = next_tracks(tracks, cells, f, kind)
-        if i == 0:
-            cells, held = cells_of(now, state, seen(tracks), held, p)
-        all_cells.append(cells)
-        all_tracks.append(tracks)
-    cells, tracks = all_cells[0], all_tracks[0]
-    for c, t in zip(all_cells[1:], all_tracks[1:], strict=True):
-        cells, tracks = cells.unionByName(c), tracks.unionByName(t)
+    with_states(spark)
+    dealt = loop_rows(points, frames).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id").sortWithinPartitions("seq_id", "frame_id")
+    return dealt.groupBy("seq_id").transformWithStateInPandas(Loop(p, ordered=True), schema_of(dict(frames.dtypes)["seq_id"]), "append", "None")
+
+
+def loop_stream(rows: DataFrame, p: Fovea = Fovea(), idle: int = 60_000, delay: str = "10 seconds") -> DataFrame:
+    """Held radii and tracks of a stream of POINT and event_time; idle: milliseconds of event time after which a sequence is forgotten."""
+    with_states(rows.sparkSession)
+    rows = rows.select(*POINT, "event_time").withWatermark("event_time", delay)
+    return rows.groupBy("seq_id").transformWithStateInPandas(Loop(p, ordered=False, idle=idle), schema_of(dict(rows.dtypes)["seq_id"]), "append", "EventTime")
+
+
+def with_states(spark) -> None:
+    """The store that keyed state of several kinds needs, for later queries of the session too; a batch query also needs the streams' manager to be there."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.streams.active  # noqa: B018
+
+
+def closed_loop(points: DataFrame, frames: DataFrame, p: Fovea = Fovea()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, tracks, ghosts) of all frames. frames: seq_id, frame_id, speed_mps, steering_angle_rad and roof."""
+    states = kept(loop_states(points, frames, p))
+    tracks = states.filter("kind = 'track'").select("seq_id", "frame_id", *FIELDS)
+    fine = states.filter("kind = 'sector'").select("seq_id", "frame_id", "sector", F.col("held").alias("fine"))
+    rows = points.join(frames.select("seq_id", "frame_id", "roof"), ["seq_id", "frame_id"]).filter("z <= roof").withColumn("sector", F.rint(polar.bearing() / HYSTERESIS.sector).cast("long"))
+    rows = rows.join(fine, ["seq_id", "frame_id", "sector"])
+    cells = kept(project.grid_cells(project.with_key(rows, F.col("r") < F.col("fine"), F.col("roof"))))
     centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
-    prints = footprints(tracks, centred, 4.0)
+    prints = kept(footprints(tracks, centred))
     return cells, tracks, ghost_counts(vacated(prints, frames, cells), frames)

@@ -201,16 +201,21 @@ def moving_objects(tracks: DataFrame) -> DataFrame:
     }).drop("_t")
 
 
-def footprints(tracks: DataFrame, cells: DataFrame, widest: float) -> DataFrame:
+#: Side in m of the squares that cells are looked up by.
+SQUARE = 4.0
+
+
+def footprints(tracks: DataFrame, cells: DataFrame) -> DataFrame:
     """(seq_id, frame_id, track_id, cell key): dynamic cells within a track's larger box side of its position.
 
-    cells: with their centre cx, cy. widest: no track's box side is larger; it is the bucket size.
+    cells: with their centre cx, cy. Each track is sought in all squares that its reach touches, however large its box is.
     """
     frame = ["seq_id", "frame_id"]
     cell = ["tier_idx", "ring_idx", "angle_idx"]
-    left = bucket(cells.filter("semantic_class = 3").select(*frame, *cell, "cx", "cy"), widest, "cx", "cy")
-    reach = F.greatest("bbox_l", "bbox_w")
-    right = around(bucket(tracks.select(*frame, "track_id", F.col("x").alias("tx"), F.col("y").alias("ty"), reach.alias("reach")), widest, "tx", "ty"))
+    left = bucket(cells.filter("semantic_class = 3").select(*frame, *cell, "cx", "cy"), SQUARE, "cx", "cy")
+    right = tracks.select(*frame, "track_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.greatest("bbox_l", "bbox_w").alias("reach")).filter("reach >= 0")
+    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / SQUARE), F.floor((F.col(c) + F.col("reach")) / SQUARE)))
+    right = right.withColumn("bx", touched("tx")).withColumn("by", touched("ty"))
     dx, dy = F.col("cx") - F.col("tx"), F.col("cy") - F.col("ty")
     return left.join(right, [*frame, "bx", "by"]).filter(dx * dx + dy * dy <= F.col("reach") * F.col("reach")).select(*frame, "track_id", *cell)
 

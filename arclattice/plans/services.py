@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import serving
-from ..config import FOVEA, Fovea
+from ..config import FOVEA, ROOF, Fovea
 from ..functions import labels
 from ..operators.checkpoint import kept
 from ..operators import loop, metrics, payload, project, segment
@@ -237,10 +237,9 @@ def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tracks of a drive whose fine zone follows them, and the ghosts of its frames."""
-    frames = scenarios.frames(spark, 3).filter("seq_id in ('urban_intersection', 'highway_cruise')").withColumn("roof", scenarios.roof_height())
-    rows = scenarios.points(spark, 3, only=["urban_intersection", "highway_cruise"])
-    cells, tracks, ghosts = loop.closed_loop(rows, frames, Fovea())
+    """Cells, tracks and ghosts of all frames whose fine zone follows their tracks."""
+    frames = view(spark, sf_dir, "frames_v").withColumn("roof", F.lit(ROOF))
+    cells, tracks, ghosts = loop.closed_loop(points(spark, sf_dir), frames, Fovea())
     counts = cells.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("cells"))
     t = tracks.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("tracks"), F.max("hits").alias("most_hits"))
     return counts.join(t, ["seq_id", "frame_id"], "left").join(ghosts, ["seq_id", "frame_id"])

@@ -178,7 +178,7 @@ def _footprints(spark, sf_dir):
     t = t.withColumns({"frame_id": F.col("frame_id") + F.col("k"), "x": F.col("x") + F.col("vx") * (F.col("k") * 0.1), "y": F.col("y") + F.col("vy") * (F.col("k") * 0.1)})
     cells = kept(static_cells(spark, sf_dir))  # read for the footprints and for what became of them
     centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
-    return track.footprints(t, centred, 3.5), cells
+    return track.footprints(t, centred), cells
 
 
 def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
