@@ -6,14 +6,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import serving
 from ..config import FOVEA, ROOF, Fovea
 from ..functions import labels
 from ..operators.checkpoint import kept
 from ..operators import loop, metrics, payload, project, segment
+from ..sources import frames as frame_files
 from ..sources import samples, scans, scenarios
-from ..views import oracle, table, view
+from ..views import LABEL_WORD, SQL, oracle, table, view
 from .grid import CENTER_SQL, ELLIPSE_SQL, FOVEATED, MEMORY_SQL, foveated_cells, points
 
 
@@ -88,8 +90,6 @@ ALIAS_SQL = """SELECT s_suppkey, name, CASE WHEN regexp_extract(name, '^(?:[A-Za
 
 def uniform_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("seq_id"), F.col("c_custkey").alias("path"), F.when(F.col("c_nationkey") % 2 == 0, 160_000).otherwise(F.col("c_custkey") * 16).alias("length"))
-    from pyspark.sql.window import Window
-
     rows = rows.withColumn("frame_id", F.row_number().over(Window.partitionBy("seq_id").orderBy("path")) - 1)
     return scans.one_size(rows)
 
@@ -190,13 +190,38 @@ def scenario_miou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.miou(found.select(F.col("class_id").alias("gt"), F.col("label").alias("pred")))
 
 
+def _labelled(spark, sf_dir):
+    """The points with the words of their labels, as scan folders hold them."""
+    raw = view(spark, sf_dir, "points_v").sparkSession.sql(LABELLED_POINTS, base=table(spark, sf_dir, "lineitem"))
+    w = Window.partitionBy("seq_id", "frame_id").orderBy("x", "y", "z", "intensity", "word")
+    return raw.withColumns({"seq_id": frame_files.sequence_number(), "frame_id": F.col("frame_id").cast("int") - 1, "point_id": F.row_number().over(w).cast("long"), "class_id": labels.raw_class(), "instance": labels.instance()})
+
+
+def _written(spark, sf_dir) -> DataFrame:
+    """The points after they were written to a scan folder and read again."""
+    root = scans.new_folder(spark)
+    frame_files.save_scans(_labelled(spark, sf_dir), root)
+    return frame_files.load_scans(spark, root)
+
+
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point and label files written and read again."""
-    root = scans.new_folder(spark)
-    source = scenarios.points(spark).withColumn("seq_id", F.lpad((F.abs(F.xxhash64("seq_id")) % 90).cast("string"), 2, "0"))
-    scans.write_scans(source, root).count()
-    back = scans.read_scans(spark, root)
-    return back.groupBy("seq_id", "frame_id", "class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("sum_x"))
+    back = _written(spark, sf_dir)
+    return back.groupBy("seq_id", "frame_id", "class_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("sum_x"), F.sum("instance").alias("instances"))
+
+
+def scan_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few frames of two sequences: other files are not opened."""
+    back = _written(spark, sf_dir).filter("seq_id in ('01', '03') and frame_id >= 1 and frame_id < 4")
+    return back.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("z"), 3).alias("sum_z"))
+
+
+LABELLED_POINTS = SQL["points_v"].replace("FROM lineitem", f", {LABEL_WORD} AS word FROM {{base}}")
+_RAW_POINTS = f"WITH p AS ({LABELLED_POINTS.replace('{base}', 'lineitem')})"
+SCAN_FILES_SQL = _RAW_POINTS + """ SELECT lpad(CAST(seq_id AS VARCHAR), 2, '0') AS seq_id, CAST(frame_id - 1 AS INT) AS frame_id, CAST(word & 65535 AS INT) AS class_id, count(*) AS n,
+  round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 3) AS sum_x, CAST(sum((word >> 16) & 65535) AS BIGINT) AS instances FROM p GROUP BY ALL"""
+SCAN_WINDOW_SQL = _RAW_POINTS + """ SELECT lpad(CAST(seq_id AS VARCHAR), 2, '0') AS seq_id, CAST(frame_id - 1 AS INT) AS frame_id, count(*) AS n,
+  round(sum(CAST(CAST(z AS FLOAT) AS DOUBLE)), 3) AS sum_z FROM p WHERE seq_id IN (1, 3) AND frame_id - 1 >= 1 AND frame_id - 1 < 4 GROUP BY ALL"""
 
 
 def frame_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +288,8 @@ QUERIES = {
     "scenario_points": (scenario_points, None),
     "scenario_cells": (scenario_cells, None),
     "scenario_miou": (scenario_miou, None),
-    "scan_files": (scan_files, None),
+    "scan_files": (scan_files, SCAN_FILES_SQL),
+    "scan_window": (scan_window, SCAN_WINDOW_SQL),
     "frame_payload": (frame_payload, None),
     "payload_cells": (payload_cells, PAYLOAD_CELLS_SQL),
     "payload_metrics": (payload_metrics, PAYLOAD_METRICS_SQL),

@@ -42,14 +42,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name].replace(f"FROM {base}", "FROM {base}"), base=table(spark, sf_dir, base))
 
 
-def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW]), (F.col("l_partkey") % len(_RAW) + 1).cast("int"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return rows.withColumn("word", raw.cast("long") + (F.col("l_suppkey") % 100) * 65536)
+#: A label word for each row: one of the raw classes, and an instance above it. The text fits Spark and other engines.
+LABEL_WORD = f"CASE l_partkey % {len(_RAW)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_RAW))} END + (l_suppkey % 100)*65536"
+LABEL_WORDS_SQL = f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {LABEL_WORD} AS word FROM lineitem"
 
 
-LABEL_WORDS_SQL = f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
-  CAST(([{", ".join(map(str, _RAW))}])[CAST(l_partkey % {len(_RAW)} AS INT) + 1] AS BIGINT) + (l_suppkey % 100)*65536 AS word FROM lineitem"""
+def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LABEL_WORDS_SQL.replace("FROM lineitem", "FROM {base}"), base=table(spark, sf_dir, "lineitem"))
 
 
 def oracle(*names: str) -> str:

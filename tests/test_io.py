@@ -37,14 +37,6 @@ def test_no_bytes_are_shuffled(spark, folder):
     assert "Exchange" in plan and "content" not in plan
 
 
-def test_scan_files_are_their_source(spark):
-    by = ["seq_id", "frame_id", "class_id"]
-    source = scenarios.points(spark).withColumn("seq_id", F.lpad((F.abs(F.xxhash64("seq_id")) % 90).cast("string"), 2, "0"))
-    want = source.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("float").cast("double")), 3).alias("sum_x"))
-    both = services.scan_files(spark, SF).join(want.withColumnsRenamed({"n": "m", "sum_x": "want_x"}), by, "full")
-    assert both.count() == both.filter("n = m and abs(sum_x - want_x) < 0.0015").count() > 200
-
-
 def test_scans_by_uri_and_without_labels(spark, tmp_path):
     rows = [("00", 0, i, float(i), 0.5, -1.5, 0.25, 40) for i in range(5)]
     root = f"file://{tmp_path}/a b"
