@@ -29,9 +29,10 @@ RULES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:["'][^"'>]*)?\bcanonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_BASE = r"""(?is)<base\b[^>]*>"""
+#: A tag of a page that may name another URL, to its end or to that of the page: no start is tried twice, so time follows the page's length.
+_TAG = r"(?is)<(?:link|meta|base)\b[^>]*+(?:>|\z)"
+_CANONICAL = r"""(?is)\brel\s*=\s*(?:["'][^"'>]*)?\bcanonical\b"""
+_REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""
 #: An attribute's value: to its quote, else to a space.
 _VALUE = r"""(?is)(?<![\w-])%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: The URL of a refresh: to its own quote, else to the end of the content.
@@ -76,6 +77,7 @@ def first_of(text: Column, pattern: str) -> Column:
 
 def decoded(text: Column) -> Column:
     """The text with its references to ASCII characters, by number or by the names of quotes, ampersand, slash, colon and others that URLs hold, replaced."""
+    given = text
     names = {"quot": '"', "apos": "'", "sol": "/", "colon": ":", "quest": "?", "equals": "=", "num": "#", "period": ".", "lowbar": "_", "percnt": "%", "amp": "&"}
     seen = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#0*\d{1,3};|&#[xX]0*[0-9a-fA-F]{1,2};"), F.lit(0)))
     code = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, r"(\d+);", 1)).cast("int")
@@ -84,7 +86,7 @@ def decoded(text: Column) -> Column:
     text = F.aggregate(plain, text, lambda t, e: F.replace(t, e, F.char(code(e))))
     for name, char in names.items():
         text = F.regexp_replace(text, f"&{name};" if name != "amp" else "&amp;|&#0*38;|&#[xX]0*26;", char)
-    return text
+    return F.when(given.contains("&"), text).otherwise(given)
 
 
 def without_dots(path: Column) -> Column:
@@ -108,28 +110,32 @@ def resolved(base: Column, to: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(from_rest, to_rest): URLs after their scheme that pages call equivalent."""
-    rest = after_scheme(F.col("url"))
-    named = pages.filter(F.col("html").rlike("(?i)canonical|refresh")).select(rest.alias("from_rest"), "html").filter(node(F.col("from_rest")).isNotNull())
-    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
-    href = lambda tag: F.trim(decoded(first_of(tag, _VALUE % "href")))
-
-    def target(tag: Column) -> Column:
-        content = decoded(first_of(tag, _VALUE % "content"))
-        url = first_of(content, _URL)
-        return F.trim(F.when(url != "", url).otherwise(decoded(F.regexp_extract(tag, _BARE_URL, 1))))
-
-    bases = F.filter(F.transform(tags(_BASE), href), lambda x: x != "")
-    found = F.concat(F.transform(tags(_CANONICAL), href), F.transform(tags(_REFRESH), target))
-    named = named.select("from_rest", F.coalesce(F.try_element_at(bases, F.lit(1)), F.lit("")).alias("base"), F.explode(F.filter(found, lambda x: x != "")).alias("to"))
-    edges = named.select("from_rest", resolved(F.col("from_rest"), F.col("base")).alias("base"), "to")
-    edges = edges.select("from_rest", resolved(F.col("base"), F.col("to")).alias("to_rest"))
-    return edges.filter(node(F.col("to_rest")).isNotNull())
+    """(from_rest, to_rest): URLs after their scheme that pages call equivalent; to_rest may be null or without a host.
+
+    Each tag becomes a row, whose references are decoded once.
+    """
+    kind = lambda tag, name: tag.rlike(rf"(?i)^<{name}\b")
+    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)), lambda t: t.endswith(">"))
+    named = pages.select(after_scheme(F.col("url")).alias("from_rest"), tags.alias("tags")).filter((F.size("tags") > 0) & node(F.col("from_rest")).isNotNull())
+    bases = F.transform(F.filter("tags", lambda t: kind(t, "base")), lambda t: first_of(t, _VALUE % "href"))
+    base = F.coalesce(F.try_element_at(F.filter(bases, lambda x: F.trim(x) != ""), F.lit(1)), F.lit(""))
+    rows = named.select("from_rest", base.alias("base"), F.explode("tags").alias("tag"))
+    tag = F.col("tag")
+    rows = rows.withColumn("refresh", kind(tag, "meta")).filter((F.col("refresh") & tag.rlike(_REFRESH)) | (kind(tag, "link") & tag.rlike(_CANONICAL)))
+    rows = rows.withColumn("text", F.when(F.col("refresh"), first_of(tag, _VALUE % "content")).otherwise(first_of(tag, _VALUE % "href")))
+    rows = rows.withColumns({"text": decoded(F.col("text")), "base": F.trim(decoded(F.col("base")))})
+    rows = rows.withColumn("url", F.when(F.col("refresh"), first_of(F.col("text"), _URL)).otherwise(F.col("text")))
+    bare = F.when(F.col("refresh") & (F.col("url") == ""), F.regexp_extract(tag, _BARE_URL, 1)).otherwise("")
+    rows = rows.withColumn("bare", decoded(bare))
+    rows = rows.select("from_rest", "base", F.nullif(F.trim(F.when(F.col("url") != "", F.col("url")).otherwise(F.col("bare"))), F.lit("")).alias("to"))
+    rows = rows.withColumn("base", F.when(F.col("base") == "", F.col("from_rest")).otherwise(resolved(F.col("from_rest"), F.col("base"))))
+    return rows.select("from_rest", resolved(F.col("base"), F.col("to")).alias("to_rest"))
 
 
 def judged(pages: DataFrame, stage: Stage, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each row of pages (page_id, url, html)."""
-    edges = stage.put(links(pages), "links")
+    # filtered when it is written: a filter on a computed column would write out all that it is computed from several times
+    edges = stage.put(links(pages), "links").filter(node(F.col("to_rest")).isNotNull())
     key = lambda c: F.unhex(F.md5(node(F.col(c))))  # noqa: E731  # 128 bits, so that no two URLs share a name
     joined = components(edges.select(key("from_rest").alias("a"), key("to_rest").alias("b")), stage)
     # what rules say of the URLs that have aliases, pages or not

@@ -517,6 +517,23 @@ def test_url_aliases(spark):
     assert urlfilter.judged(spark.createDataFrame([], "page_id long, url string, html string"), Stage(spark)).count() == 0
 
 
+def test_pages_of_many_megabytes(spark):
+    import time
+
+    link = '<link rel="canonical" href="http://b.net/es/1">'
+    pages = [
+        (1, "http://a.org/1", "<link " * 900_000),  # no tag ends: 5 MB are one tag, looked at once
+        (2, "http://a.org/2", "<link rel='" * 450_000 + link),  # one tag, which names a canonical link at its end
+        (3, "http://a.org/3", "<p>text</p>" * 450_000 + link),
+        (4, "http://a.org/4", "<base " * 800_000 + link),
+        (5, "http://b.net/es/1", None), (6, "http://a.org/6", link * 1000), (7, "http://a.org/" + "x" * 3_000_000, link),
+    ]
+    began = time.perf_counter()
+    out = {r.page_id: r.verdict for r in urlfilter.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), Stage(spark)).collect()}
+    assert time.perf_counter() - began < 60
+    assert out == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block"}
+
+
 def test_url_aliases_of_ordinary_markup(spark):
     blocked = '<link rel="canonical" href="http://x.net/es/9">'
     refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
