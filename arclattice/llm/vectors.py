@@ -1,10 +1,13 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Pivots are a bounded sample of the vectors, those of lowest hash, thinned where it is crowded: a dense
-group would own most of a plain sample and its members pick their nearest pivots at random. Every
-vector is described by its COUNTED nearest pivots, the nearest first. The first few of them (`named`)
-put it into inverted lists, and two vectors are candidates if they share two of these pivots and, of
-all COUNTED ones, at least `least_shared`. Candidates are verified by cosine in double precision.
+group would own most of a plain sample and its members pick their nearest pivots at random. Vectors and
+pivots are taken less the sample's mean: embeddings often share a direction, which says nothing
+of who is near whom. Every vector is described by its COUNTED nearest pivots, the nearest first. The first
+few of them (`named`) put it into inverted lists, and two vectors are candidates if they share two of these
+pivots and, of all COUNTED ones, at least `least_shared`. How many are named and must be shared is
+fitted on pairs made from the sample at a cosine of exactly THRESHOLD: the more of a vector lies in the shared direction, the less alike is
+the rest of such a pair. Candidates are verified by cosine in double precision.
 
 Lists hold ids and permutations only; vectors are fetched for the list members that have a candidate.
 Pivots grow with the square root of the vectors, so that a list of two pivots keeps its length. The
@@ -41,8 +44,11 @@ LEAST_PIVOTS, MOST_PIVOTS, MOST_BYTES = 64, 65_000, 64 << 20
 FEW_PIVOTS = 16
 #: Pivots of a vector that are counted.
 COUNTED = 32
-#: A pivot has at most CROWD earlier ones within this cosine; well below the named pivots, so that a dense group shares all of its own.
-CLOSE, CROWD = 0.5, 2
+#: A pivot has at most CROWD earlier ones within a cosine, the first of CLOSE that leaves a share of KEPT of the sample (the last
+#: leaves all): well below the named pivots, so that a dense group shares all of its own.
+CLOSE, CROWD, KEPT = (0.5, 0.65, 0.8, 0.9, 2.0), 2, 1 / 8
+#: Pairs that named and least_shared are fitted on, and the share of them that may be missed by either.
+PROBES, MISSED = 512, 0.004
 #: A pivot is crowded if its list has over CROWDED vectors and over twice the mean.
 CROWDED = 4096
 BLOCK = 2048
@@ -57,12 +63,12 @@ _LENGTH = -(1 << 40)
 
 
 def named(pivots: int) -> int:
-    """How many of the nearest pivots name lists."""
+    """How many of the nearest pivots name lists, at least."""
     return max(6, ceil(log2(max(2, pivots))) - 1)
 
 
 def least_shared(pivots: int) -> int:
-    """Shared pivots of COUNTED that a candidate needs: below what all but one in a thousand pairs at a cosine of 0.9 share."""
+    """Shared pivots of COUNTED that a candidate needs, at most: below what all but one in a thousand pairs at a cosine of 0.9 share."""
     return max(4, 28 - floor(1.83 * log2(max(2, pivots))))
 
 
@@ -102,23 +108,107 @@ def unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def thinned(sample: list[bytes], kind: str) -> list[bytes]:
-    """The sample in its order, without those that over CROWD vectors kept before have within CLOSE."""
-    keep: list[int] = []
-    for s in {len(v) for v in sample}:
-        at = [i for i, v in enumerate(sample) if len(v) == s]
-        x = unit([sample[i] for i in at], kind).astype(np.float32)
-        kept: list[int] = []
-        near = np.empty_like(x)
-        for k in range(len(at)):
-            if np.count_nonzero(near[: len(kept)] @ x[k] >= CLOSE) <= CROWD:
+def off_mean(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit rows less their mean, of unit length in single precision; a row that is the mean stays zero."""
+    x = x - mean
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return (x / np.where(norm > 1e-9, norm, np.inf)).astype(np.float32)
+
+
+def thinned(x: np.ndarray) -> list[int]:
+    """The places of a sample (unit rows, in their order) without those that over CROWD rows kept before are close to."""
+    kept: list[int] = []
+    for close in CLOSE:
+        kept, near = [], np.empty_like(x)
+        for k in range(len(x)):
+            if np.count_nonzero(near[: len(kept)] @ x[k] >= close) <= CROWD:
                 near[len(kept)] = x[k]
                 kept.append(k)
-        keep += [at[k] for k in kept]
-    return [sample[i] for i in sorted(keep)]
+        if len(kept) >= max(KEPT * len(x), min(len(x), 4 * FEW_PIVOTS)):
+            break
+    return kept
+
+
+def nearest(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
+    """The m nearest pivots of each row, the nearest first; ties by number."""
+    far = -(x @ pivots.T)
+    at = np.sort(np.argpartition(far, m - 1, axis=1)[:, :m], axis=1)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
+
+
+class Pivots:
+    """Pivots by the size of their vectors in bytes: their numbers, the mean of the sample, and themselves less it."""
+
+    def __init__(self, sample: list[bytes], kind: str):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.total = 0
+        fits = []
+        for s in sorted({len(v) for v in sample}):
+            x = unit([v for v in sample if len(v) == s], kind)
+            if len(x) < FEW_PIVOTS:
+                continue
+            mean = x.mean(0)
+            own = off_mean(x, mean)
+            kept = thinned(own)
+            if len(kept) >= FEW_PIVOTS:
+                self.of[s] = np.arange(self.total, self.total + len(kept)), mean, own[kept]
+                self.total += len(kept)
+                fits.append((len(x), *fit(x, mean, own[kept], kept)))
+        # named and shared pivots of the size with most vectors; sizes are looked for alike
+        _, self.named, self.least = max(fits, default=(0, named(self.total), least_shared(self.total)))
+
+    def permutations(self, raw: list[bytes], kind: str) -> np.ndarray:
+        """The COUNTED nearest pivots of vectors of one size, nearest first, as 16-bit numbers."""
+        number, mean, p = self.of[len(raw[0])]
+        m = min(COUNTED, len(number))
+        out = np.full((len(raw), COUNTED), _NONE, "<u2")
+        out[:, :m] = number[nearest(off_mean(unit(raw, kind), mean), p, m)]
+        return out
 
 
-def pivots_of(rows: DataFrame, kind: str) -> list[bytes]:
+def fit(x: np.ndarray, mean: np.ndarray, pivots: np.ndarray, kept: list[int]) -> tuple[int, int]:
+    """(named, least_shared) that pairs at a cosine of THRESHOLD fulfil, but for MISSED of them.
+
+    The partner of a sampled row is turned from it, about the mean, towards the rest of another row, until their cosine is
+    THRESHOLD. A row that is a pivot does not count as one of its own.
+    """
+    rng, m = np.random.default_rng(20240607), min(COUNTED, len(pivots) - 1)
+    i = rng.choice(len(x), PROBES)
+    w, other = x[i] - mean, x[rng.choice(len(x), PROBES)] - mean
+    size = (w * w).sum(1, keepdims=True)
+    side = other - (other * w).sum(1, keepdims=True) / np.maximum(size, 1e-12) * w
+    norm = np.sqrt((side * side).sum(1, keepdims=True))
+    able = (norm > 1e-6)[:, 0] & (size > 1e-12)[:, 0]
+    side *= np.sqrt(size) / np.maximum(norm, 1e-12)
+    low, high = np.zeros((len(i), 1)), np.full((len(i), 1), np.pi)
+    for _ in range(40):
+        t = (low + high) / 2
+        y = mean + np.cos(t) * w + np.sin(t) * side
+        y /= np.sqrt((y * y).sum(1, keepdims=True))
+        near = (y * x[i]).sum(1, keepdims=True) >= THRESHOLD
+        low, high = np.where(near, t, low), np.where(near, high, t)
+    able &= np.abs((y * x[i]).sum(1) - THRESHOLD) < 1e-6  # a row near the mean has no partner so far from it
+    if not able.any() or m < 2:
+        return named(len(pivots)), least_shared(len(pivots))
+    a, b = (nearest(off_mean(v[able], mean), pivots, m + 1) for v in (x[i], y))
+    place = np.full(len(x), -1)
+    place[kept] = np.arange(len(kept))
+    own = place[i[able]]
+
+    def others(rows):
+        return np.stack([r[r != k][:m] for r, k in zip(rows, own, strict=True)])
+
+    a, b = others(a), others(b)
+    rank = lambda u, v: np.where((same := u[:, :, None] == v[:, None, :]).any(2), np.maximum(np.arange(m)[None], same.argmax(2)), m)
+    # a pivot is among the first k of both from the larger of its two ranks on
+    ranks = np.sort(rank(a, b), axis=1)
+    shared = (ranks < m).sum(1)
+    k = int(np.quantile(ranks[:, 1], 1 - MISSED, method="higher")) + 1
+    least = int(np.quantile(shared, MISSED, method="lower")) - 1
+    return min(m, max(named(len(pivots)), k)), max(2, min(least_shared(len(pivots)), least))
+
+
+def pivots_of(rows: DataFrame, kind: str) -> Pivots:
     """The pivots of rows (digest, vector): distinct vectors of lowest digest, at most MOST_PIVOTS and MOST_BYTES, thinned."""
     n, width = rows.agg(F.approx_count_distinct("digest"), F.coalesce(F.max(F.octet_length("vector")), F.lit(1))).first()
     many = min(max(LEAST_PIVOTS, int(2 * n**0.5)), MOST_PIVOTS, max(LEAST_PIVOTS, MOST_BYTES // width))
@@ -126,32 +216,21 @@ def pivots_of(rows: DataFrame, kind: str) -> list[bytes]:
     share = min(1.0, 2 * (many + 50) / max(1, n))
     place = F.xxhash64("digest")
     near = rows.filter(place <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))).groupBy("digest").agg(F.first("vector").alias("vector"))
-    return thinned([bytes(r["vector"]) for r in near.orderBy(place, "digest").limit(many).select("vector").collect()], kind)
+    return Pivots([bytes(r["vector"]) for r in near.orderBy(place, "digest").limit(many).select("vector").collect()], kind)
 
 
-def permutation(pivots: list[bytes], kind: str):
+def permutation(pivots: Pivots, kind: str):
     """Column function: the COUNTED nearest pivots of a vector, nearest first, as 16-bit numbers; null for lengths of few pivots."""
-    by_size: dict[int, list[int]] = {}
-    for i, p in enumerate(pivots):
-        by_size.setdefault(len(p), []).append(i)
-    of = {s: (np.array(i), unit([pivots[j] for j in i], kind).astype(np.float32)) for s, i in by_size.items() if len(i) >= FEW_PIVOTS}
 
     @F.arrow_udf("binary")
     def near(v: pa.Array) -> pa.Array:
         raw = v.to_pylist()
         out: list = [None] * len(raw)
-        for s in {len(x) for x in raw} & set(of):
-            number, p = of[s]
-            m = min(COUNTED, len(number))
+        for s in {len(x) for x in raw} & set(pivots.of):
             rows = [i for i, x in enumerate(raw) if len(x) == s]
             for k in range(0, len(rows), 512):
                 part = rows[k : k + 512]
-                far = -(unit([raw[i] for i in part], kind).astype(np.float32) @ p.T)
-                at = np.sort(np.argpartition(far, m - 1, axis=1)[:, :m], axis=1)
-                at = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
-                found = np.full((len(part), COUNTED), _NONE, "<u2")
-                found[:, :m] = number[at]
-                for i, f in zip(part, found, strict=True):
+                for i, f in zip(part, pivots.permutations([raw[i] for i in part], kind), strict=True):
                     out[i] = f.tobytes()
         return pa.array(out, pa.binary())
 
@@ -327,7 +406,7 @@ def near_duplicates(vectors: DataFrame, stage: Stage) -> DataFrame:
     rows = stage.put(packed(vectors), "packed")
     usable = rows.filter(F.col("digest").isNotNull())
     pivots = pivots_of(usable, kind)
-    k, least = named(len(pivots)), least_shared(len(pivots))
+    k, least = pivots.named, pivots.least
     near = usable.select("vec_id", "digest", permutation(pivots, kind)("vector").alias("permutation"), F.octet_length("vector").alias("bytes"))
     classes = near.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("permutation").alias("permutation"), F.first("bytes").alias("bytes"))
     classes = stage.put(classes, "classes")
@@ -338,10 +417,10 @@ def near_duplicates(vectors: DataFrame, stage: Stage) -> DataFrame:
 
     ordered = classes.filter(F.col("permutation").isNotNull())
     sizes = ordered.select(F.explode(top("permutation")).alias("p")).groupBy("p").count().collect()  # a row a pivot
-    crowded = np.zeros(len(pivots) + 1, bool)
+    crowded = np.zeros(pivots.total + 1, bool)
     limit = max(CROWDED, 2 * sum(r["count"] for r in sizes) / max(1, len(sizes)))
     for r in sizes:
-        crowded[min(r["p"], len(pivots))] = r["count"] > limit  # the last place is for missing pivots
+        crowded[min(r["p"], pivots.total)] = r["count"] > limit  # the last place is for missing pivots
     listed = ordered.select("id", "n", "permutation", lists_of(crowded, k)("permutation").alias("in"))
     zero = [F.lit(0).alias(c) for c in ("block", "i", "j")]
     cold = listed.select("id", "n", "permutation", F.explode("in.cells").alias("p")).select("id", (F.lit(-1) - F.col("p")).cast("long").alias("key"), *zero, "n", "permutation")

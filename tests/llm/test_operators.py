@@ -358,6 +358,44 @@ def test_recall_with_many_pivots(spark, monkeypatch):
     assert recall(spark, planted(np.random.default_rng(7), 1500, 3000, 64)) >= 0.97
 
 
+def with_direction(rng, pairs, others, d, mean):
+    """Vectors whose cosines have this mean, as they share a direction, and a partner at a cosine of 0.90 to 0.91 for the first ones."""
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    g = np.sqrt(mean) * unit(rng.normal(size=d))
+    x = unit(g + np.sqrt(1 - mean) * unit(rng.normal(size=(pairs + others, d))))
+    w, o = x[:pairs] - g, rng.normal(size=(pairs, d))
+    o = unit(o - (o * w).sum(1, keepdims=True) / (w * w).sum(1, keepdims=True) * w) * np.linalg.norm(w, axis=1, keepdims=True)
+    low, high, goal = np.zeros((pairs, 1)), np.full((pairs, 1), np.pi), rng.uniform(0.9001, 0.91, (pairs, 1))
+    for _ in range(40):
+        t = (low + high) / 2
+        y = unit(g + np.cos(t) * w + np.sin(t) * o)
+        near = (y * x[:pairs]).sum(1, keepdims=True) >= goal
+        low, high = np.where(near, t, low), np.where(near, high, t)
+    return np.concatenate([x, unit(g + np.cos(low) * w + np.sin(low) * o)])
+
+
+@pytest.mark.parametrize(("d", "mean"), [(384, 0.7), (64, 0.5), (64, 0.85)])
+def test_vectors_that_share_a_direction(spark, d, mean):
+    x = with_direction(np.random.default_rng(d), 400, 1600, d, mean)
+    u = x[:1600]
+    assert abs((u @ u.T).mean() - mean) < 0.05
+    pivots = vectors.Pivots([v.tobytes() for v in x[::8]], "<f8")
+    assert pivots.total > 100 and pivots.named <= vectors.COUNTED
+    # no vector is without a permutation, so there is no list of all, and each is in at most so many lists
+    rows = spark.createDataFrame([(v.tobytes(),) for v in x], "vector binary")
+    lists = rows.select(vectors.permutation(pivots, "<f8")("vector").alias("p")).select(vectors.lists_of(np.zeros(pivots.total + 1, bool), pivots.named)("p").alias("in"))
+    assert lists.selectExpr("sum(size(in.cells) + size(in.pairs)) n").first().n <= len(x) * pivots.named
+    assert recall(spark, x) >= 0.97
+
+
+def test_crowded_samples_keep_pivots():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5, 32))[rng.integers(5, size=800)] + 0.35 * rng.normal(size=(800, 32))  # five groups that are no copies
+    assert vectors.Pivots([v.tobytes() for v in x], "<f8").total >= 100
+    same = np.repeat(rng.normal(size=(1, 32)), 800, 0) + 1e-3 * rng.normal(size=(800, 32))
+    assert vectors.Pivots([v.tobytes() for v in same], "<f8").total >= 64
+
+
 def test_crowded_pivots_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CROWDED", 40)
     monkeypatch.setattr(vectors, "BLOCK", 100)
