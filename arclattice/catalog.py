@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import grid, perception, services, tracking
+from .plans import grid, perception, services, sqltext, tracking
 
-_ALL = grid.QUERIES | perception.QUERIES | tracking.QUERIES | services.QUERIES
+_ALL = grid.QUERIES | perception.QUERIES | tracking.QUERIES | services.QUERIES | sqltext.QUERIES
 
 
 def queries() -> dict[str, Callable]:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoint import kept
+
 REACH, MOST_CELLS, WIDEST = 2.5, 200, 14.0
 
 
@@ -51,16 +53,62 @@ def grid_components(x: np.ndarray, y: np.ndarray, reach: float = REACH) -> np.nd
     return np.array([top(i) for i in range(len(x))], int)
 
 
+#: Side of a tile, in reaches: a task holds the rows of one tile of one frame.
+TILE = 16
+
+
 def components(rows: DataFrame, group: list[str], key: str, reach: float = REACH) -> DataFrame:
-    """rows with component, the smallest key of their chain. A group is one frame, which one task holds."""
+    """rows with component, the smallest key of their chain. A frame is spread over tasks, tile by tile.
+
+    Chains are found within each tile. Rows near its border, and only they, are compared with those of the tiles
+    around; what meets there joins chains, of which a frame has few enough for one task. Rows without
+    coordinates are chains of their own.
+    """
+    side = TILE * reach
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + f", _tx long, _ty long, _root {dict(rows.dtypes)[key]}"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key).reset_index(drop=True)
-        found = grid_components(part["x"].to_numpy(), part["y"].to_numpy(), reach)
-        return part.assign(component=part[key].to_numpy()[found])
+        if part["_tx"].isna().any() or part["_ty"].isna().any():
+            return part.assign(_root=part[key])
+        found = grid_components(part["x"].to_numpy(float), part["y"].to_numpy(float), reach)
+        return part.assign(_root=part[key].to_numpy()[found])
+
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < 1e12), F.floor(F.col(c) / side))
+    tiled = rows.withColumn("_tx", finite("x")).withColumn("_ty", finite("y"))
+    parts = kept(tiled.groupBy(*group, "_tx", "_ty").applyInPandas(run, schema))
+    inside = lambda c: F.pmod(F.col(c), F.lit(side)).between(reach, side - reach)
+    edge = parts.filter(F.col("_tx").isNotNull() & F.col("_ty").isNotNull() & ~(inside("x") & inside("y")))
+    left = bucket(edge.select(*group, F.col("_root").alias("a"), F.struct("_tx", "_ty").alias("ta"), F.col("x").alias("ax"), F.col("y").alias("ay")), reach, "ax", "ay")
+    right = around(bucket(edge.select(*group, F.col("_root").alias("b"), F.struct("_tx", "_ty").alias("tb"), F.col("x").alias("cx"), F.col("y").alias("cy")), reach, "cx", "cy"))
+    dx, dy = F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")
+    met = left.join(right, [*group, "bx", "by"]).filter((F.col("a") < F.col("b")) & (F.col("ta") != F.col("tb")) & (dx * dx + dy * dy <= reach * reach)).select(*group, "a", "b").distinct()
+    kinds = dict(rows.dtypes)
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        root = joined(zip(part["a"], part["b"], strict=True))
+        first = [part[g].iloc[0] for g in group]
+        return pd.DataFrame([(*first, k, v) for k, v in root.items()], columns=[*group, "_root", "component"])
+
+    merged = met.groupBy(*group).applyInPandas(merge, ", ".join([*(f"{g} {kinds[g]}" for g in group), f"_root {kinds[key]}", f"component {kinds[key]}"]))
+    return parts.join(merged, [*group, "_root"], "left").select(*rows.columns, F.coalesce("component", "_root").alias("component"))
+
+
+def joined(pairs) -> dict:
+    """The smallest member reachable, for every member of a pair."""
+    root: dict = {}
+
+    def top(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + f", component {dict(rows.dtypes)[key]}"
-    return rows.groupBy(*group).applyInPandas(run, schema)
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in root}
 
 
 def clusters(rows: DataFrame, group: list[str], key: str, reach: float = REACH) -> DataFrame:

@@ -17,12 +17,20 @@ BUCKETS = ((0.0, 10.0), (10.0, 30.0), (30.0, 100.0))
 def miou(rows: DataFrame, classes: int = 4, by: list[str] | None = None) -> DataFrame:
     """IoU of pred against gt for every class from 0, absent ones too, and their mean as class -1. Rows with gt -1 do not count."""
     by = by or []
-    known = rows.filter("gt <> -1")
+    return ious(rows.filter("gt <> -1").groupBy(*by).agg(counts(classes)), classes, by)
+
+
+def counts(classes: int) -> F.Column:
+    """Aggregate `all`: an array of the hits and misses of every class."""
     sums = []
     for c in range(classes):
         p, g = F.col("pred") == c, F.col("gt") == c
         sums.append(F.struct(F.lit(c).alias("class_id"), F.count_if(p & g).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(~p & g).alias("fn")))
-    wide = known.groupBy(*by).agg(F.array(*sums).alias("all"))
+    return F.array(*sums).alias("all")
+
+
+def ious(wide: DataFrame, classes: int, by: list[str]) -> DataFrame:
+    """(by, class_id, iou) of rows (by, all), the mean as class -1."""
     union = lambda s: s["tp"] + s["fp"] + s["fn"]
     iou = F.transform("all", lambda s: F.struct(s["class_id"].alias("class_id"), F.when(union(s) == 0, 0.0).otherwise(s["tp"] / union(s)).alias("iou")))
     wide = wide.withColumn("iou", iou)
@@ -31,14 +39,32 @@ def miou(rows: DataFrame, classes: int = 4, by: list[str] | None = None) -> Data
     return long.select(*by, "s.class_id", "s.iou")
 
 
-def bucketed(rows: DataFrame, buckets=BUCKETS) -> DataFrame:
-    """Rows (x, y, ...) in a half-open distance bucket, named like 0-10m."""
+def evaluation(rows: DataFrame, classes: int = 4) -> DataFrame:
+    """miou of rows (seq_id, frame_id, x, y, pred, gt) by frame, by distance and of all, by level: one scan and one exchange.
+
+    Rows beyond all buckets count for their frame and the whole only. points: how many rows with a known class there are.
+    """
+    known = rows.filter("gt <> -1").select("seq_id", "frame_id", distance_name().alias("bucket"), "pred", "gt")
+    sets = known.groupingSets([["seq_id", "frame_id"], ["bucket"], []], "seq_id", "frame_id", "bucket")
+    wide = sets.agg(counts(classes), F.count(F.lit(1)).alias("points"), F.grouping_id("seq_id", "frame_id", "bucket").alias("_set"))
+    level = F.when(F.col("_set") == 1, "frame").when(F.col("_set") == 6, "distance").otherwise("all")
+    wide = wide.withColumn("level", level).filter("level <> 'distance' or bucket is not null")
+    return ious(wide, classes, ["level", "seq_id", "frame_id", "bucket", "points"]).withColumn("iou", F.round("iou", 6))
+
+
+def distance_name(buckets=BUCKETS) -> F.Column:
+    """The name of a half-open distance bucket, like 0-10m, or null."""
     r, name = polar.radius(), None
     for lo, hi in buckets:
         here = (r >= lo) & (r < hi)
         label = f"{int(lo)}-{int(hi)}m"
         name = F.when(here, label) if name is None else name.when(here, label)
-    return rows.withColumn("bucket", name).filter("bucket is not null")
+    return name
+
+
+def bucketed(rows: DataFrame, buckets=BUCKETS) -> DataFrame:
+    """Rows (x, y, ...) in a distance bucket."""
+    return rows.withColumn("bucket", distance_name(buckets)).filter("bucket is not null")
 
 
 def miou_by_distance(rows: DataFrame, classes: int = 3, buckets=BUCKETS) -> DataFrame:

@@ -67,20 +67,20 @@ ARGMAX_SQL = oracle("points_v") + """ SELECT seq_id, frame_id, CAST(list_positio
 FROM (SELECT *, [z, intensity * 0.1::DOUBLE, 0.25::DOUBLE, -z] AS s FROM points_v) GROUP BY ALL"""
 
 
-def _judged(spark, sf_dir):
+def judged(spark, sf_dir):
     return view(spark, sf_dir, "points_v").withColumnRenamed("class_id", "gt")
 
 
 def miou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.miou(_judged(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
+    return metrics.miou(judged(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
 
 
 def miou_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.miou_by_distance(_judged(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
+    return metrics.miou_by_distance(judged(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
 
 
 def miou_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.miou(_judged(spark, sf_dir), by=["seq_id", "frame_id"]).withColumn("iou", F.round("iou", 6))
+    return metrics.miou(judged(spark, sf_dir), by=["seq_id", "frame_id"]).withColumn("iou", F.round("iou", 6))
 
 
 def _iou_sql(by: str, n: int, rows: str) -> str:

@@ -243,3 +243,26 @@ def test_model_sees_chunks_of_azimuth(spark):
     load = lambda: lambda xyz: np.stack([xyz[:, 0], xyz[:, 1], np.full(len(xyz), 0.9)], 1)
     got = segment.model_labels(df, load).collect()
     assert len(got) == 41 and all(r.pred == int(np.argmax([r.x, r.y, 0.9])) for r in got)
+
+def test_clusters_across_tiles(spark):
+    rng = np.random.default_rng(12)
+    # chains that wind through many tiles, blobs on corners, and rows far apart
+    line = [(float(i) * 2.4 - 150.0, 0.3 * (i % 2)) for i in range(130)]
+    snake = [(40.0 * k + dx, 40.0 + 2.0 * j) for k in range(3) for j in range(20) for dx in (-0.1, 0.1)]
+    blob = [tuple(rng.normal(0, 1.5, 2) + c) for c in ((40.0, 40.0), (-40.0, 80.0), (0.0, -40.0)) for _ in range(30)]
+    lone = [(500.0 + 10 * i, -500.0) for i in range(5)]
+    xy = line + snake + blob + lone
+    rows = [(f, 1000 * f + k, float(x), float(y), 3) for f in (1, 2) for k, (x, y) in enumerate(xy[: len(xy) // f])]
+    rows += [(1, 900 + i, x, y, 3) for i, (x, y) in enumerate([(None, 1.0), (float("nan"), 2.0), (1.0, float("inf"))])]
+    df = spark.createDataFrame(rows, "frame_id int, det_id long, x double, y double, class_id int")
+    got = {(r.frame_id, r.det_id): r.component for r in cluster.components(df, ["frame_id"], "det_id").collect()}
+    assert len(got) == len(rows)
+    for f in (1, 2):
+        mine = [r for r in rows if r[0] == f and r[2] is not None and np.isfinite([r[2], r[3]]).all()]
+        x, y = np.array([r[2] for r in mine]), np.array([r[3] for r in mine])
+        found = cluster.grid_components(x, y)
+        assert {r[1]: mine[found[k]][1] for k, r in enumerate(mine)} == {r[1]: got[f, r[1]] for r in mine}
+    assert all(got[1, 900 + i] == 900 + i for i in range(3))
+    plan = cluster.components(df, ["frame_id"], "det_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Existing" in plan  # the tiles are read from their checkpoint
+    assert cluster.components(df.limit(0), ["frame_id"], "det_id").count() == 0
