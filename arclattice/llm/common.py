@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 #: A key is hot if it has more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 500
-#: Rows that one task orders, about.
-RUN = 50_000
+#: Rows that one task orders, about, and the ranges that they make at most (larger ones beyond, which sorts spill).
+RUN, RANGES = 50_000, 20_000
 
 _own: list[str] = []
 _stages: list[Stage] = []
@@ -152,7 +152,7 @@ def running_total(df: DataFrame, group: list[str], order: list, value: str, out:
     only. A unique last column of `order` lets ranges cut rows that are equal in the others. `rows`:
     how many there are, about. df is read twice: it should be a staged table.
     """
-    ranges = max(partitions(stage.spark), rows // RUN)
+    ranges = max(partitions(stage.spark), min(RANGES, rows // RUN))
     keys = [*group, *order]
     # a constant or two would send all rows to one range only if their order were equal too
     dealt = df.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())

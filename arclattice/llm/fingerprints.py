@@ -181,8 +181,13 @@ def edits(docs: DataFrame) -> DataFrame:
     first = {r["range"]: r["name"] for r in least.select("range", F.xxhash64("least.rank", "least.hash").alias("name")).collect()}
     full = sorted(first)
     before = {b: full[i - 1] for i, b in enumerate(full)}
-    to = F.create_map(*[F.lit(x) for b in full for x in (first[b], before[b])]) if full else F.create_map(F.lit(0), F.lit(0))
-    guest = F.try_element_at(to.cast("map<bigint,int>"), F.xxhash64("rank", "hash"))
+    to = {first[b]: before[b] for b in full if before[b] is not None}
+
+    @F.arrow_udf(IntegerType())
+    def guest_of(name: pa.Array) -> pa.Array:
+        return pa.array([to.get(x) for x in name.to_pylist()], pa.int32())
+
+    guest = guest_of(F.xxhash64("rank", "hash"))
     copies = F.array_compact(F.array(F.struct(range_of("rank", "hash").alias("range"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("range"), F.lit(True).alias("guest")))))
     dealt = ranked.withColumn("_to", F.explode(copies)).select("doc_id", "text", "rank", "hash", "_to.*")
     dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", "rank", "hash", "text")

@@ -58,8 +58,9 @@ def numbered(sources: DataFrame, stage: Stage) -> DataFrame:
         total += r["n"]
     if not before:
         return dealt.withColumn("rank", F.col("_at")).drop("_at")
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
-    return dealt.withColumn("rank", offset + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    offsets = spark.createDataFrame(list(before.items()), "_part long, _before long")
+    ranked = dealt.withColumn("_part", part.cast("long")).join(F.broadcast(offsets), "_part")  # a row a partition
+    return ranked.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
 
 
 def targets(sized: DataFrame, stage: Stage, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:

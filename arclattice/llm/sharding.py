@@ -30,18 +30,18 @@ LARGE = 1 / 64
 
 
 def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> DataFrame:
-    """rows (row, size, hubs, shard) with shard moved towards the neighbours' shards."""
+    """rows (row, mark, size, hubs, shard) with shard moved towards the neighbours' shards."""
     for turn in range(rounds):
         capacity = (rows.agg(F.sum("size")).first()[0] or 0) / k * (1 - SLACK)
-        member = stage.put(rows.select("row", "size", "shard", F.explode("hubs").alias("hub")), "member")
+        member = stage.put(rows.select("row", "mark", "size", "shard", F.explode("hubs").alias("hub")), "member")
         counts = [F.count_if(F.col("shard") == s) for s in range(k)]
         hubs = member.groupBy("hub").agg(F.array(*counts).alias("n"), F.count(F.lit(1)).alias("all"), F.sum("size").alias("bytes"))
         hubs = stage.put(hubs.filter(F.col("all") > 1), "hubs")
         seen = key_join(member, hubs, "hub", stage, "row").filter("all > 1")
-        votes = seen.groupBy("row").agg(*[F.sum(F.col("n")[s]).alias(f"v{s}") for s in range(k)], F.min("hub").alias("hub"), F.max("bytes").alias("bytes"))
+        votes = seen.groupBy("row", "mark").agg(*[F.sum(F.col("n")[s]).alias(f"v{s}") for s in range(k)], F.min("hub").alias("hub"), F.max("bytes").alias("bytes"))
         name = F.xxhash64("hub", F.lit(turn))
         best = F.greatest(*[F.struct(F.col(f"v{s}").alias("v"), F.pmod(name + s, F.lit(k)).alias("tie"), F.lit(s).alias("to")) for s in range(k)])
-        whim = F.when(F.col("bytes") > LARGE * capacity, F.xxhash64("row", F.lit(turn))).otherwise(name)
+        whim = F.when(F.col("bytes") > LARGE * capacity, F.xxhash64("mark", F.lit(turn))).otherwise(name)
         wish = votes.select("row", best["to"].alias("to"), (F.pmod(whim, F.lit(1 << 20)) / (1 << 20)).alias("whim"), (F.col("bytes") > LARGE * capacity).alias("big"))
         rows = stage.put(rows.drop("big").join(wish, "row", "left"), "wishes")
         asked = np.zeros((k, k))
@@ -58,21 +58,21 @@ def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> Da
         moves = F.col("to").isNotNull() & (F.col("whim") < allowed)
         old = rows
         rows = rows.withColumn("shard", F.when(moves, F.col("to")).otherwise(F.col("shard"))).withColumn("linked", F.col("to").isNotNull()).drop("to", "whim")
-        rows = stage.put(rows.select("row", "size", "hubs", "shard", "linked", F.coalesce("big", F.lit(False)).alias("big")), "moved")
+        rows = stage.put(rows.select("row", "mark", "size", "hubs", "shard", "linked", F.coalesce("big", F.lit(False)).alias("big")), "moved")
         for x in (old, member, hubs):
             stage.drop(x)
     return rows
 
 
 def levelled(rows: DataFrame, k: int, stage: Stage) -> DataFrame:
-    """rows (row, size, hubs, shard, linked, big) with every shard's size near the mean."""
+    """rows (row, mark, size, hubs, shard, linked, big) with every shard's size near the mean."""
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     mean = total / k
     # linked rows, a hub's next to each other, come first, then those of large hubs, then the others, of which the smallest are last
     grade = F.when(F.col("big"), 1).when(F.col("linked"), 0).otherwise(64 - F.floor(F.log2(F.col("size").cast("double")))).cast("long")
-    name = F.when(F.col("linked") & ~F.col("big"), F.xxhash64(F.col("hubs")[0])).otherwise(F.xxhash64("row"))
+    name = F.when(F.col("linked") & ~F.col("big"), F.xxhash64(F.col("hubs")[0])).otherwise(F.xxhash64("mark"))
     rows = stage.put(rows.withColumn("name", name).withColumn("grade", grade).drop("hubs"), "graded")
-    order = ["grade", "name", "row"]
+    order = ["grade", "name", "mark", "row"]
     placed = running_total(rows, ["shard"], order, "size", "before", stage, n)
     placed = stage.put(placed.withColumn("stays", F.col("before") + F.col("size") <= mean), "stays")
     gaps = np.full(k, mean)
@@ -92,11 +92,12 @@ def sharded(docs: DataFrame, hubs, k: int, stage: Stage, rounds: int = ROUNDS) -
     """docs (doc_id, text) to (doc_id, size, text_crc32, shard, slot). hubs: an array column of link keys."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), hubs.alias("hubs"))
-    base = stage.put(base.withColumn("row", F.monotonically_increasing_id()), "rows")
-    first = F.pmod(F.xxhash64("row", F.lit("start")), F.lit(k)).cast("int")
-    rows = base.select("row", "size", "hubs", first.alias("shard"), F.lit(False).alias("linked"), F.lit(False).alias("big"))
+    # what is decided by chance goes by the document, so that files that are split otherwise give the same shards; row only tells repeated rows apart
+    base = stage.put(base.withColumn("row", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("doc_id", "text_crc32", "size")), "rows")
+    first = F.pmod(F.xxhash64("mark", F.lit("start")), F.lit(k)).cast("int")
+    rows = base.select("row", "mark", "size", "hubs", first.alias("shard"), F.lit(False).alias("linked"), F.lit(False).alias("big"))
     rows = stage.put(levelled(propagate(rows, k, stage, rounds), k, stage), "levelled")
-    both = stage.put(base.drop("hubs").join(rows, "row").withColumn("one", F.lit(1)), "sharded")
+    both = stage.put(base.drop("hubs", "mark").join(rows, "row").withColumn("one", F.lit(1)), "sharded")
     return running_total(both, ["shard"], ["doc_id", "row"], "one", "slot", stage, both.count()).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

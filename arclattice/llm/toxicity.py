@@ -141,7 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: i
     """(doc_id, label, text) of at most `rows` labelled ids and `most_bytes` of text, in one partition.
 
     Ids come in the order of their hash, each with one text (of several the one of least hash), and
-    are taken while it fits into what is left of the bytes.
+    are taken up to the first that does not fit into what is left of the bytes; a text of more bytes than all is passed over.
     """
     ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows`: may be broadcast
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -150,9 +150,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: i
     found = there.groupBy("doc_id").agg(F.min(one).alias("one"), F.xxhash64("doc_id").alias("place")).select("doc_id", "one.*", "place").collect()  # at most `rows`
     left, chosen = most_bytes, []
     for r in sorted(found, key=lambda r: (r["place"], r["doc_id"])):
-        if r["bytes"] <= left:
-            left -= r["bytes"]
-            chosen.append((r["doc_id"], r["hash"]))
+        if r["bytes"] > most_bytes:
+            continue  # it never fits
+        if r["bytes"] > left:
+            break  # going on would choose short texts
+        left -= r["bytes"]
+        chosen.append((r["doc_id"], r["hash"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, _hash long")
     whole = there.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "_hash"])

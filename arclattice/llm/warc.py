@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Stage, key_join, maybe_in, running_total, table
 
@@ -47,12 +46,12 @@ def typed(pages: DataFrame, stage: Stage) -> DataFrame:
     flagged = maybe_in(base.withColumn("_h", F.xxhash64("digest")), "_h", groups.select(F.xxhash64("digest").alias("id"))).drop("_h")
     maybe = F.col("_maybe") & (F.col("payload_bytes") >= LEAST)
     single = flagged.filter(~maybe).drop("_maybe").withColumn("first", F.lit(None).cast("long")).withColumn("again", F.lit(1))
-    several = stage.put(flagged.filter(maybe).drop("_maybe"), "several")
-    several = several.withColumn("_row", F.monotonically_increasing_id())
-    again = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy(F.lit(0)))
-    slim = several.filter(F.col("page_id").isNotNull()).select("digest", "page_id").groupBy("digest", "page_id").count().filter("count > 1").isEmpty()
-    several = key_join(several, groups, "digest", stage, "_row").drop("_row")
-    several = several.withColumn("again", F.lit(1) if slim else again)
+    several = stage.put(flagged.filter(maybe).drop("_maybe").withColumn("_row", F.monotonically_increasing_id()), "several")
+    # of the rows that repeat a page the later ones, without their html; rows without page_id are no responses anyway
+    slim = several.filter(F.col("page_id").isNotNull()).select("digest", "page_id", "_row")
+    later = slim.join(slim.groupBy("digest", "page_id").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), ["digest", "page_id"])
+    later = stage.put(later.filter("_row > _first").select("_row", F.lit(2).alias("again")), "later")
+    several = key_join(several, groups, "digest", stage, "_row").join(later, "_row", "left").drop("_row").withColumn("again", F.coalesce("again", F.lit(1)))
     rows = single.unionByName(several)
     response = F.col("first").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("again") == 1))
     rows = rows.withColumn("record_type", F.when(response, "response").otherwise("revisit"))

@@ -84,6 +84,114 @@ def test_sharding_keeps_groups_and_sizes_even(spark):
     assert sum(len({where[i] for i in range(g, 400, 40)}) > 1 for g in range(40)) <= 2
 
 
+def test_shards_do_not_depend_on_the_files(spark, docs):
+    place = lambda df: Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.sharded(df, same_shards(), 4, Stage(spark)).collect())
+    assert place(docs) == place(docs.repartition(7, "text")) == place(docs.coalesce(1))
+
+
+def test_sharding_cuts_few_edges(spark):
+    """Documents with several links: against the cut of dealing by hash, and a plain count of it."""
+    rng = random.Random(5)
+    # 60 communities of 30; each document has two hubs of its own community and now and then one of another
+    hubs = lambda i: [f"{i // 30}-{rng.randint(0, 3)}".encode() for _ in range(2)] + ([f"{rng.randint(0, 59)}-0".encode()] if rng.random() < 0.05 else [])
+    rows = [(i, prose(rng, rng.randint(20, 60)), [bytearray(h) for h in sorted(set(hubs(i)))]) for i in range(1800)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string, h array<binary>"), F.col("h"), 6, Stage(spark), rounds=5).collect()
+    shard = {r.doc_id: r.shard for r in out}
+
+    def cut(where):
+        members = {}
+        for i, _, h in rows:
+            for x in h:
+                members.setdefault(bytes(x), []).append(where(i))
+        return sum(len(m) - max(Counter(m).values()) for m in members.values())
+
+    load = Counter()
+    for r in out:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values()) / 6
+    assert cut(shard.get) < 0.45 * cut(lambda i: hash((i, 3)) % 6)
+
+
+def plain_places(sizes, capacity):
+    """Piece by piece, the bin whose filling makes the sum of the squared counts of open bins per gap smallest; a bin opens where none fits."""
+    gaps, where = [], {}
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        def total(b):
+            left = Counter(g - sizes[i] if c == b else g for c, g in enumerate(gaps))
+            return sum(n * n for g, n in left.items() if g > 0)
+
+        fits = [b for b, g in enumerate(gaps) if g >= sizes[i]]
+        if fits:
+            best = min(total(b) for b in fits)
+            where[i] = {gaps[b] for b in fits if total(b) == best}
+            b = min((b for b in fits if total(b) == best), key=lambda b: gaps[b])
+        else:
+            where[i] = {capacity}
+            gaps.append(capacity)
+            b = len(gaps) - 1
+        where[i] = min(where[i])
+        gaps[b] -= sizes[i]
+    return [where[i] for i in range(len(sizes))], len(gaps)
+
+
+def test_sum_of_squares_against_the_plain_rule():
+    rng = random.Random(2)
+    for capacity, n in ((10, 40), (16, 60), (100, 50)):
+        for _ in range(15):
+            sizes = [rng.randint(1, capacity) for _ in range(n)]
+            bins, offset = packing.sum_of_squares(np.array(sizes), capacity)
+            # the gap that each piece found, and the number of bins
+            assert plain_places(sizes, capacity) == ([capacity - int(o) for o in offset], len(set(bins.tolist())))
+
+
+def test_words_and_features_against_a_plain_version():
+    import pyarrow as pa
+
+    texts = ["One two, ONE! three_four", "", None, "é ê1 ABCDEFG abcdefg", "a b c d e f g a b c"]
+    name, at = toxicity.textscan.words(pa.array(texts), toxicity.textscan.ALNUM)
+    stem, _ = toxicity.textscan.words(pa.array(texts), toxicity.textscan.ALNUM, 5)
+    word = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in __import__("re").findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    plain = [w for t in texts for w in word(t)]
+    assert np.diff(at).tolist() == [len(word(t)) for t in texts]
+    for hashes, key in ((name, plain), (stem, [w.encode()[:5] for w in plain])):
+        assert [[a == b for b in hashes.tolist()] for a in hashes.tolist()] == [[a == b for b in key] for a in key]
+    families = [set() for _ in range(4)]
+    for k, (row, x) in enumerate(toxicity.coordinates(pa.array(texts))):
+        families[k] |= set(zip(row.tolist(), x.tolist(), strict=True))
+    for i, t in enumerate(texts):
+        w = word(t)
+        want = [len(set(w)), len({v.encode()[:5] for v in w}), len(set(zip(w, w[1:]))), len(set(zip(w, w[2:])))]
+        assert [len([1 for r, _ in f if r == i]) for f in families] == want
+
+
+def plain_chunks(data):
+    """Cut after each byte whose rolling hash fits the mask of its place, byte by byte."""
+    f, cuts, start = fingerprints, [], 0
+    while start < len(data):
+        end = min(len(data), start + f.MOST)
+        for i in range(start + f.LEAST - 1, end):
+            mask = f.HARD if i - start < f.NORMAL else f.EASY
+            h = 0
+            for j in range(max(0, i - 63), i + 1):
+                h = ((h << 1) + int(f.GEAR[data[j]])) & 0xFFFFFFFFFFFFFFFF
+            if not h & mask:
+                end = i + 1
+                break
+        cuts.append(data[start:end])
+        start = end
+    return cuts
+
+
+def test_every_query_runs(spark):
+    from arclattice.llm import queries
+
+    tables = {4: "embeddings", 7: "pages", 8: "pages", 12: None, 6: None, 11: None, 13: None}
+    for name, query in queries.queries().items():
+        n = int(name[2:].split("_")[0])
+        got, of = query(spark, SF).count(), tables.get(n, "documents")
+        assert got == spark.read.parquet(f"{SF}/{of}.parquet").count() if of else got > 0, name
+
+
 def table_of(spark, name):
     return spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{name}.parquet")
 
