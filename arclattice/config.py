@@ -79,29 +79,72 @@ class Segmentation:
 FOVEA, TRACKING, HYSTERESIS, SEGMENTATION = Fovea(), Tracking(), Hysteresis(), Segmentation()
 
 
-def load(path: str) -> dict[str, Fovea | Tracking | Hysteresis | Segmentation]:
-    """Settings by section (fovea, tracking, hysteresis, segmentation) of a YAML file on the driver.
+#: Names of settings files, by the section they stand in, and the settings they are.
+NAMES = {
+    "foveation": ("fovea", {
+        "base_fine_radius_m": "base_radius", "max_stretch": "max_stretch", "stretch_speed_ref_mps": "reference_speed", "shear_strength": "drawn_shear", "motion_foveation_enabled": "enabled",
+        "collision_focus_only": "collision_only", "motion_speed_threshold_mps": "moving_speed", "motion_lead_time_s": "lead_time", "motion_buffer_m": "buffer", "motion_acuity_boost": "boost",
+        "max_threat_distance_m": "farthest_threat", "corridor_half_width_m": "corridor",
+    }),
+    "grid": ("hysteresis", {"hysteresis_margin_m": "radius_margin", "min_points_per_ring_sector": "least_points", "min_points_per_sector": "least_points", "degradation_history_len": "degraded_after"}),
+}
+
+
+def load(path: str) -> dict:
+    """Settings by section (fovea, tracking, hysteresis, segmentation), tiers and class_map of a YAML file on the driver.
 
-    What the file lacks, or holds in another type, keeps its default; so does all of it where there is
-    no such file, or none that can be read.
+    A file may name them as the dataclasses do, or by NAMES; tiers stand as resolution_tiers and classes as class_map (or a name
+    that ends in _to_4class), at the top or below grid and perception. What the file lacks, or holds in another type, keeps its default; so does all
+    of it where there is no such file, or none that can be read.
     """
-    defaults = {"fovea": FOVEA, "tracking": TRACKING, "hysteresis": HYSTERESIS, "segmentation": SEGMENTATION}
+    out = {"fovea": FOVEA, "tracking": TRACKING, "hysteresis": HYSTERESIS, "segmentation": SEGMENTATION, "tiers": TIERS, "class_map": RAW_TO_CLASS}
     try:
         import yaml
     except ImportError:
-        return defaults
+        return out
     try:
         with open(path, encoding="utf-8") as f:
             found = yaml.safe_load(f)
     except (OSError, ValueError, yaml.YAMLError):
         found = None
-    out = {}
-    for name, value in defaults.items():
-        given = found.get(name) if isinstance(found, dict) else None
-        changes = {}
-        for f in fields(value):
-            old, new = getattr(value, f.name), given.get(f.name) if isinstance(given, dict) else None
-            if isinstance(new, bool) == isinstance(old, bool) and isinstance(new, (int, float)):
-                changes[f.name] = type(old)(new)
-        out[name] = replace(value, **changes)
+    if not isinstance(found, dict):
+        return out
+    for section, (name, names) in NAMES.items():
+        given = found.get(section)
+        out[name] = changed(out[name], {names[k]: v for k, v in given.items() if k in names} if isinstance(given, dict) else {})
+    for name in ("fovea", "tracking", "hysteresis", "segmentation"):
+        out[name] = changed(out[name], found.get(name))
+    for place in (found, found.get("grid"), found.get("perception")):
+        if isinstance(place, dict):
+            out["tiers"] = tiers_of(place.get("resolution_tiers")) or out["tiers"]
+            named = [v for k, v in place.items() if isinstance(k, str) and (k == "class_map" or k.endswith("_to_4class"))]
+            out["class_map"] = next(filter(None, map(classes_of, named)), out["class_map"])
     return out
+
+
+def changed(value, given):
+    """A dataclass with the given fields that have its types."""
+    changes = {}
+    for f in fields(value):
+        old, new = getattr(value, f.name), given.get(f.name) if isinstance(given, dict) else None
+        if isinstance(new, bool) == isinstance(old, bool) and isinstance(new, (int, float)):
+            changes[f.name] = type(old)(new)
+    return replace(value, **changes)
+
+
+def tiers_of(given) -> tuple[tuple[float, float], ...] | None:
+    """Pairs of an outer range and a cell size, both ascending, or none."""
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and x > 0
+    if not isinstance(given, list) or not given or not all(isinstance(t, list) and len(t) == 2 and all(map(number, t)) for t in given):
+        return None
+    tiers = tuple((float(r), float(s)) for r, s in given)
+    return tiers if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(tiers[:-1], tiers[1:], strict=True)) else None
+
+
+def classes_of(given) -> dict[int, int] | None:
+    if not isinstance(given, dict) or not given:
+        return None
+    try:
+        return {int(k): int(v) for k, v in given.items()}
+    except (TypeError, ValueError):
+        return None

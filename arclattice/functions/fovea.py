@@ -73,11 +73,6 @@ def lobe(t: Column, p: Fovea = FOVEA) -> Column:
     return F.when(t["class_id"] == 3, out)
 
 
-def lobes(tracks: Column, p: Fovea = FOVEA) -> Column:
-    """The lobes of an array of tracks."""
-    return F.filter(F.transform(tracks, lambda t: lobe(t, p)), lambda x: x.isNotNull())
-
-
 def height_at(theta: Column, x: Column) -> Column:
     return F.least(x["height"] * F.exp(-0.5 * F.pow(wrap(theta - x["at"]) / x["sigma"], F.lit(2.0))) * x["factor"], x["cap"])
 

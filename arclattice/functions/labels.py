@@ -18,9 +18,9 @@ def instance(word="word") -> Column:
     return F.shiftright(col(word), 16).bitwiseAND(0xFFFF).cast("int")
 
 
-def collapse(raw="raw_class") -> Column:
-    """One of the four classes, or -1 for ids without one."""
-    pairs = [F.lit(x) for kv in RAW_TO_CLASS.items() for x in kv]
+def collapse(raw="raw_class", classes: dict[int, int] = RAW_TO_CLASS) -> Column:
+    """One of the classes, or -1 for ids without one."""
+    pairs = [F.lit(x) for kv in classes.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(raw).cast("int")), F.lit(-1))
 
 

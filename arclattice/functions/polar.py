@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CELL_BYTES, LEAST_RANGE, TIERS
+from ..config import LEAST_RANGE, TIERS
 
-_RESOLUTIONS = [size for _, size in TIERS]
 
 
 def col(c: Column | str) -> Column:
@@ -28,20 +27,24 @@ def wrap(angle: Column) -> Column:
     return F.pmod(angle + F.pi(), F.lit(2.0) * F.pi()) - F.pi()
 
 
-def resolution(r: Column, finest: Column | None = None) -> Column:
-    """Cell size in metres. `finest` tells whether the finest tier holds, in place of its static range."""
-    first = r < TIERS[0][0] if finest is None else finest
-    out = F.when(first, _RESOLUTIONS[0])
-    for far, size in TIERS[1:-1]:
+def resolution(r: Column, finest: Column | None = None, tiers=TIERS) -> Column:
+    """Cell size in metres. `finest` tells whether the finest tier holds, in place of its static range; the last tier has no end."""
+    if len(tiers) == 1:
+        return F.lit(tiers[0][1])
+    first = r < tiers[0][0] if finest is None else finest
+    out = F.when(first, tiers[0][1])
+    for far, size in tiers[1:-1]:
         out = out.when(r < far, size)
-    return out.otherwise(_RESOLUTIONS[-1])
+    return out.otherwise(tiers[-1][1])
 
 
-def tier_index(size: Column) -> Column:
-    out = F.when(size == _RESOLUTIONS[0], 0)
-    for i, s in enumerate(_RESOLUTIONS[1:-1], 1):
+def tier_index(size: Column, tiers=TIERS) -> Column:
+    if len(tiers) == 1:
+        return F.lit(0)
+    out = F.when(size == tiers[0][1], 0)
+    for i, (_, s) in enumerate(tiers[1:-1], 1):
         out = out.when(size == s, i)
-    return out.otherwise(len(_RESOLUTIONS) - 1)
+    return out.otherwise(len(tiers) - 1)
 
 
 def angular_step(size: Column, r: Column) -> Column:
@@ -79,6 +82,3 @@ def fine_cells(size: Column) -> Column:
     ratio = size / 0.05
     return (ratio * ratio).cast("long")
 
-
-def cell_bytes(count: Column) -> Column:
-    return count * CELL_BYTES

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import CELL_BYTES
@@ -107,6 +107,22 @@ def slabs(cells: DataFrame) -> DataFrame:
     })
 
 
+def observed(cells: DataFrame) -> tuple[DataFrame, Observation]:
+    """cells, and what they will have been when an action has run over them: no job is run for the figures alone."""
+    seen = Observation()
+    n, uniform = F.count(F.lit(1)), F.sum(polar.fine_cells(F.col("resolution_tier")))
+    hangs = F.count_if(F.col("elevation_obstacle_bottom").isNotNull() & F.col("elevation_obstacle_top").isNotNull())
+    return cells.observe(seen, n.alias("active_cells"), F.coalesce(uniform, F.lit(0)).alias("fine_cells"), hangs.alias("overhangs"), F.count_if(F.col("semantic_class") == 3).alias("dynamic_cells")), seen
+
+
+def observed_memory(seen: Observation) -> dict[str, float]:
+    """The figures of `memory` for all cells of an observation whose action is over."""
+    got = seen.get
+    used, uniform = got["active_cells"] * CELL_BYTES, max(got["fine_cells"], got["active_cells"] * 9) * CELL_BYTES
+    saved = round(min(max((1 - used / uniform) * 100, 0.0), 99.9), 1) if uniform else 0.0
+    return {"active_cells": got["active_cells"], "memory_bytes_foveated": used, "memory_bytes_uniform_baseline": uniform, "memory_savings_pct": saved}
+
+
 #: Marks of an evaluation: frames a second and percent of memory saved.
 LEAST_FPS, LEAST_SAVING = 5.0, 85.0
 

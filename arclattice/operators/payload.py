@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import FOVEA, Fovea
 from ..functions.fovea import polyline
+from .checkpoint import kept
 from .metrics import memory
 from .project import with_center, with_lobes
 from .track import moving_objects
@@ -61,6 +63,30 @@ def write_payload(payload: DataFrame, path: str, most_frames: int | None = None,
     rows.write.mode("overwrite" if again else "ignore").partitionBy("seq_id").json(path)
 
 
+def written_frames(spark, path: str, like: DataFrame) -> DataFrame:
+    """(seq_id, frame_id) that export_missing has written below path, in the types of `like`; files are listed, not read."""
+    from pyspark.errors import AnalysisException
+
+    kinds = dict(like.dtypes)
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path")
+        found.schema  # noqa: B018
+    except AnalysisException:
+        return like.select(*FRAME).limit(0)
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    return found.select(*[part(c).cast(kinds[c]).alias(c) for c in FRAME]).distinct()
+
+
+def export_missing(frames: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Writes the payloads of those frames that path lacks, a folder each; others are neither computed nor touched.
+
+    compute: the payloads of some frames.
+    """
+    missing = kept(frames.join(written_frames(frames.sparkSession, path, frames), FRAME, "left_anti"))
+    if not missing.isEmpty():
+        compute(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FRAME).json(path)
+
+
 def read_payload(spark, path: str, schema) -> DataFrame | None:
     """The written frames, or None where there are none."""
     from pyspark.errors import AnalysisException

@@ -14,12 +14,12 @@ CELL = ["seq_id", "frame_id", "tier_idx", "ring_idx", "angle_idx"]
 ROUNDS, SETTLED = 5, 1e-4
 
 
-def with_key(points: DataFrame, finest: F.Column | None = None, roof: float | F.Column = ROOF) -> DataFrame:
+def with_key(points: DataFrame, finest: F.Column | None = None, roof: float | F.Column = ROOF, tiers=TIERS) -> DataFrame:
     """Points at or below the roof with r, theta, resolution_tier and the cell key. finest: whether r and theta lie in the fine zone, or none for static tiers."""
     rows = points.filter(F.col("z") <= roof).withColumn("r", polar.radius()).withColumn("theta", polar.bearing())
-    rows = rows.withColumn("resolution_tier", polar.resolution(F.col("r"), finest))
+    rows = rows.withColumn("resolution_tier", polar.resolution(F.col("r"), finest, tiers))
     size, r = F.col("resolution_tier"), F.col("r")
-    return rows.withColumns({"tier_idx": polar.tier_index(size), "ring_idx": polar.ring(r, size), "angle_idx": polar.angle_cell(F.col("theta"), size, r)})
+    return rows.withColumns({"tier_idx": polar.tier_index(size, tiers), "ring_idx": polar.ring(r, size), "angle_idx": polar.angle_cell(F.col("theta"), size, r)})
 
 
 def with_lobes(frames: DataFrame, tracks: DataFrame | None, p: Fovea = FOVEA) -> DataFrame:
@@ -31,12 +31,12 @@ def with_lobes(frames: DataFrame, tracks: DataFrame | None, p: Fovea = FOVEA) ->
     return frames.join(made, ["seq_id", "frame_id"], "left")
 
 
-def with_foveated_key(points: DataFrame, frames: DataFrame, tracks: DataFrame | None = None, roof=ROOF, p: Fovea = FOVEA) -> DataFrame:
+def with_foveated_key(points: DataFrame, frames: DataFrame, tracks: DataFrame | None = None, roof=ROOF, p: Fovea = FOVEA, tiers=TIERS) -> DataFrame:
     """with_key, the fine radius from the frame's speed, steering and tracks."""
     state = with_lobes(frames, tracks, p).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "lobes")
     rows = points.filter(F.col("z") <= roof).join(state, ["seq_id", "frame_id"])
     finest = in_fine_zone(F.col("r"), F.col("theta"), F.col("speed_mps"), F.col("steering_angle_rad"), None if tracks is None else F.col("lobes"), p)
-    return with_key(rows, finest, roof).drop("speed_mps", "steering_angle_rad", "lobes")
+    return with_key(rows, finest, roof, tiers).drop("speed_mps", "steering_angle_rad", "lobes")
 
 
 def z_split(points: DataFrame, key: list[str] = CELL, gap: float = OVERHANG_GAP, more: tuple = ()) -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import serving
-from ..config import FOVEA, ROOF, Fovea
+from ..config import FOVEA, ROOF, TRACKING, Fovea
 from ..functions import labels
 from ..operators.checkpoint import kept
 from ..operators import loop, metrics, payload, project, segment
 from ..sources import frames as frame_files
 from ..sources import samples, scans, scenarios
 from ..views import LABEL_WORD, SQL, oracle, table, view
+from ..operators.track import footprints, ghost_counts, vacated
+from .tracking import GHOSTS_SQL, moving_tracks
 from .grid import CENTER_SQL, ELLIPSE_SQL, FOVEATED, MEMORY_SQL, foveated_cells, points
 
 
@@ -226,9 +228,12 @@ SCAN_WINDOW_SQL = _RAW_POINTS + """ SELECT lpad(CAST(seq_id AS VARCHAR), 2, '0')
 
 def frame_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = view(spark, sf_dir, "frames_v").withColumns({"timestamp_s": F.col("frame_id") * 0.1, "scenario_name": F.lit("tables"), "description": F.lit("")})
-    t = view(spark, sf_dir, "tracks_v").withColumns({"pred_x": F.col("x") + F.col("vx") * 0.1, "pred_y": F.col("y") + F.col("vy") * 0.1, "frames_since_seen": F.lit(0), "state": F.lit("CONFIRMED"), "hits": F.lit(3)})
-    ghosts = frames.select("seq_id", "frame_id", F.lit(0).cast("long").alias("ghosts"))
-    return payload.frame_payload(frames, kept(foveated_cells(spark, sf_dir)), t, ghosts)
+    cells, t = kept(foveated_cells(spark, sf_dir)), moving_tracks(spark, sf_dir)
+    state = F.when(F.col("hits") >= TRACKING.hits_to_confirm, "CONFIRMED").otherwise("TENTATIVE")
+    t = t.withColumns({"pred_x": F.col("x") + F.col("vx") * 0.1, "pred_y": F.col("y") + F.col("vy") * 0.1, "frames_since_seen": F.lit(0), "hits": F.col("k") + 1}).withColumn("state", state)
+    centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
+    ghosts = ghost_counts(vacated(kept(footprints(t, centred)), frames, cells), frames)
+    return payload.frame_payload(frames, cells, t, ghosts)
 
 
 def payload_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,15 +250,16 @@ FROM ({CENTER_SQL.format(cells="cells")})"""
 def payload_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of the frames' payloads."""
     names = ["active_cells_count", "memory_bytes_foveated", "memory_bytes_uniform_baseline", "memory_savings_pct", "moving_objects_count", "motion_foveation_active"]
-    return frame_payload(spark, sf_dir).select("seq_id", "frame_id", *[F.col(f"metrics.{n}").alias(n) for n in names], F.size("tracks").alias("tracks"), F.size("cells").alias("cells"))
+    return frame_payload(spark, sf_dir).select("seq_id", "frame_id", *[F.col(f"metrics.{n}").alias(n) for n in names], F.col("metrics.ghosting_cells_erased").alias("ghosts"), F.size("tracks").alias("tracks"), F.size("cells").alias("cells"), F.size(F.filter("tracks", lambda t: t["state"] == "CONFIRMED")).alias("confirmed"))
 
 
 PAYLOAD_METRICS_SQL = FOVEATED + f""", m AS ({MEMORY_SQL[MEMORY_SQL.rindex("SELECT seq_id, frame_id, count(*) AS active_cells"):]}),
-t AS (SELECT seq_id, frame_id, count(*) AS tracks, count(*) FILTER (class_id = 3 AND sqrt(vx*vx + vy*vy) >= {FOVEA.moving_speed}::DOUBLE) AS moving FROM tracks_v GROUP BY ALL)
+{GHOSTS_SQL},
+t AS (SELECT seq_id, frame_id, count(*) AS tracks, count(*) FILTER (sqrt(vx*vx + vy*vy) >= {FOVEA.moving_speed}::DOUBLE) AS moving, count(*) FILTER (k = 2) AS confirmed FROM mt GROUP BY ALL)
 SELECT f.seq_id, f.frame_id, coalesce(active_cells, 0) AS active_cells_count, coalesce(memory_bytes_foveated, 0) AS memory_bytes_foveated, coalesce(memory_bytes_uniform_baseline, 0) AS memory_bytes_uniform_baseline,
   coalesce(memory_savings_pct, 0) AS memory_savings_pct, coalesce(moving, 0) AS moving_objects_count, coalesce(moving, 0) > 0 AS motion_foveation_active,
-  CAST(coalesce(tracks, 0) AS INT) AS tracks, CAST(coalesce(active_cells, 0) AS INT) AS cells
-FROM frames_v f LEFT JOIN m ON m.seq_id = f.seq_id AND m.frame_id = f.frame_id LEFT JOIN t ON t.seq_id = f.seq_id AND t.frame_id = f.frame_id"""
+  ghosts, CAST(coalesce(tracks, 0) AS INT) AS tracks, CAST(coalesce(active_cells, 0) AS INT) AS cells, CAST(coalesce(confirmed, 0) AS INT) AS confirmed
+FROM frames_v f JOIN gc ON gc.seq_id = f.seq_id AND gc.frame_id = f.frame_id LEFT JOIN m ON m.seq_id = f.seq_id AND m.frame_id = f.frame_id LEFT JOIN t ON t.seq_id = f.seq_id AND t.frame_id = f.frame_id"""
 
 
 def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +267,21 @@ def frame_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq_id", "frame_id", F.octet_length("message").alias("bytes"))
 
 
+def export_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of an export that was begun with some and completed later, and in which run each was written."""
+    path, all_frames = scans.new_folder(spark), view(spark, sf_dir, "frames_v")
+    payloads = frame_payload(spark, sf_dir)
+    compute = lambda some: payloads.join(some.select("seq_id", "frame_id"), ["seq_id", "frame_id"], "left_semi")
+    payload.export_missing(all_frames.filter("frame_id <= 3 and seq_id <> 2"), compute, path)
+    first = kept(payload.written_frames(spark, path, all_frames).withColumn("run", F.lit(1)))
+    payload.export_missing(all_frames, compute, path)
+    there = payload.written_frames(spark, path, all_frames)
+    return there.join(first, ["seq_id", "frame_id"], "left").fillna(2, ["run"])
+
+
+EXPORT_SQL = oracle("frames_v") + " SELECT seq_id, frame_id, CASE WHEN frame_id <= 3 AND seq_id <> 2 THEN 1 ELSE 2 END AS run FROM frames_v"
+
+
 def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, tracks and ghosts of all frames whose fine zone follows their tracks."""
     frames = view(spark, sf_dir, "frames_v").withColumn("roof", F.lit(ROOF))
@@ -294,5 +315,6 @@ QUERIES = {
     "payload_cells": (payload_cells, PAYLOAD_CELLS_SQL),
     "payload_metrics": (payload_metrics, PAYLOAD_METRICS_SQL),
     "frame_messages": (frame_messages, None),
+    "export_incremental": (export_incremental, EXPORT_SQL),
     "closed_loop": (closed_loop, None),
 }

@@ -158,9 +158,9 @@ def confirmed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.track(found, found.select("seq_id", "frame_id"), confirmed_only=True).groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("confirmed"))
 
 
-#: Tracks that go on for three frames.
-MOVING_SQL = oracle("points_v", "frames_v", "tracks_v") + """, mt AS (SELECT track_id, seq_id, frame_id + k AS frame_id, x + vx * (k * 0.1::DOUBLE) AS x, y + vy * (k * 0.1::DOUBLE) AS y, bbox_l, bbox_w
-  FROM tracks_v, (SELECT CAST(unnest(range(3)) AS INT) AS k))""" + STATIC_CELLS.split(oracle("points_v"))[1] + f""", cc AS ({CENTER_SQL.format(cells="cells")}),
+#: What tracks_v does in three frames, the cells under it and what it leaves behind; `cells` comes before.
+GHOSTS_SQL = f"""mt AS (SELECT track_id, seq_id, frame_id + k AS frame_id, k, x + vx * (k * 0.1::DOUBLE) AS x, y + vy * (k * 0.1::DOUBLE) AS y, vx, vy, bbox_l, bbox_w
+  FROM tracks_v, (SELECT CAST(unnest(range(3)) AS INT) AS k)), cc AS ({CENTER_SQL.format(cells="cells")}),
 fp AS (SELECT seq_id, frame_id, track_id, tier_idx, ring_idx, angle_idx FROM mt JOIN (SELECT * FROM cc WHERE semantic_class = 3) c USING (seq_id, frame_id)
   WHERE (c.cx - mt.x)*(c.cx - mt.x) + (c.cy - mt.y)*(c.cy - mt.y) <= greatest(bbox_l, bbox_w) * greatest(bbox_l, bbox_w)),
 nx AS (SELECT seq_id, frame_id, lead(frame_id) OVER (PARTITION BY seq_id ORDER BY frame_id) AS following FROM (SELECT DISTINCT seq_id, frame_id FROM frames_v)),
@@ -170,12 +170,17 @@ vc AS (SELECT p.seq_id, f.following AS frame_id, p.track_id, p.tier_idx, p.ring_
 vo AS (SELECT v.*, CASE WHEN c.semantic_class IS NULL THEN 'gone' WHEN c.semantic_class <> 3 THEN 'other' WHEN c.last_updated_frame < v.frame_id THEN 'stale' ELSE 'kept' END AS outcome
   FROM vc v LEFT JOIN cells c USING (seq_id, frame_id, tier_idx, ring_idx, angle_idx)),
 gc AS (SELECT f.seq_id, f.frame_id, coalesce(g.ghosts, 0) AS ghosts FROM frames_v f LEFT JOIN (SELECT seq_id, frame_id, count(*) FILTER (outcome <> 'kept') AS ghosts FROM vo GROUP BY ALL) g USING (seq_id, frame_id))"""
+MOVING_SQL = oracle("points_v", "frames_v", "tracks_v") + STATIC_CELLS.split(oracle("points_v"))[1] + ", " + GHOSTS_SQL
+
+
+def moving_tracks(spark, sf_dir):
+    """tracks_v moved on through frames k = 0, 1 and 2."""
+    t = view(spark, sf_dir, "tracks_v").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return t.withColumns({"frame_id": F.col("frame_id") + F.col("k"), "x": F.col("x") + F.col("vx") * (F.col("k") * 0.1), "y": F.col("y") + F.col("vy") * (F.col("k") * 0.1)})
 
 
 def _footprints(spark, sf_dir):
-    k = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    t = view(spark, sf_dir, "tracks_v").withColumn("k", k)
-    t = t.withColumns({"frame_id": F.col("frame_id") + F.col("k"), "x": F.col("x") + F.col("vx") * (F.col("k") * 0.1), "y": F.col("y") + F.col("vy") * (F.col("k") * 0.1)})
+    t = moving_tracks(spark, sf_dir)
     cells = kept(static_cells(spark, sf_dir))  # read for the footprints and for what became of them
     centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
     return track.footprints(t, centred), cells

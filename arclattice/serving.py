@@ -21,8 +21,10 @@ def health(spark: SparkSession) -> dict:
     return {"status": "ok", "timestamp": datetime.now(UTC).timestamp(), "spark": spark.version}
 
 
-def settings() -> dict:
-    return {n.lower(): dataclasses.asdict(getattr(config, n)) for n in ("FOVEA", "TRACKING", "HYSTERESIS", "SEGMENTATION")}
+def settings(path: str | None = None) -> dict:
+    """All settings that hold, those of a file where one is given."""
+    held = config.load(path or "")
+    return {n: dataclasses.asdict(v) if dataclasses.is_dataclass(v) else v for n, v in held.items()}
 
 
 def contour(spark: SparkSession, speed_mps: float = 10.0, steering_angle_rad: float = 0.0, base_radius_m: float = 10.0, max_stretch: float = 2.5, shear_strength: float = 0.6) -> DataFrame:

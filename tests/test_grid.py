@@ -72,7 +72,7 @@ def test_two_layers(spark):
 
 def radius(spark, theta, v, steer=0.0, tracks=(), shear=None, p=fovea.FOVEA):
     t = F.array(*[F.struct(F.lit(3).alias("class_id"), *[F.lit(float(x)).alias(n) for n, x in zip(("x", "y", "vx", "vy", "bbox_l", "bbox_w"), (*k, 4, 2), strict=True)]) for k in tracks]) if tracks else None
-    return one(spark, fovea.fine_radius(F.lit(float(theta)), F.lit(float(v)), F.lit(float(steer)), None if t is None else fovea.lobes(t, p), p, shear))[0]
+    return one(spark, fovea.fine_radius(F.lit(float(theta)), F.lit(float(v)), F.lit(float(steer)), None if t is None else F.filter(F.transform(t, lambda x: fovea.lobe(x, p)), lambda x: x.isNotNull()), p, shear))[0]
 
 
 def test_ellipse(spark):
