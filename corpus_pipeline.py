@@ -44,7 +44,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id.
 
-    Rows without words or without doc_id are in no group and stay; of rows that repeat a doc_id one stays.
+    Rows without words or without doc_id are in no group and stay; of rows that repeat a doc_id one stays. Texts of any
+    length are compared whole. Other columns stay, whatever their names; an empty table gives an empty one.
     """
     return neardup.deduplicated(docs, Stage(spark))
 
@@ -52,13 +53,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them, the last copy cut after its words.
 
-    Rows without words are not taken; a null source is one of its own; rows that repeat a doc_id are taken alike.
+    Rows without words are not taken; a null source is one of its own; rows that repeat a doc_id are taken alike. A text of
+    any length is cut after a word. Other columns stay, whatever their names; an empty table gives an empty one.
     """
     return mixing.mixed(docs, Stage(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each row's ids, with its place; a null text is one piece that holds the end id."""
+    """A row for each piece of each row's ids, with its place; a null text is one piece that holds the end id.
+
+    Rows without doc_id, or that repeat one, are packed one by one, texts of any length cut into pieces. Columns beside doc_id and
+    text are not read; an empty table gives an empty one.
+    """
     return packing.placements(docs, Stage(spark))
 
 
