@@ -4,7 +4,7 @@ from collections import Counter
 
 import brute
 import pytest
-from test_operators import check_bins, plain_mix
+from test_operators import DOCS, awkward, check_bins, plain_mix
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -70,4 +70,27 @@ def test_packing_takes_all(stages):
 
 def test_run_and_registry(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+
+
+@pytest.mark.parametrize("none", [False, True])
+def test_awkward_rows_through_all_stages(spark, tmp_path, none):
+    names = DOCS.replace("score double", "_score double").replace("key string", "_key string").replace("rank long", "__score long")
+    docs = spark.createDataFrame([] if none else awkward(), names)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(80)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stage, now = Stage(spark), table(spark, str(tmp_path), "documents")
+    sizes = [now.count()]
+    for name, step in corpus_pipeline.STAGES:
+        before, now = now, stage.put(step(spark, now, str(tmp_path)), name)
+        if name != "packing":
+            assert now.columns == docs.columns
+        if name in ("toxicity", "quality", "near-dedup"):
+            assert not Counter(rows(now)) - Counter(rows(before))
+        if name == "near-dedup":  # rows in no group stay
+            alone = lambda df: Counter(r for r in rows(df) if r[0] is None or not brute.words(r[1]))
+            assert alone(now) == alone(before) if before.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty() else True
+        sizes.append(now.count())
+    assert sizes == [0] * 6 if none else sizes[-1] >= 1
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[-1]
