@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,13 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: The session's setting for the bytes of an Arrow batch, and what holds without it.
+BATCH_BYTES, BATCH = "spark.arclattice.batchBytes", "8m"
+
+
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Sets the session's Arrow batches to a few MB, so that Python workers and their buffers stay small beside long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get(BATCH_BYTES, BATCH))
     return spark
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers outlive their tasks, and a long job has several kinds of them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Stage:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from . import textscan
-from .common import Stage, components, key_join, maybe_in, table
+from .common import Stage, components, key_join, maybe_in, table, trim
 from .toxicity import blocks
 
 N = 5
@@ -131,6 +131,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = pa.LargeListArray.from_arrays(pa.array(at), pa.array(element.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.record_batch([b.column("id").slice(i, len(part)), sets], ["id", "shingles"])
                 i += len(part)
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = maybe_in(rows, "id", ids).filter("_maybe").drop("_maybe")

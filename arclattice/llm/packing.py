@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, table
+from .common import Stage, table, trim
 from .toxicity import blocks
 
 LENGTH = 1024
@@ -94,6 +94,7 @@ def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
                 columns = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids"])
                 i += len(part)
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 

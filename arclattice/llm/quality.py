@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import bounded_batches, table
+from .common import bounded_batches, table, trim
 from .toxicity import held_out, known, labelled_sample
 
 WIDTH, STRIDE, FILTERS, EMBED = 6, 2, 16, 8
@@ -187,6 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict[str, n
         y = np.array([keys[i][1] for i in order], float)
         if 0 < y.sum() < len(y):
             yield pa.record_batch([pa.array([pickle.dumps(train([texts[i] for i in order], y, p))])], ["model"])
+        texts.clear()
+        trim()
 
     got = sample.mapInArrow(learn, "model binary").collect()
     return pickle.loads(bytes(got[0].model)) if got else None

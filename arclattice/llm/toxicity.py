@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import bounded_batches, table
+from .common import bounded_batches, table, trim
 
 BITS = 20
 #: Word pairs and skip-grams count less than words, as most of them are rare.
@@ -181,6 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
             order = np.lexsort((np.array([len(x) for x, _ in rows]), np.concatenate(ids)))
             model = train([rows[i] for i in order], y[order], p)
         yield pa.record_batch([pa.array([model.index.tobytes()]), pa.array([model.weight.tobytes()]), pa.array([model.bias])], ["i", "w", "b"])
+        rows.clear()
+        trim()
 
     got = sample.mapInArrow(learn, "i binary, w binary, b double").collect()
     if not got:
