@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arclattice.llm import mixing, neardup, packing, quality, toxicity
-from arclattice.llm.common import Stage, release, stages, table
+from arclattice.llm.common import BATCH_BYTES, Stage, release, stages, table
 
 
 def free_name(docs: DataFrame, name: str = "_score") -> str:
@@ -23,12 +23,19 @@ def free_name(docs: DataFrame, name: str = "_score") -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Five stages of Python workers share an executor's memory with it: smaller Arrow batches than an operator alone has."""
+    spark.conf.set(BATCH_BYTES, "2m")
+    return spark
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose toxicity is below 0.3, as they are.
 
     Null, empty and very long texts are scored like any other, repeated rows alike; rows without doc_id are
     kept or dropped by their score. An empty table gives an empty one.
     """
+    small_batches(spark)
     name = free_name(docs)
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"), name=name)
     return scored.filter(F.col(name) < 0.3).select(docs.columns)
@@ -36,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose quality is 0.5 or more, as they are; awkward rows as in drop_toxic."""
+    small_batches(spark)
     name = free_name(docs)
     scored = quality.score(docs, table(spark, sf_dir, "labels"), name=name)
     return scored.filter(F.col(name) >= 0.5).select(docs.columns)
@@ -47,7 +55,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words or without doc_id are in no group and stay; of rows that repeat a doc_id one stays. Texts of any
     length are compared whole. Other columns stay, whatever their names; an empty table gives an empty one.
     """
-    return neardup.deduplicated(docs, Stage(spark))
+    return neardup.deduplicated(docs, Stage(small_batches(spark)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words are not taken; a null source is one of its own; rows that repeat a doc_id are taken alike. A text of
     any length is cut after a word. Other columns stay, whatever their names; an empty table gives an empty one.
     """
-    return mixing.mixed(docs, Stage(spark))
+    return mixing.mixed(docs, Stage(small_batches(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +73,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id, or that repeat one, are packed one by one, texts of any length cut into pieces. Columns beside doc_id and
     text are not read; an empty table gives an empty one.
     """
-    return packing.placements(docs, Stage(spark))
+    return packing.placements(docs, Stage(small_batches(spark)))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near-dedup", drop_copies), ("mixing", mix), ("packing", pack)]
