@@ -237,11 +237,6 @@ def extract(archive: str, folder: str) -> int:
     return len(missing)
 
 
-def dataset_path(*candidates: str) -> str | None:
-    """The first candidate that exists: name folders before archives."""
-    return next((c for c in candidates if os.path.exists(c)), None)
-
-
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, frame_id, pose) of pose text files, 12 numbers a line: three rows of four."""
     text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("file"), F.col("_metadata.file_path").alias("full"))
