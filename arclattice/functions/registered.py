@@ -19,8 +19,9 @@ ROUNDS, SETTLED = 5, 1e-4
 
 def split_heights(z: np.ndarray, gap: float = OVERHANG_GAP) -> dict[str, float | None]:
     """The ground of a cell, and bottom and top of what hangs over it: two means of the heights, as operators.project has them."""
-    z = np.asarray(z, float)
-    lo, hi = float(z.min()), float(z.max())
+    z = np.sort(np.asarray(z, float))
+    mean = lambda v: float(v.cumsum()[-1] / len(v))  # noqa: E731  one by one and ascending, as there
+    lo, hi = float(z[0]), float(z[-1])
     none = {"ground": lo, "bottom": None, "top": None}
     c1, c2 = lo, hi
     if hi - lo < gap:
@@ -29,7 +30,7 @@ def split_heights(z: np.ndarray, gap: float = OVERHANG_GAP) -> dict[str, float |
         first = np.abs(z - c1) < np.abs(z - c2)
         if first.all() or not first.any():
             break
-        m1, m2 = float(z[first].mean()), float(z[~first].mean())
+        m1, m2 = mean(z[first]), mean(z[~first])
         moved = max(abs(m1 - c1), abs(m2 - c2))
         c1, c2 = m1, m2
         if moved < SETTLED:
@@ -38,7 +39,7 @@ def split_heights(z: np.ndarray, gap: float = OVERHANG_GAP) -> dict[str, float |
     if first.all() or not first.any():
         return none
     low, up = z[first], z[~first]
-    if low.mean() > up.mean():
+    if mean(low) > mean(up):
         low, up = up, low
     return {"ground": float(low.min()), "bottom": float(up.min()), "top": float(up.max())} if up.min() - low.max() > gap else none
 

@@ -45,9 +45,10 @@ def z_split(points: DataFrame, key: list[str] = CELL, gap: float = OVERHANG_GAP,
     `more` aggregates are computed beside, in the same grouping.
 
     Two means per cell by at most ROUNDS assignments, all as windows over one sort of the cells. A
-    tie goes to the upper cluster; a cell stops when a cluster is empty or both means settle.
+    tie goes to the upper cluster; a cell stops when a cluster is empty or both means settle. Heights are
+    added up in ascending order, so that a rerun, or rows dealt otherwise, find the same means to the last bit.
     """
-    w = Window.partitionBy(*key)
+    w = Window.partitionBy(*key).orderBy("z").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = points.withColumn("lo", F.min("z").over(w)).withColumn("hi", F.max("z").over(w))
     rows = rows.withColumn("c1", F.col("lo")).withColumn("c2", F.col("hi")).withColumn("done", F.col("hi") - F.col("lo") < gap)
     for _ in range(ROUNDS):
