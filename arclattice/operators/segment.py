@@ -64,13 +64,38 @@ def sector_and_bin(p: Segmentation = SEGMENTATION) -> dict[str, F.Column]:
     return {"sector": clip(turn, p.sectors - 1), "r_bin": clip(polar.radius() / p.bin_size, p.bins - 1)}
 
 
+def fused(a: F.Column, b: F.Column, c: F.Column) -> F.Column:
+    """a * b + c, rounded once: the product's error and the sum's are added at the end."""
+
+    def halves(v):
+        big = v * 134217729.0  # 2^27 + 1
+        high = big - (big - v)
+        return high, v - high
+
+    (ah, al), (bh, bl), product = halves(a), halves(b), a * b
+    total = product + c
+    back = total - product
+    return total + (((product - (total - back)) + (c - back)) + (((ah * bh - product) + ah * bl + al * bh) + al * bl))
+
+
+def low_percentile(rows: DataFrame, key: list[str], value: str, share: float) -> DataFrame:
+    """key, low and n: the percentile of value, between its two neighbours in rank as other engines round it, and the rows."""
+    w = Window.partitionBy(*key)
+    ranked = rows.withColumns({"_at": F.row_number().over(w.orderBy(value)) - 1, "n": F.count(F.lit(1)).over(w)}).withColumn("_place", (F.col("n") - 1) * share)
+    first = F.floor("_place")
+    ranked = ranked.filter((F.col("_at") == first) | (F.col("_at") == first + 1))
+    ends = ranked.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_place").alias("_place"), F.first("n").alias("n"))
+    ends = ends.withColumn("_d", F.col("_place") - F.floor("_place")).withColumns({"_e": 1.0 - F.col("_d"), "_c": F.col("_hi") * F.col("_d")})
+    return ends.select(*key, fused(F.col("_lo"), F.col("_e"), F.col("_c")).alias("low"), "n")
+
+
 def ground_profile(rows: DataFrame, p: Segmentation = SEGMENTATION) -> DataFrame:
     """(seq_id, frame_id, sector, r_bin, offset) for every bin of every sector that has points.
 
     rows: seq_id, frame_id, sector, r_bin, h. A bin with enough candidates offers its 10th percentile
     of h, taken only if the step from the last offset is gentle; other bins keep the last one, first 0.
     """
-    near = rows.filter("h >= -0.6 and h <= 0.5").groupBy(*FRAME, "sector", "r_bin").agg(F.percentile("h", F.lit(p.percentile)).alias("low"), F.count(F.lit(1)).alias("n"))
+    near = low_percentile(rows.filter("h >= -0.6 and h <= 0.5"), [*FRAME, "sector", "r_bin"], "h", p.percentile)
     near = near.filter(F.col("n") >= p.least_in_bin).select(*FRAME, "sector", "r_bin", "low")
     sectors = rows.select(*FRAME, "sector").distinct()
     offers = near.groupBy(*FRAME, "sector").agg(F.map_from_entries(F.collect_list(F.struct("r_bin", "low"))).alias("offers"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arclattice.functions import fovea, polar
 from arclattice.functions.registered import split_heights
-from arclattice.operators import metrics, project
+from arclattice.operators import metrics, project, segment
 
 
 def one(spark, *columns):
@@ -150,3 +151,14 @@ def test_order_of_rows_does_not_matter(spark):
     rows = spark.createDataFrame([(k, z[i]) for k, order in enumerate(orders) for i in order], "k int, z double").coalesce(1)
     found = {tuple(r[1:]) for r in project.z_split(rows, ["k"]).collect()} | {tuple(split_heights([z[i] for i in order]).values()) for order in orders}
     assert len(found) == 1
+
+
+def test_profile_rounds_the_percentile_once(spark):
+    rng = np.random.default_rng(3)
+    given = {k: rng.uniform(-0.5, 0.5, int(rng.integers(4, 30))).tolist() for k in range(120)}
+    rows = spark.createDataFrame([("s", k, 0, 0, h) for k, hs in given.items() for h in hs], "seq_id string, frame_id int, sector int, r_bin int, h double")
+    got = {r.frame_id: r.offset for r in segment.ground_profile(rows).filter("r_bin = 0").collect()}
+    for k, hs in given.items():
+        place = (len(hs) - 1) * 0.10
+        low, d = sorted(hs)[int(place) : int(place) + 2], place - int(place)
+        assert got[k] == float(Fraction(low[0]) * Fraction(1 - d) + Fraction(low[-1] * d))
