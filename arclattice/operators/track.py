@@ -6,7 +6,9 @@ alike in both and never couples them; so the filter has a closed form without ma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -87,19 +89,114 @@ def blocks(cost: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns: as many finite ones as possible, of these the least total cost.
+    """Pairs of rows and columns: as many finite ones as possible, of these the least total cost."""
+    row, col = np.nonzero(np.isfinite(cost))
+    return assign_pairs(row, col, cost[row, col])
 
-    Parts that share no finite cost are solved apart, so the work follows the largest crowd and not the frame.
+
+def candidates(tracks: list[Track], x: np.ndarray, y: np.ndarray, k: Tracking = TRACKING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gated_costs as rows, columns and costs of the finite ones: detections are looked up in squares as wide as the widest gate."""
+    none = np.empty(0, int), np.empty(0, int), np.empty(0)
+    if not tracks or not len(x):
+        return none
+    tx, ty, p = (np.array([getattr(t, name) for t in tracks], float) for name in ("x", "y", "p_pos"))
+    spread, gate = p + k.measurement_noise, np.where([t.state == "CONFIRMED" for t in tracks], k.gate_confirmed, k.gate_tentative)
+    far = np.minimum(np.sqrt(np.maximum(gate * spread, 0)), k.farthest)
+    seen, known = np.flatnonzero(np.isfinite(x) & np.isfinite(y)), np.flatnonzero(np.isfinite(tx) & np.isfinite(ty) & (far > 0))
+    if not len(seen) or not len(known):
+        return none
+    side = float(far[known].max()) * (1 + 1e-9)
+    squares = lambda v: np.floor(v / side)
+    seen = seen[np.lexsort((squares(y[seen]), squares(x[seen])))]
+    strips, starts = np.unique(squares(x[seen]), return_index=True)
+    across = squares(y[seen])
+    ends = np.r_[starts[1:], len(seen)]
+    out: list[tuple] = [none]
+    for ox in (-1, 0, 1):
+        at = np.searchsorted(strips, squares(tx[known]) + ox)
+        here = at < len(strips)
+        here[here] = strips[at[here]] == squares(tx[known][here]) + ox
+        for s in np.unique(at[here]):
+            rows = known[here & (at == s)]
+            strip = across[starts[s] : ends[s]]
+            low, high = (np.searchsorted(strip, squares(ty[rows]) + o, e) + starts[s] for o, e in ((-1, "left"), (1, "right")))
+            n = high - low
+            row = np.repeat(rows, n)
+            col = seen[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(row))]
+            d2 = (x[col] - tx[row]) ** 2 + (y[col] - ty[row]) ** 2
+            m2 = d2 / spread[row]
+            good = (m2 < gate[row]) & (np.sqrt(d2) <= k.farthest)
+            out.append((row[good], col[good], m2[good]))
+    row, col, m2 = map(np.concatenate, zip(*out, strict=True))
+    order = np.lexsort((col, row))
+    return row[order], col[order], m2[order]
+
+
+def assign_pairs(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> list[tuple[int, int]]:
+    """assign, of the finite costs alone: memory and work follow them and not rows times columns.
+
+    Successive shortest paths with potentials over a heap, a row of the shorter side at a time. A row may also stay alone, at one
+    large cost, which ends a path as a free column does.
     """
-    out = []
-    for r, c in blocks(cost):
-        found = [(0, 0)] if len(r) == len(c) == 1 else assign_block(cost[np.ix_(r, c)])
-        out += [(int(r[i]), int(c[j])) for i, j in found]
-    return sorted(out)
+    if not len(row):
+        return []
+    rows, r = np.unique(row, return_inverse=True)
+    cols, c = np.unique(col, return_inverse=True)
+    turned = len(rows) > len(cols)
+    if turned:
+        rows, cols, r, c = cols, rows, c, r
+    order = np.lexsort((c, r))
+    r, c, cost = r[order], c[order], np.asarray(cost, float)[order]
+    starts = np.searchsorted(r, np.arange(len(rows) + 1)).tolist()
+    alone = (cost.max() + 1.0) * (len(rows) + 1)
+    row_price, col_price = [0.0] * len(rows), np.zeros(len(cols))
+    owner, mate = [-1] * len(cols), [-1] * len(rows)
+    dist, before = np.full(len(cols), np.inf), np.full(len(cols), -1)
+    for i in range(len(rows)):
+        at, far, heap, done, touched = i, 0.0, [], [], []
+        best, last = np.inf, -1  # the cheapest row to leave alone
+        while True:
+            a, b = starts[at], starts[at + 1]
+            near = c[a:b]
+            if far + alone - row_price[at] < best:
+                best, last = far + alone - row_price[at], at
+            there = cost[a:b] - col_price[near] + (far - row_price[at])
+            better = there < dist[near]
+            near, there = near[better], there[better]
+            dist[near], before[near] = there, at
+            touched.append(near)
+            for entry in zip(there.tolist(), near.tolist(), strict=True):
+                heappush(heap, entry)
+            while heap and heap[0][0] > dist[heap[0][1]]:
+                heappop(heap)
+            if not heap or heap[0][0] >= best:
+                far, to = best, -1
+                break
+            far, to = heappop(heap)
+            if owner[to] < 0:
+                break
+            done.append((to, far))
+            dist[to] = -np.inf  # not to be reached again
+            at = owner[to]
+        row_price[i] += far
+        for j, d in done:
+            row_price[owner[j]] += far - d
+            col_price[j] -= far - d
+        at = last if to < 0 else int(before[to])
+        if to < 0:
+            to, mate[at] = mate[at], -1  # it gives its column, if it has one, to the row before on the path
+            at = int(before[to]) if to >= 0 else i
+        while to >= 0:
+            owner[to], mate[at], to = at, to, mate[at]
+            at = int(before[to]) if to >= 0 else at
+        for near in touched:
+            dist[near] = np.inf
+    pairs = [(int(rows[i]), int(cols[j])) for i, j in enumerate(mate) if j >= 0]
+    return sorted((j, i) for i, j in pairs) if turned else pairs
 
 
 def assign_block(cost: np.ndarray) -> list[tuple[int, int]]:
-    """assign within one part.
+    """assign on the whole matrix, for parts small enough to hold all their costs.
 
     Successive shortest paths with potentials, a row at a time; infinite costs count as one large number.
     """
@@ -139,7 +236,7 @@ def track_step(tracks: list[Track], detections: list[tuple[float, float, int]],
     """Tracks after one frame: matched ones, then coasting ones, then new ones."""
     ahead = [predicted(t, k) for t in tracks]
     x, y = (np.array([d[i] for d in detections], float) for i in (0, 1))
-    pairs = assign(gated_costs(ahead, x, y, k))
+    pairs = assign_pairs(*candidates(ahead, x, y, k))
     rows, cols = {i for i, _ in pairs}, {j for _, j in pairs}
     out = [corrected(ahead[i], *detections[j], k) for i, j in pairs]
     coasting = [replace(t, frames_since_seen=t.frames_since_seen + 1) for i, t in enumerate(ahead) if i not in rows]
@@ -159,13 +256,14 @@ def track(detections: DataFrame, frames: DataFrame, k: Tracking = TRACKING, conf
     """
     fields = list(Track.__dataclass_fields__)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        tracks, rows = [], []
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, tracks = pd.concat(list(parts)), []
+        seq = group.seq_id.iloc[0]
         for frame, part in group.groupby("frame_id", sort=True):
             part = part[part["x"].notna()].sort_values(["x", "y"])
             tracks = track_step(tracks, list(zip(part["x"], part["y"], part["class_id"].astype(int), strict=True)), k)
-            rows += [(group.seq_id.iloc[0], frame, *(getattr(t, f) for f in fields)) for t in tracks if t.state == "CONFIRMED" or not confirmed_only]
-        return pd.DataFrame(rows, columns=["seq_id", "frame_id", *fields])
+            rows = [(seq, frame, *(getattr(t, f) for f in fields)) for t in tracks if t.state == "CONFIRMED" or not confirmed_only]
+            yield pd.DataFrame(rows, columns=["seq_id", "frame_id", *fields])  # a frame at a time, so that no sequence's tracks stand in memory at once
 
     joined = frames.select("seq_id", "frame_id").distinct().join(detections.select("seq_id", "frame_id", "x", "y", "class_id"), ["seq_id", "frame_id"], "left")
     kinds = dict(joined.dtypes)

@@ -266,3 +266,21 @@ def test_clusters_across_tiles(spark):
     plan = cluster.components(df, ["frame_id"], "det_id")._jdf.queryExecution().executedPlan().toString()
     assert "Existing" in plan  # the tiles are read from their checkpoint
     assert cluster.components(df.limit(0), ["frame_id"], "det_id").count() == 0
+
+
+def test_a_crowded_frame_makes_no_matrix(monkeypatch):
+    """Candidates by squares are those of the whole matrix, and assigning them costs as little; a step asks for no matrix."""
+    rng = np.random.default_rng(7)
+    for n, m in [(0, 5), (5, 0), (1, 1), (40, 30), (30, 40), (60, 60)]:
+        tracks = [track.Track(i, 3, *rng.normal(0, 6, 2), p_pos=rng.random() * 3, state=("CONFIRMED", "TENTATIVE")[i % 2]) for i in range(n)]
+        x, y = rng.normal(0, 6, (2, m))
+        x[: m // 20] = np.nan
+        cost = track.gated_costs(tracks, x, y)
+        row, col, m2 = track.candidates(tracks, x, y)
+        assert (row.tolist(), col.tolist()) == tuple(v.tolist() for v in np.nonzero(np.isfinite(cost))) and (m2 == cost[row, col]).all()
+        if len(row):
+            dense, sparse = track.assign_block(cost), track.assign_pairs(row, col, m2)
+            assert len(dense) == len(sparse) and sum(cost[p] for p in sparse) == pytest.approx(sum(cost[p] for p in dense))
+    monkeypatch.setattr(track, "gated_costs", None)
+    spots = [(5.0 * i, 5.0 * j, 3) for i in range(100) for j in range(100)]
+    assert {t.hits for t in track.track_step(track.track_step([], spots), spots)} == {2}
