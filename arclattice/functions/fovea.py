@@ -82,6 +82,28 @@ def attention(theta: Column, lobes: Column) -> Column:
     return F.coalesce(F.aggregate(lobes, F.lit(0.0), lambda top, x: F.greatest(top, height_at(theta, x))), F.lit(0.0))
 
 
+def sector_of(theta: Column, n: int) -> Column:
+    """Which of n equal sectors of the circle, from -pi on, theta lies in."""
+    return F.least(F.greatest(F.floor((theta + F.pi()) / (2.0 * F.pi() / n)), F.lit(0)), F.lit(n - 1)).cast("int")
+
+
+def lobes_of_sector(lobes: Column, sector: Column, n: int) -> Column:
+    """The lobes that can be the highest anywhere in a sector: the one that stays highest at its worst, and all that rise above that."""
+    half = F.pi() / n + 1e-9
+    middle = (sector + 0.5) * (2.0 * F.pi() / n) - F.pi()
+
+    def off(x: Column) -> Column:
+        return F.abs(wrap(middle - x["at"]))
+
+    least = F.transform(lobes, lambda x: F.struct(height_at(x["at"] + F.least(off(x) + half, F.pi() - 1e-12), x).alias("height"), x.alias("lobe")))
+
+    def kept(best: Column) -> Column:
+        return F.concat(F.array(best["lobe"]), F.filter(lobes, lambda x: height_at(x["at"] + F.greatest(off(x) - half, F.lit(0.0)), x) > best["height"]))
+
+    # bound by a lambda, so that the best is found once and not for each lobe
+    return F.when(F.size(lobes) > 0, F.element_at(F.transform(F.array(F.array_max(least)), kept), 1)).otherwise(lobes)
+
+
 def in_fine_zone(r: Column, theta: Column, speed: Column, steering: Column, lobes: Column | None = None, p: Fovea = FOVEA) -> Column:
     """r < fine_radius(theta), where lobes are looked at only for points between the ellipse and the farthest lobe."""
     inside = r < ellipse_radius(theta, speed, steering, p)

@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from ..config import FOVEA, LEAST_RANGE, OVERHANG_GAP, ROOF, TIERS, Fovea
 from ..functions import polar
-from ..functions.fovea import in_fine_zone, lobe
+from ..functions.fovea import in_fine_zone, lobe, lobes_of_sector, sector_of
 
 CELL = ["seq_id", "frame_id", "tier_idx", "ring_idx", "angle_idx"]
 ROUNDS, SETTLED = 5, 1e-4
+#: Sectors of a frame, in each of which only the lobes that may be the highest are looked at.
+SECTORS = 512
 
 
 def with_key(points: DataFrame, finest: F.Column | None = None, roof: float | F.Column = ROOF, tiers=TIERS) -> DataFrame:
@@ -32,9 +34,13 @@ def with_lobes(frames: DataFrame, tracks: DataFrame | None, p: Fovea = FOVEA) ->
 
 
 def with_foveated_key(points: DataFrame, frames: DataFrame, tracks: DataFrame | None = None, roof=ROOF, p: Fovea = FOVEA, tiers=TIERS) -> DataFrame:
-    """with_key, the fine radius from the frame's speed, steering and tracks."""
+    """with_key, the fine radius from the frame's speed, steering and tracks. A point meets the lobes of its sector, so that its work does not grow with the frame's tracks."""
     state = with_lobes(frames, tracks, p).select("seq_id", "frame_id", "speed_mps", "steering_angle_rad", "lobes")
-    rows = points.filter(F.col("z") <= roof).join(state, ["seq_id", "frame_id"])
+    rows, on = points.filter(F.col("z") <= roof), ["seq_id", "frame_id"]
+    if tracks is not None:
+        state = state.withColumn("_sector", F.explode(F.sequence(F.lit(0), F.lit(SECTORS - 1)))).withColumn("lobes", lobes_of_sector(F.col("lobes"), F.col("_sector"), SECTORS))
+        rows, on = rows.withColumn("_sector", F.coalesce(sector_of(polar.bearing(), SECTORS), F.lit(0))), [*on, "_sector"]
+    rows = rows.join(state, on).drop("_sector")
     finest = in_fine_zone(F.col("r"), F.col("theta"), F.col("speed_mps"), F.col("steering_angle_rad"), None if tracks is None else F.col("lobes"), p)
     return with_key(rows, finest, roof, tiers).drop("speed_mps", "steering_angle_rad", "lobes")
 

@@ -162,3 +162,15 @@ def test_profile_rounds_the_percentile_once(spark):
         place = (len(hs) - 1) * 0.10
         low, d = sorted(hs)[int(place) : int(place) + 2], place - int(place)
         assert got[k] == float(Fraction(low[0]) * Fraction(1 - d) + Fraction(low[-1] * d))
+
+
+def test_lobes_of_a_sector(spark):
+    """In every sector few of many lobes are left, and they are as high as all of them."""
+    rng = np.random.default_rng(5)
+    many = [(float(h), float(a), float(s), f, 35.0 if f > 1 else float(h)) for h, a, s, f in zip(rng.uniform(5, 35, 400), rng.uniform(-math.pi, math.pi, 400), rng.uniform(0.35, 2, 400), rng.choice([1.0, 1.3], 400).tolist(), strict=True)]
+    rows = spark.createDataFrame([(k, many) for k in range(0, project.SECTORS, 8)], "k int, lobes array<struct<height:double,at:double,sigma:double,factor:double,cap:double>>")
+    few = rows.withColumn("few", fovea.lobes_of_sector(F.col("lobes"), F.col("k"), project.SECTORS))
+    theta = (F.col("k") + F.col("u")) * (2 * math.pi / project.SECTORS) - math.pi
+    seen = few.withColumn("u", F.explode(F.array(*[F.lit(u) for u in (0.001, 0.5, 0.999)]))).select(F.size("few").alias("n"), fovea.sector_of(theta, project.SECTORS).alias("own"), "k", fovea.attention(theta, F.col("lobes")).alias("a"), fovea.attention(theta, F.col("few")).alias("b")).collect()
+    assert all(r.own == r.k and r.a == r.b for r in seen)
+    assert max(r.n for r in seen) < 40
