@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import SEGMENTATION, Segmentation
 from ..functions import polar
+from .checkpoint import kept
 
 FRAME = ["seq_id", "frame_id"]
 
@@ -20,35 +21,45 @@ def ground_planes(points: DataFrame, seed: int = 0, p: Segmentation = SEGMENTATI
     """(seq_id, frame_id, a, b, c, d): the plane of three low points with most low points near it.
 
     Low points are those up to the 35th percentile of z (all, if these are under 10). Each frame has
-    a generator seeded from `seed` and its key, so a rerun gives the same plane.
+    a generator seeded from `seed` and its key, so a rerun gives the same plane. Python draws ranks and spans planes by the
+    drawn points; ranking and counting points is left to Spark, so that no task of Python holds a frame.
     """
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("point_id")
-        xyz = group[["x", "y", "z"]].to_numpy(float)
-        plane, most = np.array([0.0, 0.0, 1.0, 1.5]), 0
-        if len(xyz) >= 3:
-            low = xyz[xyz[:, 2] <= np.percentile(xyz[:, 2], p.plane_percentile * 100)]
-            low = low if len(low) >= 10 else xyz
-            key = f"{group.seq_id.iloc[0]}/{group.frame_id.iloc[0]}"
-            rng = np.random.default_rng([seed, zlib.crc32(key.encode())])
-            triples = np.stack([rng.choice(len(low), 3, replace=False) for _ in range(p.hypotheses)])
-            a, b, c = (low[triples[:, i]] for i in range(3))
-            normal = np.cross(b - a, c - a)
-            size = np.linalg.norm(normal, axis=1)
-            normal, a = normal[size >= 1e-6], a[size >= 1e-6]
-            normal /= size[size >= 1e-6, None]
-            normal *= np.where(normal[:, 2:] < 0, -1, 1)
-            flat = normal[:, 2] >= p.upright
-            normal, d = normal[flat], -(normal[flat] * a[flat]).sum(1)
-            for n, e in zip(normal, d, strict=True):
-                count = int((np.abs(low @ n + e) < p.inlier).sum())
-                if count > most:
-                    plane, most = np.array([*n, e]), count
-        return pd.DataFrame([(group.seq_id.iloc[0], group.frame_id.iloc[0], *plane)], columns=["seq_id", "frame_id", "a", "b", "c", "d"])
-
     kinds = dict(points.dtypes)
-    return points.select(*FRAME, "point_id", "x", "y", "z").groupBy(*FRAME).applyInPandas(best, f"seq_id {kinds['seq_id']}, frame_id {kinds['frame_id']}, a double, b double, c double, d double")
+    frame = f"seq_id {kinds['seq_id']}, frame_id {kinds['frame_id']}"
+    w = Window.partitionBy(*FRAME)
+    rows = points.select(*FRAME, "point_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).withColumns({"_at": F.row_number().over(w.orderBy("z")), "_n": F.count(F.lit(1)).over(w)})
+    rows = rows.withColumn("_cut", F.max(F.when(F.col("_at") <= F.floor((F.col("_n") - 1) * p.plane_percentile) + 1, F.col("z"))).over(w))
+    rows = rows.withColumn("_low", F.count_if(F.col("z") <= F.col("_cut")).over(w)).filter((F.col("z") <= F.col("_cut")) | (F.col("_low") < 10))
+    low = kept(rows.select(*FRAME, "_n", "x", "y", "z", (F.row_number().over(w.orderBy("point_id")) - 1).alias("rank")))
+
+    def drawn(parts):
+        for part in parts:
+            for r in part.itertuples(index=False):
+                rng = np.random.default_rng([seed, zlib.crc32(f"{r.seq_id}/{r.frame_id}".encode())])
+                triples = np.stack([rng.choice(r.low, 3, replace=False) for _ in range(p.hypotheses)])
+                yield pd.DataFrame({"seq_id": r.seq_id, "frame_id": r.frame_id, "rank": triples.ravel(), "drawn": np.arange(3 * p.hypotheses)})
+
+    def spanned(corners: pd.DataFrame) -> pd.DataFrame:
+        xyz = corners.sort_values("drawn")[["x", "y", "z"]].to_numpy(float).reshape(-1, 3, 3)
+        a, b, c = xyz[:, 0], xyz[:, 1], xyz[:, 2]
+        normal = np.cross(b - a, c - a)
+        size = np.linalg.norm(normal, axis=1)
+        normal = normal / np.where(size < 1e-6, 1.0, size)[:, None]
+        normal *= np.where(normal[:, 2:] < 0, -1, 1)
+        good = (size >= 1e-6) & (normal[:, 2] >= p.upright)
+        out = pd.DataFrame(np.c_[normal, -(normal * a).sum(1)], columns=list("abcd")).assign(seq_id=corners.seq_id.iloc[0], frame_id=corners.frame_id.iloc[0], number=np.arange(len(xyz)))
+        return out[good][["seq_id", "frame_id", "number", *"abcd"]]
+
+    sizes = low.groupBy(*FRAME).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("low")).filter("n >= 3")
+    corners = low.join(sizes.mapInPandas(drawn, f"{frame}, rank int, drawn int"), [*FRAME, "rank"])
+    planes = kept(corners.groupBy(*FRAME).applyInPandas(spanned, f"{frame}, number int, a double, b double, c double, d double"))
+    off = F.abs(F.col("x") * F.col("a") + F.col("y") * F.col("b") + F.col("z") * F.col("c") + F.col("d"))
+    counts = low.join(planes, FRAME).groupBy(*FRAME, "number").agg(F.count_if(off < p.inlier).alias("count")).filter("count > 0")
+    best = counts.groupBy(*FRAME).agg((-F.max(F.struct("count", (-F.col("number")).alias("first")))["first"]).alias("number"))
+    found = planes.join(best, [*FRAME, "number"])
+    default = dict(zip("abcd", (0.0, 0.0, 1.0, 1.5), strict=True))
+    return points.select(*FRAME).distinct().join(found, FRAME, "left").select(*FRAME, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in default.items()])
 
 
 def plane_height(a="a", b="b", c="c", d="d") -> F.Column:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -284,3 +285,25 @@ def test_a_crowded_frame_makes_no_matrix(monkeypatch):
     monkeypatch.setattr(track, "gated_costs", None)
     spots = [(5.0 * i, 5.0 * j, 3) for i in range(100) for j in range(100)]
     assert {t.hits for t in track.track_step(track.track_step([], spots), spots)} == {2}
+
+
+def test_planes_are_fitted_without_a_frame_in_python(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", f, i, *map(float, rng.uniform(-20, 20, 2)), float(rng.choice([rng.normal(-1.5, 0.1), rng.uniform(-1, 2)]))) for f, n in ((0, 400), (1, 7), (2, 2)) for i in range(n)]
+    planes = segment.ground_planes(spark.createDataFrame(rows, "seq_id string, frame_id int, point_id long, x double, y double, z double"), seed=4)
+    assert "InPandas" not in planes._jdf.queryExecution().executedPlan().toString()
+    got = {r.frame_id: r for r in planes.collect()}
+    for f in (0, 1):
+        xyz = np.array([r[3:] for r in rows if r[1] == f])
+        low = xyz[xyz[:, 2] <= np.percentile(xyz[:, 2], 35)]
+        low = low if len(low) >= 10 else xyz
+        draws, most, best = np.random.default_rng([4, zlib.crc32(f"a/{f}".encode())]), 0, (0.0, 0.0, 1.0, 1.5)
+        for _ in range(50):
+            a, b, c = low[draws.choice(len(low), 3, replace=False)]
+            normal = np.cross(b - a, c - a)
+            normal = normal / np.linalg.norm(normal) * (-1 if normal[2] < 0 else 1)
+            near = (abs((low - a) @ normal) < 0.15).sum()
+            if normal[2] >= 0.8 and near > most:
+                most, best = near, (*normal, -normal @ a)
+        assert tuple(got[f])[2:] == pytest.approx(best)
+    assert tuple(got[2])[2:] == (0.0, 0.0, 1.0, 1.5)
