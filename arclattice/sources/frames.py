@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .scans import POINTS, decode, read_file, storage
+from .scans import POINT_BYTES, POINTS, counted, decode, read_file, storage
 
 SCAN = POINTS + ", instance int"
 LISTED = "seq_id string, frame_id int, path string, labels string"
@@ -74,14 +74,17 @@ def listed(path: str, wanted=lambda seq_id: True) -> Iterator[Scan]:
 
 
 def opened(s: Scan) -> Iterator[pa.RecordBatch]:
-    """The points of one scan."""
+    """The points of one scan, decoded batch by batch."""
     points, words = read_file(s.path), read_file(s.labels)
-    t = decode(points, words)
-    n = len(t["x"])
-    t["instance"] = np.zeros(n, np.int32) if words is None else (np.frombuffer(words, "<u4") >> 16).astype(np.int32)
+    n = counted(points, words)
+    points, words = memoryview(points), None if words is None else memoryview(words)
     for i in range(0, n, ROWS):
         m = min(ROWS, n - i)
-        columns = [pa.array([s.seq_id] * m, pa.string()), pa.array(np.full(m, s.frame_id, np.int32)), *[pa.array(c[i : i + m]) for c in t.values()]]
+        own = None if words is None else words[4 * i : 4 * (i + m)]
+        t = decode(points[POINT_BYTES * i : POINT_BYTES * (i + m)], own)
+        t["point_id"] += i
+        t["instance"] = np.zeros(m, np.int32) if own is None else (np.frombuffer(own, "<u4") >> 16).astype(np.int32)
+        columns = [pa.array([s.seq_id] * m, pa.string()), pa.array(np.full(m, s.frame_id, np.int32)), *map(pa.array, t.values())]
         yield pa.RecordBatch.from_arrays(columns, ["seq_id", "frame_id", *t])
 
 
@@ -111,6 +114,12 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def slim(b: pa.RecordBatch) -> pa.RecordBatch:
+    """What a frame's files need of its rows: its key left out, coordinates as the files hold them."""
+    columns = {n: b.column(n) for n in b.schema.names if n not in ("seq_id", "frame_id")}
+    return pa.RecordBatch.from_pydict({n: c.cast(pa.float32(), safe=False) if pa.types.is_floating(c.type) else pa.concat_arrays([c]) for n, c in columns.items()})
+
+
 class FrameFiles:
     """The two steps of writing frames: tasks put files into the job's folder, commit moves them to their names."""
 
@@ -141,7 +150,7 @@ class FrameFiles:
                         flush()
                         parts = []
                     key = (seq[i], frame[i])
-                    parts.append(b.slice(i, j - i))
+                    parts.append(slim(b.slice(i, j - i)))
         if parts:
             flush()
         return Written(out)
@@ -206,11 +215,15 @@ class FrameStreamWriter(DataSourceStreamArrowWriter):
         self.files.clear()
 
 
-def scan_files(seq_id: str, frame_id: int, rows: pa.Table) -> list[tuple[str, bytes]]:
+def scan_files(seq_id: str, frame_id: int, rows: pa.Table) -> list[tuple[str, bytes | pa.Buffer]]:
     """The point file of a frame's rows, and the label file if they have classes; class_id is a class or a whole label word."""
-    rows = rows.sort_by("point_id")
-    xyzi = np.stack([rows.column(c).to_numpy().astype("<f4") for c in ("x", "y", "z", "intensity")], 1)
-    out = [(f"sequences/{seq_id}/velodyne/{frame_id:06d}.bin", xyzi.tobytes())]
+    ids = rows.column("point_id").to_numpy()
+    if (ids[1:] < ids[:-1]).any():
+        rows = rows.sort_by("point_id")
+    xyzi = np.empty((len(rows), 4), "<f4")
+    for i, c in enumerate(("x", "y", "z", "intensity")):
+        xyzi[:, i] = rows.column(c).to_numpy()
+    out = [(f"sequences/{seq_id}/velodyne/{frame_id:06d}.bin", pa.py_buffer(xyzi))]
     if "class_id" in rows.column_names and not rows.column("class_id").null_count:
         words = rows.column("class_id").to_numpy().astype("<i8") & 0xFFFFFFFF
         if "instance" in rows.column_names:
@@ -317,7 +330,7 @@ def load_scans(spark: SparkSession, root: str) -> DataFrame:
 def save_scans(points: DataFrame, root: str, mode: str = "append") -> None:
     """Writes the frames of points (seq_id, frame_id, point_id, x, y, z, intensity and, for labels, class_id and instance), each in one task."""
     register(points.sparkSession)
-    dealt = points.repartition("seq_id", "frame_id").sortWithinPartitions("seq_id", "frame_id")
+    dealt = points.repartition("seq_id", "frame_id").sortWithinPartitions("seq_id", "frame_id", "point_id")
     dealt.write.format("scans").mode(mode).save(root)
 
 

@@ -80,6 +80,16 @@ def one_size(listing: DataFrame, first: int = 10) -> DataFrame:
     return head.select("seq_id", ((F.col("n") >= 2) & (F.col("sizes") == 1)).alias("synthetic"))
 
 
+def counted(points: bytes, labels: bytes | None) -> int:
+    """Points of a file; a ValueError where its length, or that of its labels, does not fit."""
+    if len(points) % POINT_BYTES:
+        raise ValueError(f"a point file of {len(points)} bytes holds no whole number of points")
+    n = len(points) // POINT_BYTES
+    if labels is not None and len(labels) != 4 * n:
+        raise ValueError(f"{len(labels) // 4} labels for {n} points")
+    return n
+
+
 def decode(points: bytes, labels: bytes | None, collapse: bool = False) -> dict[str, np.ndarray]:
     if len(points) % POINT_BYTES:
         raise ValueError(f"a point file of {len(points)} bytes holds no whole number of points")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,20 @@ def test_newest_scans(spark, folder, tmp_path):
             os.remove(tmp_path / "a" / "commits" / name)
     assert run("a", framesPerTrigger=1, keep=2) == {1: got[1]}
     assert set(run("b", framesPerTrigger=1, keep=2, sequences="01").values().__iter__().__next__()) == {("01", 0)}
+
+
+def test_files_are_decoded_and_gathered_slim(tmp_path, monkeypatch):
+    """A scan is decoded batch by batch, and a frame that is written waits without its key, in the files' own width."""
+    n = 25
+    (tmp_path / "a.bin").write_bytes(np.arange(4 * n, dtype="<f4").tobytes())
+    (tmp_path / "a.label").write_bytes((np.arange(n, dtype="<u4") + (7 << 16)).tobytes())
+    sizes = []
+    monkeypatch.setattr(frames, "ROWS", 10)
+    monkeypatch.setattr(frames, "decode", lambda p, w: sizes.append(len(p)) or scans.decode(p, w))
+    batches = list(frames.opened(frames.Scan("00", 3, str(tmp_path / "a.bin"), str(tmp_path / "a.label"))))
+    assert sizes == [160, 160, 80] and [b.num_rows for b in batches] == [10, 10, 5]
+    whole = pa.Table.from_batches(batches).to_pydict()
+    assert whole["point_id"] == whole["class_id"] == list(range(n)) and whole["instance"] == [7] * n and whole["y"] == [4.0 * i + 1 for i in range(n)]
+    seen = []
+    frames.FrameFiles(str(tmp_path / "out"), lambda seq, frame, t: seen.append(t.schema) or [], True).write(iter(batches))
+    assert seen[0].names == ["point_id", "x", "y", "z", "intensity", "class_id", "instance"] and seen[0].field("x").type == pa.float32()
