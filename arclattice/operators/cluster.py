@@ -24,11 +24,21 @@ def around(rows: DataFrame) -> DataFrame:
 
 
 def near_pairs(rows: DataFrame, group: list[str], key: str, reach: float = REACH) -> DataFrame:
-    """(group, a, b), a < b: keys of rows at most `reach` apart, by an equi-join on square buckets of that size."""
-    left = bucket(rows.select(*group, F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), reach, "ax", "ay")
-    right = around(bucket(rows.select(*group, F.col(key).alias("b"), F.col("x").alias("cx"), F.col("y").alias("cy")), reach, "cx", "cy"))
+    """(group, a, b), a < b: keys of rows at most `reach` apart, by an equi-join on square buckets of that size.
+
+    Two buckets meet once, as a row is sought in its own and in the four ahead of it. Partitions are given by number: pairs outgrow
+    rows, so that few bytes may not be merged into few tasks.
+    """
+    conf, cores = rows.sparkSession.conf, rows.sparkSession.sparkContext.defaultParallelism
+    on, parts = [*group, "bx", "by"], max(int(conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    left = bucket(rows.select(*group, F.col(key).alias("p"), F.col("x").alias("ax"), F.col("y").alias("ay")), reach, "ax", "ay")
+    right = bucket(rows.select(*group, F.col(key).alias("q"), F.col("x").alias("cx"), F.col("y").alias("cy")), reach, "cx", "cy")
+    ahead = F.array(*[F.struct(F.lit(ox).alias("x"), F.lit(oy).alias("y")) for ox, oy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    right = right.withColumn("_to", F.explode(ahead)).withColumns({"bx": F.col("bx") + F.col("_to.x"), "by": F.col("by") + F.col("_to.y"), "_own": (F.col("_to.x") == 0) & (F.col("_to.y") == 0)}).drop("_to")
     dx, dy = F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")
-    return left.join(right, [*group, "bx", "by"]).filter((F.col("a") < F.col("b")) & (dx * dx + dy * dy <= reach * reach)).select(*group, "a", "b")
+    once = F.when(F.col("_own"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))
+    pairs = left.repartition(parts, *on).join(right.repartition(parts, *on), on).filter(once & (dx * dx + dy * dy <= reach * reach))
+    return pairs.select(*group, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def grid_components(x: np.ndarray, y: np.ndarray, reach: float = REACH) -> np.ndarray:

@@ -307,3 +307,12 @@ def test_planes_are_fitted_without_a_frame_in_python(spark):
                 most, best = near, (*normal, -normal @ a)
         assert tuple(got[f])[2:] == pytest.approx(best)
     assert tuple(got[2])[2:] == (0.0, 0.0, 1.0, 1.5)
+
+
+def test_near_pairs_meet_once_and_stay_spread(spark):
+    rng = np.random.default_rng(9)
+    at = rng.uniform(-12, 12, (120, 2)).tolist()
+    rows = spark.createDataFrame([(i % 2, i, *p) for i, p in enumerate(at)], "f int, k long, x double, y double")
+    pairs = cluster.near_pairs(rows, ["f"], "k")
+    assert sorted((r.f, r.a, r.b) for r in pairs.collect()) == sorted((i % 2, i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 and math.dist(at[i], at[j]) <= 2.5)
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
