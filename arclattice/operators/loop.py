@@ -7,7 +7,8 @@ What it hands on, the held radii and the tracks, makes all cells, footprints and
 frames in one plan (closed_loop).
 
 State: the last frame (value), the held radius of each sector (map), the tracks in their order (list). A
-table is dealt by sequence and sorted by frame, so that a task holds one frame's points at a time. In a stream,
+table's points of one place and class are counted by Spark and become one row; the rows are dealt by sequence and sorted
+by frame, so that a task holds one frame's places at a time. In a stream,
 a frame comes whole in one batch; a timer on the frames' event time forgets a sequence that is `idle` long over.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..config import HYSTERESIS, LEAST_RANGE, TIERS, Fovea
 from ..functions import polar
+from ..functions.fovea import sector_of
 from . import cluster, project
 from .checkpoint import kept
 from .track import Track, footprints, ghost_counts, track_step, vacated
@@ -33,9 +35,13 @@ TRACK = (
     "track_id long, class_id int, x double, y double, vx double, vy double, pred_x double, pred_y double, frames_since_seen int, state string, hits int, "
     "bbox_l double, bbox_w double, p_pos double, p_cross double, p_vel double"
 )
-#: What the processor reads of a point; a frame's row without a point has a null r.
+#: What the processor reads of a point, and n if a row stands for several; a frame's row without a point has a null r.
 POINT = ["seq_id", "frame_id", "speed_mps", "steering_angle_rad", "r", "theta", "class_id"]
 SIZES = np.array([size for _, size in TIERS])
+#: Slices of a frame's points on their way to its speed, steering and roof.
+SLICES = 32
+#: Sectors whose lobes are compared together.
+SECTORS_AT_ONCE = 64
 
 
 def lobe_of(t: Track, p: Fovea) -> tuple[float, float, float, float, float] | None:
@@ -88,40 +94,82 @@ def fine_of(theta: np.ndarray, speed: float, steering: float, tracks: list[Track
     d = _wrap(theta - steering * p.shear)
     size = np.sqrt((b * np.cos(d)) ** 2 + (a * np.sin(d)) ** 2)
     out = np.where(np.abs(d) < pi / 2, a * b / np.where(size == 0, 1e-6, size), b)
-    for height, at, sigma, factor, cap in filter(None, (lobe_of(t, p) for t in tracks)) if p.enabled else ():
-        out = np.maximum(out, np.minimum(height * np.exp(-0.5 * (_wrap(theta - at) / sigma) ** 2) * factor, cap))
+    lobes = [v for v in (lobe_of(t, p) for t in tracks) if v] if p.enabled else []
+    return raised(theta, out, np.array(lobes).T) if lobes and len(theta) else out
+
+
+def _height(distance, lobes: np.ndarray) -> np.ndarray:
+    height, _, sigma, factor, cap = lobes
+    return np.minimum(height * np.exp(-0.5 * (distance / sigma) ** 2) * factor, cap)
+
+
+def candidates_of(low: np.ndarray, centre: np.ndarray, lobes: np.ndarray) -> np.ndarray:
+    """Whether each lobe (rows) may be the highest somewhere in each sector (columns), where it is at least low.
+
+    A lobe that is nowhere above what another one is everywhere is left out; the other one stays.
+    """
+    column = lobes[:, :, None]
+    away, half = np.abs(_wrap(centre - column[1])), pi / project.SECTORS + 1e-9
+    least = _height(np.minimum(away + half, pi), column)
+    may = _height(np.maximum(away - half, 0.0), column) > np.maximum(least.max(0), low)
+    may[least.argmax(0), np.arange(len(centre))] = True
+    return may
+
+
+def raised(theta: np.ndarray, out: np.ndarray, lobes: np.ndarray) -> np.ndarray:
+    """out, or the highest of the lobes (columns). An angle meets the lobes that may be the highest in its sector, not all of them."""
+    width, out = 2 * pi / project.SECTORS, out.copy()
+    sector = np.clip(np.floor((_wrap(theta) + pi) / width).astype(np.int64), 0, project.SECTORS - 1)
+    order = np.argsort(sector, kind="stable")
+    names, starts = np.unique(sector[order], return_index=True)
+    lows, ends = np.minimum.reduceat(out[order], starts), np.r_[starts[1:], len(order)]
+    for a in range(0, len(names), SECTORS_AT_ONCE):
+        b = min(a + SECTORS_AT_ONCE, len(names))
+        may = candidates_of(lows[a:b], (names[a:b] + 0.5) * width - pi, lobes)
+        listed, many = np.argsort(~may, axis=0, kind="stable"), may.sum(0)
+        here = order[starts[a] : ends[b - 1]]
+        place = np.repeat(np.arange(b - a), ends[a:b] - starts[a:b])
+        for k in range(int(many.max())):
+            left = many[place] > k
+            here, place = here[left], place[left]
+            one = lobes[:, listed[k, place]]
+            out[here] = np.maximum(out[here], _height(_wrap(theta[here] - one[1]), one))
     return out
 
 
 class Frame:
-    """One frame's points at or below the roof."""
+    """One frame's points at or below the roof: its angles and how many points each has, and its places with their class and points."""
 
     def __init__(self, points: pd.DataFrame, p: Fovea):
         self.speed, self.steering, self.p = float(points["speed_mps"].iloc[0]), float(points["steering_angle_rad"].iloc[0]), p
         points = points[points["r"].notna()]
         self.r, self.theta, self.classes = points["r"].to_numpy(float), points["theta"].to_numpy(float), points["class_id"].to_numpy(np.int64)
-        self.sector = np.rint(self.theta / HYSTERESIS.sector).astype(np.int64)
+        self.n = points["n"].to_numpy(np.int64) if "n" in points else np.ones(len(points), np.int64)
+        self.angles, angle = np.unique(self.theta, return_inverse=True)
+        self.weights = np.bincount(angle, self.n, len(self.angles))
+        self.names, self.sector = np.unique(np.rint(self.angles / HYSTERESIS.sector).astype(np.int64), return_inverse=True)
+        self.place = self.sector[angle]
 
     def hold(self, tracks: list[Track], held: dict[int, float]) -> dict[int, float]:
         """The held radius of every sector that has points; held is brought up to date."""
-        names, place = np.unique(self.sector, return_inverse=True)
-        means = np.bincount(place, fine_of(self.theta, self.speed, self.steering, tracks, self.p), len(names)) / np.bincount(place, minlength=len(names))
-        for s, mean in zip(names.tolist(), means.tolist(), strict=True):
+        fine = fine_of(self.angles, self.speed, self.steering, tracks, self.p)
+        means = np.bincount(self.sector, fine * self.weights, len(self.names)) / np.bincount(self.sector, self.weights, len(self.names))
+        for s, mean in zip(self.names.tolist(), means.tolist(), strict=True):
             if s not in held or abs(mean - held[s]) >= HYSTERESIS.radius_margin:
                 held[s] = mean
-        return {s: held[s] for s in names.tolist()}
+        return {s: held[s] for s in self.names.tolist()}
 
     def detections(self, fine: dict[int, float]) -> list[tuple[float, float, int]]:
         """Centroids of the clusters of dynamic cells."""
         if not len(self.r):
             return []
-        names, place = np.unique(self.sector, return_inverse=True)
-        inside = self.r < np.array([fine[s] for s in names.tolist()])[place]
+        inside = self.r < np.array([fine[s] for s in self.names.tolist()])[self.place]
         tier = np.where(inside, 0, np.where(self.r < TIERS[1][0], 1, 2))
         size = SIZES[tier]
         ring = np.trunc(self.r / size).astype(np.int64)
         angle = np.trunc(self.theta / (size / np.maximum(self.r, LEAST_RANGE))).astype(np.int64)
-        pairs, count = np.unique(np.stack([tier, ring, angle, self.classes]), axis=1, return_counts=True)
+        pairs, pair = np.unique(np.stack([tier, ring, angle, self.classes]), axis=1, return_inverse=True)
+        count = np.bincount(pair.ravel(), self.n, pairs.shape[1])
         order = np.lexsort((pairs[3], -count, pairs[2], pairs[1], pairs[0]))  # of a cell's classes the most frequent first, then the lowest
         pairs = pairs[:, order]
         first = np.r_[True, (np.diff(pairs[:3]) != 0).any(0)]
@@ -133,7 +181,8 @@ class Frame:
         x, y = r * np.cos(theta), r * np.sin(theta)
         _, part = np.unique(cluster.grid_components(x, y), return_inverse=True)
         n = np.bincount(part)
-        span = lambda v: np.array([np.ptp(v[part == k]) for k in range(len(n))])
+        order, starts = np.argsort(part, kind="stable"), np.cumsum(n) - n
+        span = lambda v: np.maximum.reduceat(v[order], starts) - np.minimum.reduceat(v[order], starts)
         good = (n <= cluster.MOST_CELLS) & (span(x) <= cluster.WIDEST) & (span(y) <= cluster.WIDEST)
         return sorted((a, b, 3) for a, b in zip((np.bincount(part, x) / n)[good].tolist(), (np.bincount(part, y) / n)[good].tolist(), strict=True))
 
@@ -222,16 +271,22 @@ def schema_of(seq_kind: str) -> str:
 
 
 def loop_rows(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """POINT of the points at or below their frame's roof, and a row without a point for every frame."""
-    rows = points.join(frames, ["seq_id", "frame_id"]).filter("z <= roof").withColumn("r", polar.radius()).withColumn("theta", polar.bearing())
+    """POINT of the points at or below their frame's roof, and a row without a point for every frame. Points meet their frame slice by slice, so that it is spread over tasks."""
+    slices = frames.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    rows = points.withColumn("_slice", F.coalesce(sector_of(polar.bearing(), SLICES), F.lit(0))).join(slices, ["seq_id", "frame_id", "_slice"]).filter("z <= roof").withColumn("r", polar.radius()).withColumn("theta", polar.bearing())
     return rows.select(POINT).unionByName(frames.select(*POINT[:4]), allowMissingColumns=True)
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """One of equal rows, with their number n. Counted before rows are dealt, so that a sequence's task does not grow with points at places it has."""
+    return rows.groupBy(*POINT).agg(F.count(F.lit(1)).alias("n"))
+
+
 def loop_states(points: DataFrame, frames: DataFrame, p: Fovea = Fovea()) -> DataFrame:
     """Held radii and tracks of a table's frames (seq_id, frame_id, speed_mps, steering_angle_rad, roof)."""
     spark = points.sparkSession
     with_states(spark)
-    dealt = loop_rows(points, frames).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id").sortWithinPartitions("seq_id", "frame_id")
+    dealt = places(loop_rows(points, frames)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id").sortWithinPartitions("seq_id", "frame_id")
     return dealt.groupBy("seq_id").transformWithStateInPandas(Loop(p, ordered=True), schema_of(dict(frames.dtypes)["seq_id"]), "append", "None")
 
 
@@ -248,14 +303,23 @@ def with_states(spark) -> None:
     spark.streams.active  # noqa: B018
 
 
+def loop_cells(points: DataFrame, frames: DataFrame, states: DataFrame) -> DataFrame:
+    """The cells of all frames under the held radii of loop_states.
+
+    Points meet radius and roof by sector and are then dealt by cell, so that a frame is spread over tasks.
+    """
+    fine = states.filter("kind = 'sector'").select("seq_id", "frame_id", "sector", F.col("held").alias("fine"))
+    fine = fine.join(frames.select("seq_id", "frame_id", "roof"), ["seq_id", "frame_id"])
+    rows = points.withColumn("sector", F.rint(polar.bearing() / HYSTERESIS.sector).cast("long")).join(fine, ["seq_id", "frame_id", "sector"])
+    return project.grid_cells(project.with_key(rows, F.col("r") < F.col("fine"), F.col("roof")))
+
+
 def closed_loop(points: DataFrame, frames: DataFrame, p: Fovea = Fovea()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, tracks, ghosts) of all frames. frames: seq_id, frame_id, speed_mps, steering_angle_rad and roof."""
+    frames = kept(frames)
     states = kept(loop_states(points, frames, p))
     tracks = states.filter("kind = 'track'").select("seq_id", "frame_id", *FIELDS)
-    fine = states.filter("kind = 'sector'").select("seq_id", "frame_id", "sector", F.col("held").alias("fine"))
-    rows = points.join(frames.select("seq_id", "frame_id", "roof"), ["seq_id", "frame_id"]).filter("z <= roof").withColumn("sector", F.rint(polar.bearing() / HYSTERESIS.sector).cast("long"))
-    rows = rows.join(fine, ["seq_id", "frame_id", "sector"])
-    cells = kept(project.grid_cells(project.with_key(rows, F.col("r") < F.col("fine"), F.col("roof"))))
+    cells = kept(loop_cells(points, frames, states))
     centred = project.with_center(cells).withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
     prints = kept(footprints(tracks, centred))
     return cells, tracks, ghost_counts(vacated(prints, frames, cells), frames)

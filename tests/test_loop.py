@@ -113,3 +113,43 @@ def test_large_boxes_reach_all_their_cells(spark):
     tracks = spark.createDataFrame([("s", 1, 7, 5.0, 0.0, 22.5, 1.0), ("s", 1, 8, 5.0, 0.0, 2.0, 1.0)], "seq_id string, frame_id int, track_id long, x double, y double, bbox_l double, bbox_w double")
     out = track.footprints(tracks, cells).collect()
     assert sorted(r.ring_idx for r in out if r.track_id == 7) == list(range(28)) and sorted(r.ring_idx for r in out if r.track_id == 8) == [3, 4, 5, 6, 7]
+
+
+def test_repeated_points_reach_the_processor_once(spark):
+    points, frames = drives(spark, 2)
+    points = points.cache()
+    often = points.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(9)))).drop("_")
+    once, many = (loop.places(loop.loop_rows(p, frames)) for p in (points, often))
+    assert once.count() == many.count() and many.filter("r is not null").agg(F.sum("n")).first()[0] == loop.loop_rows(often, frames).filter("r is not null").count()
+    names = ("seq_id", "frame_id", "kind", "sector", "held", "track_id", "x", "y", "vx", "hits")
+    ours, theirs = (sorted(map(repr, rows_of(loop.loop_states(p, frames), *names))) for p in (often, points))
+    assert ours == theirs
+
+
+def test_a_row_may_stand_for_several_points():
+    import pandas as pd
+
+    rng = random.Random(8)
+    rows = pd.DataFrame([(rng.uniform(3, 40), rng.choice([-1.0, 0.2, 0.205, 0.21]), rng.choice([0, 3]), rng.randint(1, 6)) for _ in range(300)], columns=["r", "theta", "class_id", "n"]).assign(speed_mps=12.0, steering_angle_rad=0.1)
+    spread = rows.loc[rows.index.repeat(rows["n"])].drop(columns="n")
+    tracks = [track.Track(1, 3, 18.0, 3.0, -3.0, 0.0)]
+    few, all_ = loop.Frame(rows, Fovea()), loop.Frame(spread, Fovea())
+    fine = few.hold(tracks, {})
+    assert fine == pytest.approx(all_.hold(tracks, {})) and few.detections(fine) == all_.detections(fine)
+    assert fine != pytest.approx(loop.Frame(rows.drop(columns="n"), Fovea()).hold(tracks, {}))
+
+
+def test_angles_meet_few_lobes():
+    rng = random.Random(5)
+    tracks = [track.Track(i, 3, rng.uniform(-60, 60), rng.uniform(-60, 60), rng.choice([0.0, rng.uniform(-9, 9)]), rng.uniform(-4, 4), bbox_l=rng.choice([0.5, 4.0, 30.0])) for i in range(3000)]
+    theta = np.r_[np.random.default_rng(5).uniform(-np.pi, np.pi, 5000), -np.pi, np.pi, 0.0]
+    for p in (Fovea(), Fovea(collision_only=False), Fovea(collision_only=False, boost=1.0, farthest_threat=1000.0)):
+        lobes = np.array([v for v in (loop.lobe_of(t, p) for t in tracks) if v]).T
+        want = loop.fine_of(theta, 9.0, 0.1, [], p)
+        for height, at, sigma, factor, cap in lobes.T:
+            want = np.maximum(want, np.minimum(height * np.exp(-0.5 * (loop._wrap(theta - at) / sigma) ** 2) * factor, cap))
+        assert (loop.fine_of(theta, 9.0, 0.1, tracks, p) == want).all()
+        width = 2 * np.pi / 512
+        may = loop.candidates_of(np.zeros(512), (np.arange(512) + 0.5) * width - np.pi, lobes)
+        assert may.any(0).all() and may.sum(0).mean() < lobes.shape[1] / 5
+        assert lobes.shape[1] > 50
